@@ -202,7 +202,7 @@ def bpe_encode(docs: DataFrame, path: str, digest_only: bool = False) -> DataFra
                     "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
                 })
             else:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": decoded})
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [np.asarray(i, dtype=np.int32) for i in ids], "decoded": decoded})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest_only else "doc_id long, ids array<int>, decoded string"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_main, quality_rules, toxicity_knn, url_reputation
+from tessera.llm import bpe, chunk_dedup, decontaminate, embedding_dedup, html_main, ngram_join, oracles, quality_rules, toxicity_knn, url_reputation, warc_fixity
 
 #: The vocabulary file is a parameter; this is the one the queries use.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -22,12 +22,31 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixity drill over all pages: the second replica lost the records of ids whose md5 begins with 00 and altered,
+    at equal length, those whose md5 begins with 01. The audit has to find exactly these."""
+    pages = table(spark, sf_dir, "pages")
+    mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+    altered = pages.withColumn("html", F.when(mark == "01", F.translate("html", "<", "{")).otherwise(F.col("html")))
+    replica = warc_fixity.manifest(warc_fixity.warc_records(altered)).where(mark != "00")
+    return warc_fixity.audit(warc_fixity.manifest(warc_fixity.warc_records(pages)), replica)
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), VOCABULARY, digest_only=True)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_reputation.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    judged = url_reputation.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +55,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_scores(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity_knn.toxicity(docs, labels.where(~held_out()))
@@ -47,8 +74,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op5_url_filter, op6_quality, op8_main_text, op10_toxicity)}
+    own = (op1_warc_fixity, op2_embedding_dedup, op3_ngram_join, op4_bpe, op5_url_filter, op6_quality, op7_chunk_dedup, op8_main_text, op9_decontaminate, op10_toxicity)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
