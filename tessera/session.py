@@ -18,6 +18,7 @@ def local(cores: int = 8, partitions: int = 8, app: str = "tessera") -> SparkSes
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
