@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +97,41 @@ def in_blocks(df: DataFrame, keys: list[str], by: str, size: int) -> DataFrame:
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.col(by), F.lit("chunk")), F.col("n_chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
     return rows.withColumn("block_a", F.least("chunk", "other")).withColumn("block_b", F.greatest("chunk", "other")).drop("other", "n_chunks")
+
+
+def by_groups(df: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray] | None], schema: str) -> DataFrame:
+    """Calls ``work`` with the columns of each group of ``keys`` and joins what it returns.
+
+    Meant for very many small groups, which are taken from sorted Arrow batches instead of one call of Spark's each.
+    Keys must not be null; groups must fit in memory.
+    """
+
+    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            ends = _ends(part, keys)
+            rest = part.iloc[ends[-1] if len(ends) else 0 :]
+            yield from _each(part, ends, work)
+        if rest is not None and len(rest):
+            yield from _each(rest, np.array([0, len(rest)]), work)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(grouped, schema)
+
+
+def _ends(part: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where groups begin, up to the begin of the last one, which may go on in the next batch."""
+    new = np.zeros(len(part), bool)
+    if len(part):
+        new[0] = True
+    for k in keys:
+        x = part[k].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _each(part: pd.DataFrame, ends: np.ndarray, work: Callable) -> Iterator[pd.DataFrame]:
+    columns = {c: part[c].to_numpy() for c in part.columns}
+    out = [r for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) if (r := work({c: x[s:e] for c, x in columns.items()})) is not None]
+    if out:
+        yield pd.DataFrame({c: np.concatenate([r[c] for r in out]) for c in out[0]})

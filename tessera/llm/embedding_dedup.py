@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, in_blocks, local_roots, materialize
+from tessera.llm.common import by_groups, components, in_blocks, local_roots, materialize
 
 #: Signs per table and tables: two vectors of cosine 0.98 agree in one sign with probability 0.936, in all 12 signs of
 #: a table with 0.453, and so meet in none of 24 tables with probability 5e-7.
@@ -69,33 +69,35 @@ def near_duplicates(
     signs = classes.mapInPandas(signed, "label long, dim int, t int, code long, rep long, size long, vec binary, codes binary")
     blocks = in_blocks(signs, ["label", "dim", "t", "code"], "rep", block)
 
-    def compared(group: pd.DataFrame) -> pd.DataFrame:
-        t = int(group["t"].iloc[0])
-        group = group.sort_values("rep", ignore_index=True)
-        vec = np.stack([np.frombuffer(v) for v in group["vec"]])
+    def compared(group: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+        rep = group["rep"]
+        vec = np.frombuffer(b"".join(group["vec"])).reshape(len(rep), -1)
         vec = vec / np.abs(vec).max(axis=1, keepdims=True)
         vec /= np.sqrt((vec * vec).sum(axis=1, keepdims=True))
-        codes = np.stack([np.frombuffer(c, dtype="<u4") for c in group["codes"]])
-        chunk, a, b = group["chunk"].to_numpy(), group["block_a"].iloc[0], group["block_b"].iloc[0]
-        rep, size = group["rep"].to_numpy(), group["size"].to_numpy()
+        t, chunk, a, b = int(group["t"][0]), group["chunk"], group["block_a"][0], group["block_b"][0]
         left, right = np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)
         i, j = np.nonzero(vec[left] @ vec[right].T >= least)
         i, j = left[i], right[j]
-        good = (rep[i] < rep[j]) if a == b else np.ones(len(i), bool)
-        i, j = i[good], j[good]
+        if a == b:
+            i, j = i[rep[i] < rep[j]], j[rep[i] < rep[j]]
         if t and len(i):
+            codes = np.frombuffer(b"".join(group["codes"]), dtype="<u4").reshape(len(rep), -1)
             new = np.ones(len(i), bool)
             for earlier in range(t):
                 new &= codes[i, earlier] != codes[j, earlier]
             i, j = i[new], j[new]
-        links = np.zeros(len(rep), np.int64)
-        np.add.at(links, i, size[j])
-        np.add.at(links, j, size[i])
-        root = local_roots(len(rep), i, j)
+        if not len(i):
+            return None
+        links = np.bincount(i, group["size"][j], len(rep)) + np.bincount(j, group["size"][i], len(rep))
+        order = np.argsort(rep)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(rep))
+        root = rep[order][local_roots(len(rep), place[i], place[j])][place]
         hit = links > 0
-        return pd.DataFrame({"rep": rep[hit], "links": links[hit], "root": rep[root[hit]]})
+        return {"rep": rep[hit], "links": links[hit].astype(np.int64), "root": root[hit]}
 
-    found = materialize(blocks.groupBy("label", "dim", "t", "code", "block_a", "block_b").applyInPandas(compared, "rep long, links long, root long"))
+    keys = ["label", "dim", "t", "code", "block_a", "block_b"]
+    found = materialize(by_groups(blocks, keys, compared, "rep long, links long, root long"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "l_rep")
     nodes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = classes.select(F.col("label").alias("c_label"), F.col("key").alias("c_key"), "rep", "size")
