@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.llm.common import materialize
 
@@ -135,7 +136,7 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     joined = docs.select(F.col("doc_id").cast("long").alias("join_id"), row).join(spans, F.col("join_id") == F.col("span_doc"), "left")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def cut_text(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None or not len(s) else without(t, list(zip(s, e, strict=True))) for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
 
