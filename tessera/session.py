@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +27,20 @@ def local(cores: int = 8, partitions: int = 8, app: str = "tessera") -> SparkSes
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera_package.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(path)
+        _SHIPPED.add(app)
+    return spark
