@@ -26,6 +26,26 @@ REMEMBERED = 400_000
 CONTROLS = re.compile("[\x1c-\x1f]")
 #: White space as the file's pattern sees it (fixed values of the Unicode property White_Space).
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Letters and numbers that are newer than Python's tables (fixed values: code points, both ends included).
+# fmt: off
+NEW_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+# fmt: on
+NEWER = frozenset(map(chr, NEW_LOWER))
+
+
+def class_ranges(kind: str, new: list[tuple[int, int]]) -> str:
+    """The code points of one major category as ranges for a character class."""
+    out: list[list[int]] = []
+    extra = {c for a, b in new for c in range(a, b + 1)}
+    for c in range(0x110000):
+        if unicodedata.category(chr(c))[0] == kind or c in extra:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join([f"\\U{a:08x}-\\U{b:08x}" for a, b in out])
 
 
 def byte_letters() -> list[str]:
@@ -51,7 +71,11 @@ class WordBpe:
         self.letters = byte_letters()
         self.inside, self.inside_end = self._neighbours()
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern.replace("\\s", SPACE))
+        # The classes are spelled out, since regular expression libraries differ in the Unicode version they know.
+        classes = {"\\p{L}": class_ranges("L", NEW_LETTERS), "\\p{N}": class_ranges("N", NEW_NUMBERS), "\\s": SPACE}
+        for name, ranges in classes.items():
+            pattern = pattern.replace(f"[{name}]", f"[{ranges}]").replace(name, ranges)
+        self.words = regex.compile(pattern)
         self.blank = regex.compile(f"[{SPACE}]+")
         self.cuts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, list[int]] = {}
@@ -140,6 +164,8 @@ class WordBpe:
 
     def _lower(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
+        if not text.isascii() and not NEWER.isdisjoint(text):
+            text = text.translate(NEW_LOWER)
         return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
 
     def _pieces(self, text: str) -> list[str]:

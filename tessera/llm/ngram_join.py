@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tessera.llm.common import components, in_blocks, materialize
 
@@ -17,6 +18,8 @@ from tessera.llm.common import components, in_blocks, materialize
 COUNTERS = 1 << 18
 #: Rows of one n-gram's column that one block of the product holds.
 BLOCK = 256
+#: Bits of the filter that keeps unneeded texts out of a shuffle.
+FILTER_BITS = 1 << 22
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -96,17 +99,18 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     shared = materialize(columns.groupBy("member").agg(F.count("*").alias("n_docs")).where("n_docs > 1")).select(F.col("member").alias("shared_member"))
     columns = materialize(columns.join(shared, F.col("member") == F.col("shared_member")).drop("shared_member"))
 
-    # The one partner each document is first compared with.
+    # The one partner each document is first compared with: among those within the bounds, the one whose members are
+    # shared most.
     weight = columns.groupBy("rep").agg(F.count("*").alias("n_shared"), F.first("size").alias("size"))
     weight = materialize(weight.select(F.col("rep").alias("w_rep"), (F.col("n_shared") / F.col("size")).alias("weight")))
     weighed = materialize(columns.join(weight, F.col("rep") == F.col("w_rep")).drop("w_rep"))
-    hubs = materialize(weighed.groupBy("member").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("hub")).select(F.col("member").alias("h_member"), "hub"))
-    first = weighed.join(hubs, F.col("member") == F.col("h_member")).where(F.col("rep") != -F.col("hub.minus"))
+    hub = F.max(F.struct("weight", (-F.col("rep")).alias("minus"), F.col("size").alias("hub_size"), F.col("pos").alias("hub_pos")))
+    hubs = materialize(weighed.groupBy("member").agg(hub.alias("hub")).select(F.col("member").alias("h_member"), "hub"))
+    within = _within(F.col("size"), F.col("pos"), F.col("hub.hub_size"), F.col("hub.hub_pos"), percent)
+    first = weighed.join(hubs, F.col("member") == F.col("h_member")).where((F.col("rep") != -F.col("hub.minus")) & within)
     first = first.groupBy("rep").agg(F.max("hub").alias("hub")).select(F.least("rep", -F.col("hub.minus")).alias("a"), F.greatest("rep", -F.col("hub.minus")).alias("b")).distinct()
     first = materialize(first)
-    wanted = materialize(columns.select(F.col("rep").alias("wanted")).distinct())
-    texts = materialize(rows.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").dropDuplicates(["doc_id"]))
-    found = _verified(first, texts, n, percent)
+    found = _verified(first, rows, n, percent)
     member_of = materialize(components(found).select(F.col("node").alias("c_node"), F.col("component")))
 
     # What is left of each column: pairs of different components within the bounds.
@@ -117,8 +121,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     left = left.join(mixed, F.col("member") == F.col("m_member")).drop("m_member")
     blocks = materialize(in_blocks(left, ["member"], "rep", BLOCK))
     x, y = blocks.alias("x"), blocks.alias("y")
-    need = F.ceil(percent * (F.col("x.size") + F.col("y.size")) / (100 + percent) - 1e-9)
-    most = 1 + F.least(F.col("x.size") - F.col("x.pos") - 1, F.col("y.size") - F.col("y.pos") - 1)
+    within = _within(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"), percent)
     pairs = x.join(
         y,
         (F.col("x.member") == F.col("y.member"))
@@ -128,11 +131,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         & (F.col("y.chunk") == F.col("y.block_b"))
         & ((F.col("x.block_a") != F.col("x.block_b")) | (F.col("x.rep") < F.col("y.rep")))
         & (F.col("x.component") != F.col("y.component"))
-        & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-        & (most >= need),
+        & within,
     ).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
     pairs = materialize(pairs.distinct().join(first, ["a", "b"], "left_anti"))
-    more = _verified(pairs, texts, n, percent)
+    more = _verified(pairs, rows, n, percent)
     joined = found.unionByName(more)
     member_of = components(joined)
     by_digest = groups.select(F.col("digest").alias("g_digest"), "rep").join(member_of, F.col("rep") == F.col("node"), "left")
@@ -141,8 +143,34 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _within(size_a: Column, pos_a: Column, size_b: Column, pos_b: Column, percent: int) -> Column:
+    """Whether two sets that meet first at these positions can still share enough, by sizes and positions."""
+    most = F.least(size_a - pos_a, size_b - pos_b)
+    return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & ((100 + percent) * most >= percent * (size_a + size_b))
+
+
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and text of the ids ``wanted(id)``, one row each.
+
+    A bitmap of FILTER_BITS hashed ids, a fixed size, spares most other texts the shuffle; the join then decides.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("place")
+    bitmap = np.zeros(FILTER_BITS, bool)
+    bitmap[wanted.select(place).distinct().toPandas()["place"]] = True
+    bits = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+    @F.pandas_udf(BooleanType())
+    def listed(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((bits.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    some = rows.where("doc_id is not null").where(listed(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")))
+    return materialize(some.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts are linked."""
+    texts = _texts(rows, materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
 
     def overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[int, np.ndarray] = {}

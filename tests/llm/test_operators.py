@@ -1,0 +1,206 @@
+"""The operators as Spark jobs: against SQL and brute force, and on odd tables."""
+
+import random
+
+import numpy as np
+import pytest
+from conftest import DATA, rows_of
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, chunk_dedup, common, decontaminate, embedding_dedup, html_main, ngram_join, quality_rules, toxicity_knn, url_reputation, warc_fixity
+from tessera.llm.queries import VOCABULARY, held_out, oracle_sql, queries
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_equals_sql(spark, duck, name):
+    assert rows_of(queries()[name](spark, DATA).toPandas()) == rows_of(duck.execute(oracle_sql()[name]).df())
+
+
+def words(rng, n):
+    return ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(n)]
+
+
+def components_of(pairs, ids):
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_components(spark):
+    pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 99), (99, 105), (7, 7)]
+    out = common.components(spark.createDataFrame(pairs, "a long, b long"))
+    assert {r.node: r.component for r in out.collect()} == {i: 0 for i in range(41)} | {99: 99, 100: 99, 105: 99}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ngram_join_is_exact(spark):
+    rng = random.Random(11)
+    docs, base = {}, [words(rng, 80) for _ in range(4)]
+    passage = words(rng, 60)
+    for i in range(150):
+        w = list(base[i % 4]) if i % 3 else words(rng, 40) + passage
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            w[rng.randrange(len(w))] = rng.choice("xyz") * 5
+        docs[i] = " ".join(w)
+    docs |= {200: None, 201: "", 202: " \n", 203: "a b", 204: "A  B", 205: "one", 206: docs[5], 207: docs[5].upper()}
+    for n, percent in ((3, 90), (5, 80)):
+        sets = {i: set(ngram_join.shingles(t, n).tolist()) for i, t in docs.items()}
+        pairs = [(a, b) for a in docs for b in docs if a < b and sets[a] and sets[b] and ngram_join.linked(len(sets[a]), len(sets[b]), len(sets[a] & sets[b]), percent)]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), n, percent).collect()}
+        assert got == {i: (len(sets[i]), c) for i, c in components_of(pairs, docs).items()}
+
+
+def test_embeddings_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal((5, 16))
+    rows = [(i, i % 2, (centre[i % 5] + rng.standard_normal(16) * rng.choice([0.02, 0.1, 1.0])).tolist()) for i in range(200)]
+    rows += [(300, 0, rows[0][2]), (301, 0, rows[0][2]), (302, None, rows[0][2]), (303, 0, None), (304, 0, [0.0] * 16), (305, 0, [1.0] * 15 + [None]), (306, 0, [float("nan")] * 16), (307, 0, [1e-200] * 16), (308, 0, [2e-200] * 16), (309, 0, [])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").withColumn("kept", F.lit("x"))
+    valid = [(i, l, np.array(e) / np.abs(e).max()) for i, l, e in rows if l is not None and e and None not in e and np.isfinite(e).all() and any(e)]
+    pairs = [(a, b) for a, la, x in valid for b, lb, y in valid if a < b and la == lb and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98]
+    root = components_of(pairs, [r[0] for r in rows])
+    expected = {r[0]: (sum(r[0] in p for p in pairs), root[r[0]], root[r[0]] == r[0]) for r in rows}
+    for block in (1024, 8):
+        got = embedding_dedup.near_duplicates(df, block=block)
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()} == expected
+
+
+def test_fixity_finds_what_was_done(spark):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * (i * 37 % 900)) for i in range(3000)] + [(None, None, None)], "page_id long, url string, html string")
+    a = warc_fixity.manifest(warc_fixity.warc_records(pages))
+    i = F.col("page_id")
+    altered = pages.withColumn("html", F.when(i.isin(5, 2500), F.translate("html", "x", "y")).otherwise(F.col("html")))
+    b = warc_fixity.manifest(warc_fixity.warc_records(altered)).where(i.isNull() | (i != 1500))
+    got = {r.volume: r for r in warc_fixity.audit(a, b, range_bytes=4096, fan_out=4).collect()}
+    assert {v: r.bad_pages for v, r in got.items()} == {-1: [], 0: [5], 1: [1500], 2: [2500]}
+    assert got[-1].intact and not got[0].intact and 0 < got[0].n_compared < 120 and got[0].n_records == 1024
+    assert all(r.intact for r in warc_fixity.audit(a, a).collect())
+    assert warc_fixity.audit(a.where("false"), a.where("false")).count() == 0
+    assert {r.volume: len(r.bad_pages) for r in warc_fixity.audit(a.where("false"), a.where("volume = 2")).collect()} == {2: 952}
+
+
+def test_url_rules_and_reputation(spark):
+    urls = ["https://A.example.com:80/en/7?x", "http://b.com/en/1", "x://c.net/de/8/1", "x://example.net/de/81", "y://z.example.net/de/81#u", "no url", None, "", "a://", "http://org/es/", "http://notcom/en/"]
+    urls += [f"http://spam.example.com/fr/{i}" for i in range(40)] + [f"http://fine.example.com/fr/{100 + i}" for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1)).withColumn("verdict", F.lit(1))
+    labels = spark.createDataFrame([(i, 0) for i in range(40)] + [(100 + i, 1) for i in range(40)] + [(500, None)], "doc_id long, quality int")
+    got = {r.page_id: r for r in url_reputation.url_filter(pages, labels).collect()}
+    assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in range(11)] == [
+        ("a.example.com:80", "/en/7", None, "allow"), ("b.com", "/en/1", "com/en/", "block"), ("c.net", "/de/8/1", "net/de/", "allow"), ("example.net", "/de/81", "example.net/de/8", "block"), ("z.example.net", "/de/81", "example.net/de/8", "block"),
+        ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("org", "/es/", "org/es/", "block"), ("notcom", "/en/", None, "allow"),
+    ]
+    assert {got[i].verdict for i in range(11, 51)} == {"block"} and {got[i].verdict for i in range(51, 91)} == {"allow"}
+    assert url_reputation.url_filter(pages, labels.where("false")).where("rule is null and verdict <> 'allow'").count() == 0
+
+
+def test_repeated_passages(spark):
+    rng = random.Random(8)
+    passages = [" ".join(words(rng, 60)) for _ in range(5)]
+    docs = {i: " ".join(words(rng, 80)) for i in range(40)}
+    for i in range(10, 20):
+        docs[i] = docs[i] + "\n" + passages[i % 5] + " " + " ".join(words(rng, 20))
+    docs |= {50: docs[3], 60: None, 61: "", 62: "é" * 3000}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("n_chars", F.length("text").cast("long"))
+    got = chunk_dedup.repeated_spans(df).collect()
+    assert {r.doc_id for r in got} - {62} == set(range(15, 20)) | {50}
+    assert {tuple(r.first_docs) for r in got if r.doc_id == 15} == {(10,)} and {tuple(r.first_docs) for r in got if r.doc_id == 50} == {(3,)}
+    left = {r.doc_id: r for r in chunk_dedup.remove_repeats(df).collect()}
+    assert 50 not in left and left[3].text == docs[3] and left[60].text is None and left[61].text == "" and left[10].text == docs[10]
+    for i in range(15, 20):
+        assert len(left[i].text.split()) < 125 and left[i].text.startswith(" ".join(docs[i].split()[:70])) and left[i].n_chars == len(left[i].text)
+    assert chunk_dedup.remove_repeats(df).columns == df.columns
+
+
+def test_contamination(spark):
+    rng = random.Random(2)
+    items = [(i, " ".join(words(rng, rng.randint(14, 40)))) for i in range(12)]
+    docs = [(i, " ".join(words(rng, 60))) for i in range(60)]
+    docs += [(100 + i, docs[i][1] + " " + t.upper() + ". " + docs[i + 1][1]) for i, t in items] + [(200, None), (201, ""), (None, items[0][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (98, None), (99, ""), (None, "x y z")], "item_id long, text string")
+    for block in (20_000, 5):
+        got = decontaminate.contaminated(df.withColumn("score", F.lit("x")), bench, items=block).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(100 + i, i) for i in range(12)} | {(None, 0)} and {r.score for r in got} == {1.0}
+    assert decontaminate.contaminated(df, bench.where("false")).count() == 0
+
+
+def held_out_accuracy(spark, name, column):
+    sf = DATA.replace("0.001", "0.01")
+    out = queries()[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    assert out.where("score < 0 or score > 1 or score is null").count() == 0
+    return out.agg(F.avg((F.col("predicted") == F.col(column)).cast("double"))).first()[0]
+
+
+def test_quality_held_out(spark, duck):
+    assert held_out_accuracy(spark, "op6_quality", "quality") >= 0.95
+
+
+def test_toxicity_held_out(spark, duck):
+    assert held_out_accuracy(spark, "op10_toxicity", "toxic") >= 0.9
+
+
+def test_rules_read_from_trees():
+    text = "Tree 0 (weight 1.0):\n    If (feature 0 <= 0.5)\n     If (feature 1 > 2.0)\n      Predict: 1.0\n     Else (feature 1 <= 2.0)\n      Predict: 0.0\n    Else (feature 0 > 0.5)\n     Predict: 0.0\n"
+    rules = [str(r) for r in quality_rules.tree_rules(text, ["a", "b"])]
+    assert rules == ["a <= 0.5", "a <= 0.5 and b > 2", "a <= 0.5 and b <= 2", "a > 0.5"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Documents with nulls, empties, a long text, ties, repeats, and columns whose names the operators use inside."""
+    rows = [(1, "some words here. and more words!"), (1, "some words here. and more words!"), (2, None), (3, ""), (None, "no id"), (4, "long " * 60_000), (5, " \n\t"), (6, "\ud7ff\x00 odd \x1c text"), (7, "Some  WORDS here. and more words!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("score", "component_id", "row", "spans", "y", "label_id", "join_id", "digest", "n_words", "rep", "ids", "node", "kept_id", "leak_id", "new_text"):
+        df = df.withColumn(c, F.lit("mine"))
+    return df
+
+
+def test_odd_tables(spark, odd):
+    empty = odd.where("false")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, None), (None, 1, 1), (4, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "some words here"), (2, None)], "item_id long, text string")
+    for docs in (odd, empty):
+        n = docs.count()
+        assert bpe.bpe_encode(docs, VOCABULARY).count() == bpe.bpe_encode(docs, VOCABULARY, True).count() == n
+        assert ngram_join.ngram_jaccard_join(docs).count() == n
+        assert chunk_dedup.repeated_spans(docs).where("doc_id <> 4").count() == 0
+        assert chunk_dedup.remove_repeats(docs).columns == docs.columns
+        assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} == ({1, 7} if n else set())
+        for l in (labels, labels.where("false")):
+            assert quality_rules.quality_scores(docs, quality_rules.train(docs, l)).where("score between 0 and 1").count() == n
+            assert toxicity_knn.toxicity(docs, l).where("score between 0 and 1").count() == n
+        assert quality_rules.keep_good(docs, quality_rules.RuleEnsemble(0.0, []), 0.5).columns == docs.columns
+    pages = odd.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), F.lit(None).cast("string").alias("url"), F.lit("mine").alias("volume"), F.lit(1).alias("text"))
+    assert html_main.extract_main_text(pages).count() == 9 and html_main.extract_main_text(pages.where("false")).count() == 0
+    m = warc_fixity.manifest(warc_fixity.warc_records(pages))
+    assert all(r.intact for r in warc_fixity.audit(m, m).collect())
+    assert url_reputation.url_filter(pages, labels).count() == 9
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(odd).where("doc_id is not null").collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 1}
+
+
+def test_embeddings_empty(spark):
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
+
+
+def test_pipeline_stages(spark, duck, odd, tmp_path):
+    import corpus_pipeline as p
+
+    assert len(p.STAGES) == 5 and p.ORACLE_SQL is None
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    seen = docs
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, seen, DATA)
+        assert out.columns == docs.columns, name
+        seen = common.materialize(out)
+    kept = {r.doc_id: r.text for r in seen.collect()}
+    last = {r.doc_id: r for r in p.run(spark, DATA).collect()}
+    assert set(last) == set(kept) and 0 < len(kept) < docs.count()
+    own = bpe.WordBpe(VOCABULARY)
+    for i, t in list(kept.items())[:40]:
+        assert list(last[i].ids) == own.encode(t) and last[i].decoded == own.decode(list(last[i].ids))
+    for name, stage in p.STAGES:
+        for table in (odd, odd.where("false")):
+            out = stage(spark, table, DATA)
+            assert out.count() <= table.count() and (name == p.STAGES[-1][0] or out.columns == table.columns)
