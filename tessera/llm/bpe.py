@@ -20,8 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fragments whose ids each task remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+from tessera.llm.common import slices
+
+#: Stretches and fragments whose ids each task remembers at least; twice as many at most.
+REMEMBERED = 150_000
 #: Control characters that are white space to str.split() alone.
 CONTROLS = re.compile("[\x1c-\x1f]")
 #: White space as the file's pattern sees it (fixed values of the Unicode property White_Space).
@@ -55,6 +57,27 @@ def byte_letters() -> list[str]:
     return [hidden.get(b) or chr(b) for b in range(256)]
 
 
+class Recent:
+    """The ids of the keys met last, in two generations: when the new one is full the old one goes, so that keys in
+    use stay and memory is bounded."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.new: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+
+    def get(self, key: str) -> list[int] | None:
+        ids = self.new.get(key)
+        if ids is None and (ids := self.old.get(key)) is not None:
+            self.put(key, ids)
+        return ids
+
+    def put(self, key: str, ids: list[int]) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = ids
+
+
 class WordBpe:
     """Encoder and decoder of a tokenizer file with word-end suffixes, made for use inside a task."""
 
@@ -73,13 +96,18 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # The classes are spelled out, since regular expression libraries differ in the Unicode version they know.
         classes = {"\\p{L}": class_ranges("L", NEW_LETTERS), "\\p{N}": class_ranges("N", NEW_NUMBERS), "\\s": SPACE}
-        for name, ranges in classes.items():
-            pattern = pattern.replace(f"[{name}]", f"[{ranges}]").replace(name, ranges)
-        self.words = regex.compile(pattern)
+        plain = {"\\p{L}": "A-Za-z", "\\p{N}": "0-9", "\\s": "\\t\\n\\x0b\\x0c\\r "}
+
+        def spelled(by: dict[str, str]) -> str:
+            out = pattern
+            for name, ranges in by.items():
+                out = out.replace(f"[{name}]", f"[{ranges}]").replace(name, ranges)
+            return out
+
+        self.words, self.plain_words = regex.compile(spelled(classes)), re.compile(spelled(plain))
         self.blank = regex.compile(f"[{SPACE}]+")
         self.cuts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.known: dict[str, list[int]] = {}
-        self.known_fragments: dict[str, list[int]] = {}
+        self.known, self.known_fragments = Recent(REMEMBERED), Recent(REMEMBERED // 2)
 
     def _neighbours(self) -> tuple[set[str], set[str]]:
         """Pairs of letters that stand side by side in some token: anywhere, and as the last two of a word."""
@@ -156,9 +184,7 @@ class WordBpe:
             if ids is None:
                 ids = self._merge(part)
                 if len(part) <= 64:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[part] = ids
+                    seen.put(part, ids)
             out += ids
         return out
 
@@ -173,22 +199,21 @@ class WordBpe:
         return self.blank.split(text) if CONTROLS.search(text) else text.split()
 
     def _ids(self, piece: str) -> list[int]:
-        ids = [i for word in self.words.findall(piece) for i in self._word(word)]
+        words = (self.plain_words if piece.isascii() else self.words).findall(piece)
+        ids = [i for word in words for i in self._word(word)]
         if len(piece) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = ids
+            self.known.put(piece, ids)
         return ids
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        known = self.known
+        known = self.known.get
         for part in self.cuts.split(text or "") if self.cuts else [text or ""]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
             for piece in self._pieces(self._lower(part)):
-                ids = known.get(piece)
+                ids = known(piece)
                 out += self._ids(piece) if ids is None else ids
         return out
 
@@ -217,7 +242,7 @@ def bpe_encode(docs: DataFrame, path: str, digest_only: bool = False) -> DataFra
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [bpe.encode(t) for t in batch["text"]]
             decoded = [bpe.decode(i) for i in ids]
             if digest_only:

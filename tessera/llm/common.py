@@ -119,6 +119,13 @@ def by_groups(df: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarr
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(grouped, schema)
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """The same rows in pieces of at most ``rows``, so that what a task makes of its texts stays small."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows].reset_index(drop=True)
+
+
 def _ends(part: pd.DataFrame, keys: list[str]) -> np.ndarray:
     """Where groups begin, up to the begin of the last one, which may go on in the next batch."""
     new = np.zeros(len(part), bool)
