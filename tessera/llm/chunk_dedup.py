@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, slices
 
 #: Bytes that the rolling hash sees; bits of it that are 0 at a cut (32 bytes between cuts on average); longest chunk.
 SEEN, CUT_BITS, LONGEST = 16, 5, 256
@@ -89,7 +89,7 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     rows = docs.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [chunks(t) for t in batch["text"]]
             if not found:
                 continue

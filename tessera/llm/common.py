@@ -52,18 +52,16 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b")
         return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def mark(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stars(pairs: DataFrame) -> bool:
+        """Whether every larger end has one smaller end, which is itself no larger end: nothing is left to do then."""
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e"))
+        open_ends = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.count("*").alias("n")).where("up > 1 or (up = 1 and n > 1)")
+        return open_ends.agg(F.count("*")).first()[0] == 0
 
     ends = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
     pairs = materialize(ends.distinct())
-    before = mark(pairs)
-    while before[0]:
+    while not stars(pairs):
         pairs = materialize(step(materialize(step(pairs, True)), False))
-        now = mark(pairs)
-        if now == before:
-            break
-        before = now
     low = pairs.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(low)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tessera.llm.common import components, in_blocks, materialize
+from tessera.llm.common import components, in_blocks, materialize, slices
 
 #: Counters of the frequency sketch that orders n-grams from rare to common (its size is the bound of what is broadcast).
 COUNTERS = 1 << 18
@@ -70,7 +70,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, n) for t in batch["text"]]
             found += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) if sets else 0
         at = np.flatnonzero(found)
@@ -83,7 +83,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
     def first_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         how_common = order.value
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(text, n)
@@ -135,8 +135,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     ).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
     pairs = materialize(pairs.distinct().join(first, ["a", "b"], "left_anti"))
     more = _verified(pairs, rows, n, percent)
-    joined = found.unionByName(more)
-    member_of = components(joined)
+    known = member_of.select(F.col("c_node").alias("a"), F.col("component").alias("b"))
+    member_of = components(known.unionByName(more))
     by_digest = groups.select(F.col("digest").alias("g_digest"), "rep").join(member_of, F.col("rep") == F.col("node"), "left")
     by_digest = materialize(by_digest.select("g_digest", F.coalesce("component", "rep").alias("component")))
     out = sets.select("doc_id", "n_shingles", "digest").join(by_digest, F.col("digest") == F.col("g_digest"), "left")
@@ -174,7 +174,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFr
 
     def overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
                 if (one := last.get(a)) is None:
