@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Words of a seed. A benchmark of more items than ITEMS is taken in blocks of so many: the bound of what is broadcast.
 SEED_WORDS, ITEMS = 3, 20_000
-#: A seed is rare below this share of all documents; of an item's seeds, those up to twice the median count are taken too.
-RARE_SHARE = 1e-3
 #: Scores of the alignment, and the share of an item's greatest score from which a passage is a copy of it.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
@@ -51,6 +49,7 @@ class Seeds:
         self.n, self.ids = n, [i for i, _ in items]
         vocabulary: dict[str, int] = {}
         self.items = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for _, t in items]
+        self.own = [np.unique(w, return_counts=True) for w in self.items]
         self.vocabulary, self.base = vocabulary, len(vocabulary) + 1
         pairs = [(int(k), i) for i, w in enumerate(self.items) for k in np.unique(self.keys(w))]
         self.keys_all = np.array(sorted({k for k, _ in pairs}), np.int64)
@@ -86,24 +85,28 @@ class Seeds:
         return words, places[hit], found[hit]
 
     def rare(self, counts: np.ndarray, n_docs: int, share: float) -> np.ndarray:
-        """Which seeds to use: the rare ones, and of each item those up to twice the median count of its seeds."""
-        use = counts <= share * n_docs
-        of_item: list[list[int]] = [[] for _ in self.items]
-        for seed, owners in enumerate(self.owners):
-            for i in owners:
-                of_item[i].append(seed)
-        for seeds in of_item:
-            if seeds:
-                mine = np.array(seeds)
-                use[mine[counts[mine] <= 2 * np.median(counts[mine])]] = True
-        return use
-
-    def copies(self, text: str | None, use: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
-        """(item id, score, first word, last word + 1) of the best copy of each item that the text holds."""
+        """The seeds that at most a share of the documents hold, for callers who accept to miss copies held by more.
+
+        ``contaminated`` uses all seeds.
+        """
+        return counts <= share * n_docs
+
+    def shared(self, i: int, words: np.ndarray) -> int:
+        """How many words of item ``i``, each as often as it stands there, are among ``words``: no alignment matches more."""
+        own, counts = self.own[i]
+        at = np.searchsorted(own, words).clip(max=len(own) - 1)
+        return int(np.minimum(np.bincount(at[own[at] == words], minlength=len(own)), counts).sum())
+
+    def copies(self, text: str | None, use: np.ndarray | None, least: float) -> list[tuple[int, float, int, int]]:
+        """(item id, score, first word, last word + 1) of the best copy of each item that the text holds.
+
+        Only seeds of ``use`` count, all where that is None. An alignment of m matches scores at most MATCH * m, so
+        where too few of the words around the seeds are the item's it is not made.
+        """
         words, places, seeds = self.find(text)
         near: dict[int, list[int]] = {}
         for p, s in zip(places.tolist(), seeds.tolist(), strict=True):
-            if use[s]:
+            if use is None or use[s]:
                 for i in self.owners[s]:
                     near.setdefault(i, []).append(p)
         out = []
@@ -114,9 +117,10 @@ class Seeds:
             for k, p in enumerate(at):
                 if k + 1 == len(at) or at[k + 1] - p > reach:
                     low, high = max(0, start - reach), min(len(words), p + reach + self.n)
-                    score, end = align(item, words[low:high])
-                    if score / (MATCH * len(item)) > best[0]:
-                        best = (score / (MATCH * len(item)), max(low, low + end - len(item)), low + end)
+                    if self.shared(i, words[low:high]) >= least * len(item):
+                        score, end = align(item, words[low:high])
+                        if score / (MATCH * len(item)) > best[0]:
+                            best = (score / (MATCH * len(item)), max(low, low + end - len(item)), low + end)
                     if k + 1 < len(at):
                         start = at[k + 1]
             if best[0] >= least:
@@ -124,11 +128,12 @@ class Seeds:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, share: float = RARE_SHARE, items: int = ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, items: int = ITEMS) -> DataFrame:
     """Documents that hold a copy, paraphrased or edited, of a benchmark item: doc_id, item_id, score, start, end.
 
-    Words are runs of letters, digits and underscores in lower case. Document frequencies of the benchmark's n-grams
-    are counted over all documents; where a document holds a rare one, the item is aligned with the words around it.
+    Words are runs of letters, digits and underscores in lower case. Where a document holds any n-gram of an item,
+    however common, the item is aligned with the words around it, so no result depends on the other documents. A copy
+    of which no SEED_WORDS words in a row are left is not found.
     ``score`` is the alignment's share of the item's greatest score (1 for a verbatim copy), ``start`` and ``end``
     count words. Documents are never shuffled: only blocks of at most ``items`` benchmark items are sent to them.
 
@@ -143,33 +148,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     out = None
     for block in range(n_blocks):
         part = tests if n_blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)
-        found = _against(spark, rows, Seeds([(r[0], r[1]) for r in part.orderBy("item_id", "text").collect()]), least, share, schema)
+        found = _against(spark, rows, Seeds([(r[0], r[1]) for r in part.orderBy("item_id", "text").collect()]), least, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _against(spark, rows: DataFrame, seeds: Seeds, least: float, share: float, schema: str) -> DataFrame:
+def _against(spark, rows: DataFrame, seeds: Seeds, least: float, schema: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(seeds)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        counts = np.zeros(len(index.keys_all) + 1, np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                counts[np.unique(index.find(text)[2])] += 1
-                counts[-1] += 1
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"at": at, "n": counts[at]})
-
-    counts = np.zeros(len(seeds.keys_all) + 1, np.int64)
-    for r in rows.mapInPandas(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        counts[r["at"]] = r["n"]
-    use = seeds.rare(counts[:-1], int(counts[-1]), share)
-
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for batch in batches:
-            found = [(d, *c) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for c in index.copies(t, use, least)]
+            found = [(d, *c) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for c in index.copies(t, None, least)]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "start", "end"])
 
     return rows.mapInPandas(aligned, schema)

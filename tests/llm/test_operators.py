@@ -125,6 +125,17 @@ def test_contamination(spark):
     assert decontaminate.contaminated(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_common_edited_copies(spark):
+    rng = random.Random(8)
+    item, other = words(rng, 30), words(rng, 30)
+    copy = [f"x{k}" if k % 5 == 2 else w for k, w in enumerate(item)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+    for n, held in ((200, 1), (200, 60), (1000, 2)):
+        docs = [(i, " ".join(words(rng, 20) + (copy if i < held else []) + words(rng, 20))) for i in range(n)]
+        got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+        assert sorted((r.doc_id, r.item_id, round(r.score, 6)) for r in got) == [(i, 1, 0.7) for i in range(held)]
+
+
 def held_out_accuracy(spark, name, column):
     sf = DATA.replace("0.001", "0.01")
     out = queries()[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
