@@ -33,18 +33,24 @@ CONTENT_TAGS = {"article", "main"}
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
-#: Paths whose smoothed and fused ratio is at least this share of the page's best are content outside an article.
+#: Paths whose smoothed, fused and weighted ratio is at least this share of the page's best ratio are content.
 SHARE = 0.15
+#: Weight of a path in an article or main element. An article with less text than a path outside weighs less, but this at least.
+ARTICLE_WEIGHT, LEAST_WEIGHT = 2.0, 1 / 3
+#: Elements on whose class and id a word such as has-sidebar says nothing about their own text.
+WHOLE_TAGS = {"html", "body", *CONTENT_TAGS}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def is_aside(tag: str, attributes: str) -> bool:
+def is_aside(tag: str, attributes: str, nested: bool = False) -> bool:
+    """Whether tag or attributes mark boilerplate; an article nested in another may be a comment."""
     if tag in ASIDE_TAGS:
         return True
     if not attributes or not attributes.strip(" /"):
         return False
     for m in ATTR.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and ASIDE_WORDS.search(value):
+        if name in ("class", "id") and (nested or tag not in WHOLE_TAGS) and ASIDE_WORDS.search(value):
             return True
         if name == "role" and value.lower() in ASIDE_ROLES:
             return True
@@ -53,22 +59,37 @@ def is_aside(tag: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(text, path, aside, in article) of each block of text, in page order."""
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
-    out: list[tuple[str, str, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, str, bool, bool, int, int]]:
+    """(text, path, aside, in main, article, link letters) of each block of text, in page order.
+
+    ``article`` numbers the outermost article element around the block, 0 where there is none.
+    """
+    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    out: list[tuple[str, str, bool, bool, int, int]] = []
     text: list[str] = []
-    at = 0
+    at = link = linked = n_articles = 0
+
+    def add(part: str) -> None:
+        nonlocal linked
+        text.append(part)
+        if link:
+            linked += len("".join(part.split()))
 
     def flush() -> None:
+        nonlocal linked
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            out.append((joined, "/".join([s[0] for s in stack]), stack[-1][1], stack[-1][2]))
+            out.append((joined, "/".join([s[0] for s in stack]), *stack[-1][1:], linked))
+        linked = 0
 
     def pop_to(k: int) -> None:
+        nonlocal link
         flush()
         del stack[k:]
+        # A link that nothing ends goes as far as the element around it.
+        if link > k:
+            link = 0
 
     def close(names: set[str], scope: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -80,15 +101,17 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
 
     while m := TAG.search(page, at):
         if m.start() > at:
-            text.append(html.unescape(page[at : m.start()]))
+            add(html.unescape(page[at : m.start()]))
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
+                add(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
             continue
         name = m[2].lower()
         if name == "br":
             text.append(" ")
+        if name == "a":
+            link = 0 if m[1] or "href" not in m[3].lower() else len(stack)
         if name in INLINE_TAGS and (m[1] or not is_aside(name, m[3])):
             if not m[1] or all(s[0] != name for s in stack):
                 continue
@@ -112,10 +135,12 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             close(ENDS_SAME[name], SCOPES[name])
         flush()
         if name not in VOID_TAGS:
-            _, aside, article = stack[-1]
-            stack.append((name, aside or is_aside(name, m[3]), article or name in CONTENT_TAGS or 'role="main"' in m[3]))
+            _, aside, main, article = stack[-1]
+            if name == "article" and not article:
+                article = n_articles = n_articles + 1
+            stack.append((name, aside or is_aside(name, m[3], stack[-1][3] > 0), main or name == "main" or 'role="main"' in m[3], article))
     if at < len(page):
-        text.append(html.unescape(page[at:]))
+        add(html.unescape(page[at:]))
     flush()
     return out
 
@@ -125,38 +150,57 @@ def main_text(page: str | None) -> str:
     parts = blocks(page or "")
     if not parts:
         return ""
-    # Parts marked as boilerplate are no candidates; an article or main element bounds the rest where there is one.
+    # Parts marked as boilerplate are no candidates.
     open_parts = [p for p in parts if not p[2]]
-    inner = [p for p in open_parts if p[3]]
-    if not (open_parts := inner or open_parts):
+    if not open_parts:
         return ""
     paths: dict[str, list[float]] = {}
-    for text, path, _, _ in open_parts:
-        s = paths.setdefault(path, [0.0, 0.0, 0.0])
+    articles: dict[int, int] = {}
+    outside: dict[str, int] = {}
+    for text, path, _, _, article, linked in open_parts:
+        s = paths.setdefault(path, [0.0, 0.0, 0.0, 0.0, 0.0])
+        letters = len("".join(text.split()))
         s[0] += len(text)
         s[1] += len(PUNCTUATION.findall(text))
         s[2] += 1
-    # Text and punctuation per node of the path, taken at each block in page order, smoothed over its neighbours.
-    text_ratio = np.array([paths[p][0] / paths[p][2] for _, p, _, _ in open_parts])
-    mark_ratio = np.array([paths[p][1] / paths[p][2] for _, p, _, _ in open_parts])
+        s[3] += linked
+        s[4] += letters
+        if article:
+            articles[article] = articles.get(article, 0) + letters - linked
+        else:
+            outside[path] = outside.get(path, 0) + letters - linked
+    # Text and punctuation per node of the path, taken at each block in page order, smoothed over its neighbours on the
+    # same side of an article's bounds.
+    text_ratio = np.array([paths[p[1]][0] / paths[p[1]][2] for p in open_parts])
+    mark_ratio = np.array([paths[p[1]][1] / paths[p[1]][2] for p in open_parts])
+
+    side = np.array([p[4] for p in open_parts])
+    same = side[1:] == side[:-1]
 
     def smooth(x: np.ndarray) -> np.ndarray:
-        padded = np.pad(x, 1, mode="edge")
-        return np.maximum(x, (padded[:-2] + padded[1:-1] + padded[2:]) / 3)
-
-    fused = np.sqrt(smooth(text_ratio) * (1 + smooth(mark_ratio)))
-    # Everything inside the article is kept; elsewhere only paths near the page's best ratio are.
-    keep = np.ones(len(fused), bool) if inner else fused >= SHARE * fused.max()
+        before, after = x.copy(), x.copy()
+        before[1:] = np.where(same, x[:-1], x[1:])
+        after[:-1] = np.where(same, x[1:], x[:-1])
+        return np.maximum(x, (before + x + after) / 3)
+
+    # Links are no text of the page, but a heading may be one.
+    own = np.array([1.0 if p[1].rpartition("/")[2] in HEADINGS else 1 - paths[p[1]][3] / paths[p[1]][4] for p in open_parts])
+    fused = np.sqrt(smooth(text_ratio) * (1 + smooth(mark_ratio))) * own
+    # Beside a longer text elsewhere an article element is a card or a comment.
+    most = max(outside.values(), default=0)
+    of_article = {a: min(ARTICLE_WEIGHT, max(LEAST_WEIGHT, ARTICLE_WEIGHT * n / most)) if most else ARTICLE_WEIGHT for a, n in articles.items()}
+    weight = np.array([of_article[p[4]] if p[4] else ARTICLE_WEIGHT if p[3] else 1.0 for p in open_parts])
+    keep = fused * weight >= SHARE * fused.max()
     return "\n".join([p[0] for p, k in zip(open_parts, keep, strict=True) if k])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Main text of each page: page_id, url, text, n_chars (code points).
 
-    Text length and punctuation are summed per root-to-leaf tag path, smoothed over neighbouring blocks, fused, and
-    thresholded. Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are no
-    candidates; inside an article (or main) element all other blocks are content. Character references are decoded,
-    white space within a block becomes one space, blocks are joined by one newline in page order. Null or empty html
+    Text length and punctuation are summed per root-to-leaf tag path, smoothed over neighbouring blocks, fused with the
+    path's share of text outside links, and thresholded on every page. An article or main element adds weight to the
+    paths in it, less where another path outside holds more text. Navigation, headers, footers, sidebars, notices,
+    adverts, forms, scripts, styles and comments are no candidates. Character references are decoded, white space within a block becomes one space, blocks are joined by one newline in page order. Null or empty html
     gives an empty text; repeated pages are extracted each; other columns are ignored. One narrow stage.
     """
 

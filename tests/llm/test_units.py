@@ -154,6 +154,28 @@ PAGES = {
 }
 
 
+STORY = [f"Sentence {k} of the story, which is long, goes on for a while, and says something about {w}." for k, w in enumerate(["rain", "wind", "snow", "ice"])]
+P = "".join(f"<p>{x}</p>" for x in STORY)
+CARDS = "".join(f"<article class='card'><h3>Card {k}</h3><p>Short teaser {k}.</p></article>" for k in range(5))
+LINKS = "<ul>" + "".join(f"<li><a href='/{k}'>Another story {k}</a></li>" for k in range(6)) + "</ul>"
+ITEMS = ["two eggs and a spoon of salt", "a cup of cold water", "some flour from the mill"]
+RATIO_PAGES = {
+    f"<body><div class='text'>{P}</div><div>{CARDS}</div></body>": STORY,
+    f"<body class='has-sidebar'><div>{P}</div></body>": STORY,
+    f"<html class='no-header'><body class='search no-footer'><main class='content no-sidebar'><article class='post ad'>{P}</article></main></body></html>": STORY,
+    f"<main><div>{P}</div><p>{STORY[0]}</p><div class='box'><span>Read on</span>{LINKS}</div></main>": [*STORY, STORY[0], "Read on"],
+    f"<article><h1><a href='/'>The title</a></h1>{P}<ul><li>{'<li>'.join(ITEMS)}</ul>{P}</article>": ["The title", *STORY, *ITEMS, *STORY],
+    f"<article>{P}<article class='comment'><p>Nice, really, a lot.</p></article></article>": STORY,
+    f"<article><p>{STORY[0]} <a href='/x'>open link<p>{STORY[1]}</article>": [STORY[0] + " open link", STORY[1]],
+    f"<body><article><p>{STORY[0]}</p></article><div>{P}</div></body>": [STORY[0], *STORY],
+}
+
+
+@pytest.mark.parametrize("page", RATIO_PAGES)
+def test_ratios_select_on_every_page(page):
+    assert html_main.main_text(page).split("\n") == RATIO_PAGES[page]
+
+
 def test_main_text():
     for page, expected in PAGES.items():
         assert html_main.main_text(page) == expected
