@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,80 +16,130 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
-#: Labelled rows the index may hold (chosen by a hash of doc_id) and terms it may hold: bounds of what is broadcast.
-MAX_EXAMPLES, MAX_TERMS = 16_384, 384
-#: A term must be in this many examples, and its chi-square with the label must reach this.
-MIN_EXAMPLES, MIN_CHI2 = 5, 60.0
+#: Labelled rows the index may hold (chosen by a hash of doc_id): the bound of what is broadcast.
+MAX_EXAMPLES = 16_384
 #: Nearest examples that vote; examples of one block of the index; weight of the base rate in a vote.
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.15
 #: Leading letters of a word that are terms too, so that inflected forms meet.
 PREFIXES = (4, 5, 6, 7)
+#: Of the numbers that stand for terms.
+BASE, MODULUS = 1_430_218_574_339_021_873, 2**61 - 1
+#: Parts in which the examples pass the driver.
+PARTS = 16
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_terms(word: str) -> list[str]:
-    return [word, *[word[:n] + "*" for n in PREFIXES if len(word) > n]]
+def term_keys(word: str) -> list[int]:
+    """A number for the word and for each of its beginnings that is a term, by a polynomial in its letters.
+
+    That any two of a million terms of up to 20 letters share one has a probability of about 1e-5.
+    """
+    key, out = 0, []
+    for n, c in enumerate(word, 1):
+        key = (key * BASE + ord(c)) % MODULUS
+        if n in PREFIXES and n < len(word):
+            out.append(2 * key + 1)
+    out.append(2 * key)
+    return out
 
 
 class Terms:
-    """Counts of the index's terms in a text, with a bounded memory of words."""
+    """Counts of the index's terms, given as sorted numbers, in a text, with a bounded memory of words."""
 
-    def __init__(self, terms: list[str]):
-        self.at = {t: i for i, t in enumerate(terms)}
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def learn(self, words: Counter) -> None:
+        known = self.known
+        if len(known) >= 300_000:
+            known.clear()
+        if len(self.keys) and (new := [w for w in words if w not in known]):
+            keys = [term_keys(w) for w in new]
+            flat = np.array([k for ks in keys for k in ks], np.int64)
+            at = np.searchsorted(self.keys, flat).clip(max=len(self.keys) - 1)
+            ids = iter(np.where(self.keys[at] == flat, at, -1).tolist())
+            for w, ks in zip(new, keys, strict=True):
+                known[w] = tuple([i for _ in ks if (i := next(ids)) >= 0])
+
+    def present(self, text: str | None) -> set[int]:
+        words = Counter(WORD.findall((text or "").lower()))
+        self.learn(words)
+        return set().union(*[self.known.get(w, ()) for w in words])
+
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        known, at = self.known, self.at
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
-            ids = known.get(word)
-            if ids is None:
-                ids = tuple([at[t] for t in word_terms(word) if t in at])
-                if len(known) >= 300_000:
-                    known.clear()
-                known[word] = ids
-            for i in ids:
+        words = Counter(WORD.findall((text or "").lower()))
+        self.learn(words)
+        for word, n in words.items():
+            for i in self.known.get(word, ()):
                 out[i] = out.get(i, 0) + n
         return out
 
 
 class BlockMaxIndex:
-    """Inverted lists over the examples' unit TF-IDF vectors, with each term's greatest weight in each block.
+    """Inverted lists over the examples' unit TF-IDF vectors; of long lists, the greatest weight in each block of examples.
 
-    ``nearest`` visits blocks by falling upper bound and stops when no block left can hold a nearer example, so the
-    neighbours are those of a full search. Ties go to the example with the smaller position.
+    ``nearest`` adds up the short lists, and looks into the long ones only for examples that their blocks' bounds leave
+    a chance, so the neighbours are those of a full search. Ties go to the example with the smaller position.
     """
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
-        self.block, self.n = block, len(vectors)
-        self.n_blocks = -(-self.n // block)
-        self.top = np.zeros((n_terms, self.n_blocks))
-        lists: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, x in v.items():
-                where, what = lists.setdefault((t, i // block), ([], []))
-                where.append(i % block)
-                what.append(x)
-                self.top[t, i // block] = max(self.top[t, i // block], x)
-        self.lists = {k: (np.array(a), np.array(b)) for k, (a, b) in lists.items()}
+        sizes = [len(v) for v in vectors]
+        where = np.repeat(np.arange(len(vectors)), sizes)
+        terms = np.fromiter((t for v in vectors for t in v), np.int64, sum(sizes))
+        self.build(where, terms, np.fromiter((x for v in vectors for x in v.values()), float, sum(sizes)), len(vectors), n_terms, block)
+
+    @classmethod
+    def of(cls, where: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
+        """The index of the vectors whose entries are given: example, term, weight."""
+        out = cls.__new__(cls)
+        out.build(where, terms, weights, n, n_terms, block)
+        return out
+
+    def build(self, where: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int) -> None:
+        self.block, self.n = block, n
+        self.n_blocks = -(-n // block)
+        order = np.argsort(terms, kind="stable")  # examples come in order
+        self.where, self.what = where[order].astype(np.int32), weights[order].astype(np.float32)
+        sizes = np.bincount(terms, minlength=n_terms)
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
+        # Lists of more than a 32nd of the examples: few, since each takes so many of the entries.
+        self.top: dict[int, np.ndarray] = {}
+        for t in np.flatnonzero(sizes > max(n // 32, 8)).tolist():
+            top = np.zeros(self.n_blocks, np.float32)
+            np.maximum.at(top, self.where[self.ends[t] : self.ends[t + 1]] // block, self.what[self.ends[t] : self.ends[t + 1]])
+            self.top[t] = top
+
+    def add(self, terms: list[int], query: dict[int, float]) -> np.ndarray:
+        if not terms:
+            return np.zeros(self.n)
+        spans = [(self.ends[t], self.ends[t + 1]) for t in terms]
+        weights = np.repeat([query[t] for t in terms], [e - s for s, e in spans])
+        return np.bincount(np.concatenate([self.where[s:e] for s, e in spans]), weights * np.concatenate([self.what[s:e] for s, e in spans]), self.n)
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        terms = list(query)
-        weights = np.array([query[t] for t in terms])
-        bound = weights @ self.top[terms]
-        best_i, best_s = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            score = np.zeros(min(self.block, self.n - b * self.block))
-            for t, w in zip(terms, weights, strict=True):
-                if (found := self.lists.get((t, b))) is not None:
-                    score[found[0]] += w * found[1]
-            hit = np.flatnonzero(score > 0)
-            all_i, all_s = np.concatenate([best_i, hit + b * self.block]), np.concatenate([best_s, score[hit]])
-            order = np.lexsort((all_i, -all_s))[:k]
-            best_i, best_s = all_i[order], all_s[order]
-        return best_i, best_s
+        long = [t for t in query if t in self.top]
+        score = self.add([t for t in query if t not in self.top], query)
+        at = np.arange(self.n)
+        if long:
+            bound = np.array([query[t] for t in long]) @ np.array([self.top[t] for t in long])
+            # What is surely reached by k examples; an example that cannot get there is not looked at again.
+            sure = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
+            at = np.flatnonzero(score + bound[at // self.block] >= sure - 1e-5)
+            if len(at) > self.n // 8:
+                score, at = score + self.add(long, query), np.arange(self.n)
+            else:
+                for t in long:
+                    where, what = self.where[self.ends[t] : self.ends[t + 1]], self.what[self.ends[t] : self.ends[t + 1]]
+                    found = np.searchsorted(where, at).clip(max=len(where) - 1)
+                    hit = where[found] == at
+                    score[at[hit]] += query[t] * what[found[hit]]
+        at = at[score[at] > 0]
+        if len(at) > k:
+            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
+        order = np.lexsort((at, -score[at]))[:k]
+        return at[order], score[at[order]]
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
@@ -96,29 +148,43 @@ def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
     return {t: x / length for t, x in v.items()} if length else {}
 
 
-def choose_terms(stats: pd.DataFrame, n: int, n_pos: int, max_terms: int = MAX_TERMS, min_chi2: float = MIN_CHI2) -> list[str]:
-    """The terms whose presence goes most with the label; of terms in the same examples only the longest is kept."""
-    a, total = stats["n_pos"].to_numpy(float), stats["n_all"].to_numpy(float)
-    b, c, d = total - a, n_pos - a, n - n_pos - (total - a)
-    chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    # A word that keeps company with the label in most of the examples that hold it; the rest is chance.
-    stats = stats.assign(chi2=chi2, lean=a / np.maximum(total, 1))
-    stats = stats[(stats["chi2"] >= min_chi2) & (stats["lean"] >= max(0.5, 2 * n_pos / max(n, 1)))]
-    stats = stats.sort_values(["chi2", "term"], ascending=[False, True])
-    counts = {t: (n, p) for t, n, p in zip(stats["term"], stats["n_all"], stats["n_pos"], strict=True)}
-    longer = {t[:k] + "*" for t in counts for k in PREFIXES if counts.get(t[:k] + "*") == counts[t] and t[:k] + "*" != t}
-    return [t for t in counts if t not in longer][:max_terms]
+def label_weights(n_all: np.ndarray, n_pos: np.ndarray, n: int, positive: int) -> np.ndarray:
+    """How much each term's presence goes with the label: chi-square over the number of rows, from 0 to 1.
+
+    It depends on shares alone. A term that says nothing of the label keeps the weight of a chance half-row, so that
+    every term counts.
+    """
+    a, total = n_pos.astype(float), n_all.astype(float)
+    b, c, d = total - a, positive - a, n - positive - (total - a)
+    return ((a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)) + 0.5 / max(n, 1)
 
 
 class Scorer:
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list[dict[int, float]], labels: list[int], ids: list[int], k: int = NEIGHBOURS):
-        self.terms, self.idf, self.k = Terms(terms), idf, k
-        full = [i for i, v in enumerate(vectors) if v]
-        self.y, self.ids = np.array([labels[i] for i in full], float), np.array([ids[i] for i in full])
-        self.index = BlockMaxIndex([vectors[i] for i in full], len(terms))
-        rest = [labels[i] for i, v in enumerate(vectors) if not v]
-        self.base = (sum(labels) + 1) / (len(labels) + 20)
-        self.rest = (sum(rest) + self.base) / (len(rest) + 1)
+    """Scores a text by the examples: ``at``, ``terms`` and ``weights`` are the entries of their unit vectors."""
+
+    def __init__(self, terms: Terms, idf: np.ndarray, at: np.ndarray, entries: np.ndarray, weights: np.ndarray, labels: np.ndarray, ids: np.ndarray, k: int = NEIGHBOURS):
+        self.terms, self.idf, self.k = terms, idf, k
+        self.y, self.ids = labels.astype(float), ids
+        self.index = BlockMaxIndex.of(at, entries, weights, len(ids), len(idf))
+        rest = labels[np.bincount(at, minlength=len(ids)) == 0]
+        self.base = float((labels.sum() + 1) / (len(labels) + 20))
+        self.rest = float((rest.sum() + self.base) / (len(rest) + 1))
+
+    @classmethod
+    def of(cls, terms: Terms, idf: np.ndarray, parts: list[tuple], k: int) -> Scorer:
+        """The scorer of examples in parts: ids, labels, sizes, packed terms and counts. Examples are put in order of ids."""
+        ids, labels, sizes = [np.concatenate([p[i] for p in parts]) for i in range(3)]
+        entries = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(p[3]), np.int32), dtype=np.int32) for p in parts])
+        counts = np.concatenate([np.frombuffer(zlib.decompress(p[4]), p[5]) for p in parts])
+        weights = ((1 + np.log(counts.astype(float))) * idf[entries]).astype(np.float32)
+        of = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        weights /= np.sqrt(np.bincount(of, weights.astype(float) ** 2, len(ids)))[of].astype(np.float32)
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.int32)
+        place[order] = np.arange(len(ids))
+        at = np.repeat(place, sizes)
+        by = np.argsort(at, kind="stable")
+        return cls(terms, idf, at[by], entries[by], weights[by], labels[order], ids[order], k)
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         query = unit(self.terms.counts(text), self.idf)
@@ -129,17 +195,20 @@ class Scorer:
         return float((votes @ self.y[at] + PRIOR * self.base) / (votes.sum() + PRIOR)), self.ids[at].tolist(), near.tolist()
 
 
+#: The scorer that this worker built last, by a name of its query.
+SCORERS: dict[str, Scorer] = {}
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> DataFrame:
     """Scores every whole text by its nearest labelled examples: doc_id, score, neighbours, similarities.
 
-    Terms are words and their leading letters; those that go with the label in a bounded sample of the labelled rows
-    (``max_examples``, by a hash of doc_id) span the vector space, in which each example and each document has a
-    TF-IDF vector with document frequencies counted over all documents. Votes of the ``k`` nearest by exact cosine,
+    Terms are words and their leading letters. All terms of a bounded sample of the labelled rows (``max_examples``, by
+    a hash of doc_id) span the vector space, in which each example and each document has a TF-IDF vector with document
+    frequencies counted over all documents, times how much a term goes with the label (:func:`label_weights`). Votes of the ``k`` nearest by exact cosine,
     weighted by squared similarity and drawn to the base rate, give the score; the voters are its evidence. A text
     without any of the terms (an empty or null one too) is scored by the examples that have none either. Conflicting
     labels of one doc_id count as toxic; null labels are ignored; with no labels at all scores are a constant. The
-    index (at most ``max_examples`` vectors over MAX_TERMS terms) goes to each task in its closure; documents are
-    never shuffled.
+    index (at most ``max_examples`` vectors, with all terms of those texts) is broadcast; documents are never shuffled.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -151,42 +220,59 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
         for batch in batches:
             out: dict[str, list[int]] = {}
             for text, y in zip(batch["text"], batch["y"], strict=True):
-                for t in {t for w in set(WORD.findall(text.lower())) for t in word_terms(w)}:
+                for t in {t for w in set(WORD.findall(text.lower())) for t in term_keys(w)}:
                     c = out.setdefault(t, [0, 0])
                     c[0] += 1
                     c[1] += y
             yield pd.DataFrame({"term": list(out), "n_all": [c[0] for c in out.values()], "n_pos": [c[1] for c in out.values()]})
 
     n, n_pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    stats = sample.mapInPandas(example_terms, "term string, n_all long, n_pos long").groupBy("term").agg(F.sum("n_all").alias("n_all"), F.sum("n_pos").alias("n_pos"))
-    # Only terms that lean to the label can be chosen; the most frequent of them bound what reaches the driver.
-    stats = stats.where((F.col("n_all") >= MIN_EXAMPLES) & (F.col("n_pos") * 2 >= F.col("n_all"))).orderBy(F.desc("n_pos"), "term").limit(20 * MAX_TERMS)
-    terms = choose_terms(stats.toPandas(), n, n_pos)
+    stats = sample.mapInPandas(example_terms, "term long, n_all long, n_pos long").groupBy("term").agg(F.sum("n_all").alias("n_all"), F.sum("n_pos").alias("n_pos"))
+    stats = stats.toArrow().to_pandas().sort_values("term", ignore_index=True)
+    known = spark.sparkContext.broadcast(Terms(stats["term"].to_numpy(np.int64)))
+    n_terms = len(stats)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter, found, seen = Terms(terms), np.zeros(len(terms) + 1, np.int64), 0
+        counter, found = known.value, np.zeros(n_terms + 1, np.int64)
         for batch in batches:
             for text in batch["text"]:
-                found[list(counter.counts(text))] += 1
+                found[list(counter.present(text))] += 1
                 found[-1] += 1
-        yield pd.DataFrame({"at": np.arange(len(terms) + 1), "n": found})
+        at = np.flatnonzero(found)
+        yield pd.DataFrame({"at": at, "n": found[at]})
 
-    df = {r["at"]: r["n"] for r in rows.mapInPandas(frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
-    n_docs = df.get(len(terms), 0)
-    idf = np.array([math.log((1 + n_docs) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
+    counted = rows.mapInPandas(frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    df = np.zeros(n_terms + 1, np.int64)
+    df[counted["at"].to_numpy(int)] = counted["n"].to_numpy(int)
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * label_weights(stats["n_all"].to_numpy(int), stats["n_pos"].to_numpy(int), n, n_pos)
+    del stats, counted
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Terms(terms)
+        counter = known.value
         for batch in batches:
-            found = [counter.counts(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "t": [list(c) for c in found], "n": [list(c.values()) for c in found]})
-
-    examples = sample.mapInPandas(vectors, "doc_id long, y int, t array<int>, n array<int>").orderBy("doc_id").collect()
-    model = (terms, idf, [unit(dict(zip(e["t"], e["n"], strict=True)), idf) for e in examples], [e["y"] for e in examples], [e["doc_id"] for e in examples], k)
-    shared = spark.sparkContext.broadcast(model)
+            found = [dict(sorted(counter.counts(t).items())) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "t": [np.array(list(c), np.int32).tobytes() for c in found], "n": [np.array(list(c.values()), np.int32).tobytes() for c in found]})
+
+    # A part of the examples at a time, so that the driver never holds the whole index.
+    parts = []
+    for part in range(PARTS):
+        some = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == part)
+        examples = some.mapInPandas(vectors, "doc_id long, y int, t binary, n binary").toArrow().to_pandas()
+        terms = np.frombuffer(b"".join(examples["t"]), np.int32)
+        sizes = np.array([len(t) // 4 for t in examples["t"]], int)
+        counts = np.frombuffer(b"".join(examples["n"]), np.int32)
+        counts = counts.astype(np.min_scalar_type(counts.max(initial=0)))
+        packed = zlib.compress(np.diff(terms, prepend=np.int32(0)).tobytes(), 1), zlib.compress(counts.tobytes(), 1), counts.dtype.str
+        parts.append(spark.sparkContext.broadcast((examples["doc_id"].to_numpy(int), examples["y"].to_numpy(int), sizes, *packed)))
+        del examples, terms, sizes, counts
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, idf, k))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(*shared.value)
+        name, idf, k = shared.value
+        if name not in SCORERS:
+            SCORERS.clear()
+            SCORERS[name] = Scorer.of(known.value, idf, [p.value for p in parts], k)
+        scorer = SCORERS[name]
         for batch in batches:
             found = [scorer.score(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [f[0] for f in found], "neighbours": [f[1] for f in found], "similarities": [f[2] for f in found]})

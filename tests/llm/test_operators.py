@@ -151,6 +151,25 @@ def test_toxicity_held_out(spark, duck):
     assert held_out_accuracy(spark, "op10_toxicity", "toxic") >= 0.9
 
 
+def test_toxicity_uses_every_term(spark):
+    rng = random.Random(4)
+    common = words(rng, 40)
+    for n in (160, 1600):
+        texts, labels = [], []
+        own = ["".join(rng.choices("qrstuvwxyz", k=9)) for _ in range(n)]
+        for i in range(n):
+            toxic = i % 10 == 0
+            mark = " vile" if toxic and i % 30 == 0 else ""
+            texts.append((i, " ".join(rng.choices(common, k=12) + [own[i]]) + mark))
+            labels.append((i, int(toxic)))
+        texts += [(n, " ".join(rng.choices(common, k=12)) + " vile"), (n + 1, own[7]), (n + 2, "unheard ofword")]
+        docs, known = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+        got = {r.doc_id: r for r in toxicity_knn.toxicity(docs, known).where(f"doc_id >= {n}").collect()}
+        assert got[n].score > 0.5 and all(i % 30 == 0 for i in got[n].neighbours[:5])
+        assert got[n + 1].neighbours[0] == 7 and got[n + 1].score < 0.2
+        assert got[n + 2].neighbours == []
+
+
 def test_rules_read_from_trees():
     text = "Tree 0 (weight 1.0):\n    If (feature 0 <= 0.5)\n     If (feature 1 > 2.0)\n      Predict: 1.0\n     Else (feature 1 <= 2.0)\n      Predict: 0.0\n    Else (feature 0 > 0.5)\n     Predict: 0.0\n"
     rules = [str(r) for r in quality_rules.tree_rules(text, ["a", "b"])]
