@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,138 +12,96 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, slices
 
 #: Labelled rows the index may hold (chosen by a hash of doc_id): the bound of what is broadcast.
-MAX_EXAMPLES = 16_384
+MAX_EXAMPLES = 8_192
 #: Nearest examples that vote; examples of one block of the index; weight of the base rate in a vote.
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.15
-#: Leading letters of a word that are terms too, so that inflected forms meet.
-PREFIXES = (4, 5, 6, 7)
-#: Of the numbers that stand for terms.
-BASE, MODULUS = 1_430_218_574_339_021_873, 2**61 - 1
-#: Parts in which the examples pass the driver.
-PARTS = 16
+#: A term in more than this share of the examples has a full row of weights instead of a list.
+LONG = 1 / 8
+#: Texts scored together, and entries of lists that are added up at once.
+TEXTS, ENTRIES = 64, 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def term_keys(word: str) -> list[int]:
-    """A number for the word and for each of its beginnings that is a term, by a polynomial in its letters.
-
-    That any two of a million terms of up to 20 letters share one has a probability of about 1e-5.
-    """
-    key, out = 0, []
-    for n, c in enumerate(word, 1):
-        key = (key * BASE + ord(c)) % MODULUS
-        if n in PREFIXES and n < len(word):
-            out.append(2 * key + 1)
-    out.append(2 * key)
-    return out
-
-
-class Terms:
-    """Counts of the index's terms, given as sorted numbers, in a text, with a bounded memory of words."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, words: Counter) -> None:
-        known = self.known
-        if len(known) >= 300_000:
-            known.clear()
-        if len(self.keys) and (new := [w for w in words if w not in known]):
-            keys = [term_keys(w) for w in new]
-            flat = np.array([k for ks in keys for k in ks], np.int64)
-            at = np.searchsorted(self.keys, flat).clip(max=len(self.keys) - 1)
-            ids = iter(np.where(self.keys[at] == flat, at, -1).tolist())
-            for w, ks in zip(new, keys, strict=True):
-                known[w] = tuple([i for _ in ks if (i := next(ids)) >= 0])
-
-    def present(self, text: str | None) -> set[int]:
-        words = Counter(WORD.findall((text or "").lower()))
-        self.learn(words)
-        return set().union(*[self.known.get(w, ()) for w in words])
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        words = Counter(WORD.findall((text or "").lower()))
-        self.learn(words)
-        for word, n in words.items():
-            for i in self.known.get(word, ()):
-                out[i] = out.get(i, 0) + n
-        return out
+def words_of(text: str | None) -> Counter:
+    return Counter(WORD.findall((text or "").lower()))
 
 
 class BlockMaxIndex:
-    """Inverted lists over the examples' unit TF-IDF vectors; of long lists, the greatest weight in each block of examples.
+    """Inverted lists over unit vectors; of terms in many vectors, full rows of weights and the greatest weight in each block.
 
-    ``nearest`` adds up the short lists, and looks into the long ones only for examples that their blocks' bounds leave
-    a chance, so the neighbours are those of a full search. Ties go to the example with the smaller position.
+    A search adds up the lists first. What the long terms can add to a vector is bounded by the greatest weights of
+    its block; only blocks in which that may lift a vector to the ``k`` best are multiplied with the rows of the long
+    terms. So the neighbours are those of a full search. Ties go to the smaller of ``ids``.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
-        sizes = [len(v) for v in vectors]
-        where = np.repeat(np.arange(len(vectors)), sizes)
-        terms = np.fromiter((t for v in vectors for t in v), np.int64, sum(sizes))
-        self.build(where, terms, np.fromiter((x for v in vectors for x in v.values()), float, sum(sizes)), len(vectors), n_terms, block)
-
-    @classmethod
-    def of(cls, where: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
-        """The index of the vectors whose entries are given: example, term, weight."""
-        out = cls.__new__(cls)
-        out.build(where, terms, weights, n, n_terms, block)
-        return out
-
-    def build(self, where: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int) -> None:
-        self.block, self.n = block, n
-        self.n_blocks = -(-n // block)
-        order = np.argsort(terms, kind="stable")  # examples come in order
-        self.where, self.what = where[order].astype(np.int32), weights[order].astype(np.float32)
+    def __init__(self, where: np.ndarray, terms: np.ndarray, weights: np.ndarray, ids: np.ndarray, n_terms: int, block: int = BLOCK):
+        self.ids, self.n, self.block = ids, len(ids), block
+        self.n_blocks = max(1, -(-self.n // block))
         sizes = np.bincount(terms, minlength=n_terms)
-        self.ends = np.concatenate([[0], np.cumsum(sizes)])
-        # Lists of more than a 32nd of the examples: few, since each takes so many of the entries.
-        self.top: dict[int, np.ndarray] = {}
-        for t in np.flatnonzero(sizes > max(n // 32, 8)).tolist():
-            top = np.zeros(self.n_blocks, np.float32)
-            np.maximum.at(top, self.where[self.ends[t] : self.ends[t + 1]] // block, self.what[self.ends[t] : self.ends[t + 1]])
-            self.top[t] = top
-
-    def add(self, terms: list[int], query: dict[int, float]) -> np.ndarray:
-        if not terms:
-            return np.zeros(self.n)
-        spans = [(self.ends[t], self.ends[t + 1]) for t in terms]
-        weights = np.repeat([query[t] for t in terms], [e - s for s, e in spans])
-        return np.bincount(np.concatenate([self.where[s:e] for s, e in spans]), weights * np.concatenate([self.what[s:e] for s, e in spans]), self.n)
-
-    def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        long = [t for t in query if t in self.top]
-        score = self.add([t for t in query if t not in self.top], query)
-        at = np.arange(self.n)
-        if long:
-            bound = np.array([query[t] for t in long]) @ np.array([self.top[t] for t in long])
-            # What is surely reached by k examples; an example that cannot get there is not looked at again.
-            sure = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
-            at = np.flatnonzero(score + bound[at // self.block] >= sure - 1e-5)
-            if len(at) > self.n // 8:
-                score, at = score + self.add(long, query), np.arange(self.n)
+        long = np.flatnonzero(sizes > max(LONG * self.n, 1))
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[long] = np.arange(len(long))
+        self.rows = np.zeros((len(long), self.n_blocks * block))
+        at = self.row[terms]
+        self.rows[at[at >= 0], where[at >= 0]] = weights[at >= 0]
+        self.top = self.rows.reshape(len(long), self.n_blocks, block).max(axis=2)
+        where, terms, weights = where[at < 0], terms[at < 0], weights[at < 0]
+        order = np.argsort(terms, kind="stable")
+        self.where, self.what = where[order].astype(np.int32), weights[order]
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
+
+    def lists(self, of: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """Sums over the lists of ``terms`` for each of n queries."""
+        width = self.n_blocks * self.block
+        out = np.zeros(n * width)
+        sizes = self.ends[terms + 1] - self.ends[terms]
+        total = np.cumsum(sizes)
+        begin = 0
+        while begin < len(terms):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + ENTRIES)))
+            some = sizes[begin:end]
+            first = np.repeat(self.ends[terms[begin:end]] - np.cumsum(some) + some, some)
+            at = first + np.arange(len(first))
+            out += np.bincount(np.repeat(of[begin:end] * width, some) + self.where[at], np.repeat(weights[begin:end], some) * self.what[at], len(out))
+            begin = end
+        return out.reshape(n, width)
+
+    def search(self, of: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(positions, cosines) of the up to k nearest of each of n unit queries, given as entries (query, term, weight)."""
+        if not self.n:
+            return [(np.zeros(0, int), np.zeros(0))] * n
+        at = self.row[terms]
+        score = self.lists(of[at < 0], terms[at < 0], weights[at < 0], n)
+        if len(self.rows):
+            long = np.zeros((n, len(self.rows)))
+            long[of[at >= 0], at[at >= 0]] = weights[at >= 0]
+            # What k vectors surely reach; a block that cannot get there is not multiplied.
+            sure = np.partition(score[:, : self.n], self.n - k, axis=1)[:, self.n - k] if self.n > k else np.zeros(n)
+            bound = score.reshape(n, self.n_blocks, self.block).max(axis=2) + long @ self.top
+            open_blocks = bound >= sure[:, None] - 1e-9
+            if open_blocks.mean() > 0.5:
+                score += long @ self.rows
             else:
-                for t in long:
-                    where, what = self.where[self.ends[t] : self.ends[t + 1]], self.what[self.ends[t] : self.ends[t + 1]]
-                    found = np.searchsorted(where, at).clip(max=len(where) - 1)
-                    hit = where[found] == at
-                    score[at[hit]] += query[t] * what[found[hit]]
-        at = at[score[at] > 0]
-        if len(at) > k:
-            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
-        order = np.lexsort((at, -score[at]))[:k]
-        return at[order], score[at[order]]
+                for b in np.flatnonzero(open_blocks.any(axis=0)).tolist():
+                    rows, part = np.flatnonzero(open_blocks[:, b]), slice(b * self.block, (b + 1) * self.block)
+                    score[rows, part] += long[rows] @ self.rows[:, part]
+        score = score[:, : self.n].round(12)
+        least = np.partition(score, self.n - k, axis=1)[:, self.n - k] if self.n > k else np.zeros(n)
+        out = []
+        for s, low in zip(score, least.tolist(), strict=True):
+            near = np.flatnonzero((s >= low) & (s > 0))
+            near = near[np.lexsort((self.ids[near], -s[near]))[:k]]
+            out.append((near, s[near]))
+        return out
 
 
-def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    v = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
-    length = math.sqrt(sum(x * x for x in v.values()))
-    return {t: x / length for t, x in v.items()} if length else {}
+def unit(of: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """Weights of the entries (vector, term, count) of n vectors, so that each vector has length 1."""
+    weights = (1 + np.log(counts)) * idf[terms]
+    return weights / np.sqrt(np.bincount(of, weights * weights, n))[of]
 
 
 def label_weights(n_all: np.ndarray, n_pos: np.ndarray, n: int, positive: int) -> np.ndarray:
@@ -160,84 +116,106 @@ def label_weights(n_all: np.ndarray, n_pos: np.ndarray, n: int, positive: int) -
 
 
 class Scorer:
-    """Scores a text by the examples: ``at``, ``terms`` and ``weights`` are the entries of their unit vectors."""
+    """Scores texts by the examples, given by ids, labels, numbers of terms, terms and counts."""
 
-    def __init__(self, terms: Terms, idf: np.ndarray, at: np.ndarray, entries: np.ndarray, weights: np.ndarray, labels: np.ndarray, ids: np.ndarray, k: int = NEIGHBOURS):
+    def __init__(self, terms: dict[str, int], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, entries: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS):
         self.terms, self.idf, self.k = terms, idf, k
-        self.y, self.ids = labels.astype(float), ids
-        self.index = BlockMaxIndex.of(at, entries, weights, len(ids), len(idf))
-        rest = labels[np.bincount(at, minlength=len(ids)) == 0]
+        of = np.repeat(np.arange(len(ids)), sizes)
+        weights = unit(of, entries, counts, idf, len(ids))
+        # Examples with the same heaviest term stand in the same block, which keeps the bounds of blocks tight.
+        heaviest = np.full(len(ids), -1, np.int64)
+        by_weight = np.argsort(weights, kind="stable")
+        heaviest[of[by_weight]] = entries[by_weight]
+        order = np.lexsort((ids, heaviest))
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        self.y, self.ids = labels[order].astype(float), ids[order]
+        self.index = BlockMaxIndex(place[of], entries, weights, self.ids, len(idf))
+        rest = labels[sizes == 0]
         self.base = float((labels.sum() + 1) / (len(labels) + 20))
         self.rest = float((rest.sum() + self.base) / (len(rest) + 1))
 
-    @classmethod
-    def of(cls, terms: Terms, idf: np.ndarray, parts: list[tuple], k: int) -> Scorer:
-        """The scorer of examples in parts: ids, labels, sizes, packed terms and counts. Examples are put in order of ids."""
-        ids, labels, sizes = [np.concatenate([p[i] for p in parts]) for i in range(3)]
-        entries = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(p[3]), np.int32), dtype=np.int32) for p in parts])
-        counts = np.concatenate([np.frombuffer(zlib.decompress(p[4]), p[5]) for p in parts])
-        weights = ((1 + np.log(counts.astype(float))) * idf[entries]).astype(np.float32)
-        of = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        weights /= np.sqrt(np.bincount(of, weights.astype(float) ** 2, len(ids)))[of].astype(np.float32)
-        order = np.argsort(ids, kind="stable")
-        place = np.empty(len(ids), np.int32)
-        place[order] = np.arange(len(ids))
-        at = np.repeat(place, sizes)
-        by = np.argsort(at, kind="stable")
-        return cls(terms, idf, at[by], entries[by], weights[by], labels[order], ids[order], k)
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        """(score, ids of the voters, their cosines) of each text."""
+        of, terms, counts = entries_of(texts, self.terms)
+        found = self.index.search(of, terms, unit(of, terms, counts, self.idf, len(texts)), len(texts), self.k)
+        none = np.bincount(of, minlength=len(texts)) == 0
+        out: list[tuple[float, list[int], list[float]]] = []
+        for (at, near), empty in zip(found, none.tolist(), strict=True):
+            votes = near**2
+            score = self.rest if empty or not self.index.n else float((votes @ self.y[at] + PRIOR * self.base) / (votes.sum() + PRIOR))
+            out.append((score, self.ids[at].tolist(), near.tolist()))
+        return out
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        query = unit(self.terms.counts(text), self.idf)
-        if not query or not self.index.n:
-            return self.rest, [], []
-        at, near = self.index.nearest(query, self.k)
-        votes = near**2
-        return float((votes @ self.y[at] + PRIOR * self.base) / (votes.sum() + PRIOR)), self.ids[at].tolist(), near.tolist()
 
+def entries_of(texts: list[str | None], terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of the known terms of each text."""
+    of, at, counts = [], [], []
+    get = terms.get
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        found = [(t, n) for w, n in words.items() if (t := get(w)) is not None]
+        of.append(np.full(len(found), i))
+        at += [f[0] for f in found]
+        counts += [f[1] for f in found]
+    return np.concatenate(of) if of else np.zeros(0, np.int64), np.array(at, np.int64), np.array(counts, float)
 
-#: The scorer that this worker built last, by a name of its query.
+
+#: What this worker built last, by a name of its query: the numbers of the terms, and the scorer.
+TERMS: dict[str, dict[str, int]] = {}
 SCORERS: dict[str, Scorer] = {}
 
 
+def numbered(name: str, terms: list[str]) -> dict[str, int]:
+    if name not in TERMS:
+        TERMS.clear()
+        SCORERS.clear()
+        TERMS[name] = {t: i for i, t in enumerate(terms)}
+    return TERMS[name]
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> DataFrame:
     """Scores every whole text by its nearest labelled examples: doc_id, score, neighbours, similarities.
 
-    Terms are words and their leading letters. All terms of a bounded sample of the labelled rows (``max_examples``, by
-    a hash of doc_id) span the vector space, in which each example and each document has a TF-IDF vector with document
-    frequencies counted over all documents, times how much a term goes with the label (:func:`label_weights`). Votes of the ``k`` nearest by exact cosine,
+    All words of a bounded sample of the labelled rows (``max_examples``, by a hash of doc_id) span the vector space,
+    in which each example and each document has a TF-IDF vector with document frequencies counted over all documents,
+    times how much a term goes with the label (:func:`label_weights`). Votes of the ``k`` nearest by exact cosine,
     weighted by squared similarity and drawn to the base rate, give the score; the voters are its evidence. A text
     without any of the terms (an empty or null one too) is scored by the examples that have none either. Conflicting
-    labels of one doc_id count as toxic; null labels are ignored; with no labels at all scores are a constant. The
-    index (at most ``max_examples`` vectors, with all terms of those texts) is broadcast; documents are never shuffled.
+    labels of one doc_id count as toxic; of several texts of one doc_id the first in order is the example; null labels
+    are ignored; with no labels at all scores are a constant; repeated rows are scored each; other columns are
+    ignored. The index (at most ``max_examples`` vectors, with all terms of those texts) passes the driver and is
+    broadcast; documents are never shuffled.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chosen = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(max_examples)
-    sample = materialize(rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").dropDuplicates(["doc_id"]))
+    sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    sample = materialize(sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")))
 
     def example_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list[int]] = {}
             for text, y in zip(batch["text"], batch["y"], strict=True):
-                for t in {t for w in set(WORD.findall(text.lower())) for t in term_keys(w)}:
+                for t in words_of(text):
                     c = out.setdefault(t, [0, 0])
                     c[0] += 1
                     c[1] += y
             yield pd.DataFrame({"term": list(out), "n_all": [c[0] for c in out.values()], "n_pos": [c[1] for c in out.values()]})
 
     n, n_pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    stats = sample.mapInPandas(example_terms, "term long, n_all long, n_pos long").groupBy("term").agg(F.sum("n_all").alias("n_all"), F.sum("n_pos").alias("n_pos"))
+    stats = sample.mapInPandas(example_terms, "term string, n_all long, n_pos long").groupBy("term").agg(F.sum("n_all").alias("n_all"), F.sum("n_pos").alias("n_pos"))
     stats = stats.toArrow().to_pandas().sort_values("term", ignore_index=True)
-    known = spark.sparkContext.broadcast(Terms(stats["term"].to_numpy(np.int64)))
     n_terms = len(stats)
+    known = spark.sparkContext.broadcast((uuid.uuid4().hex, stats["term"].tolist()))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter, found = known.value, np.zeros(n_terms + 1, np.int64)
-        for batch in batches:
+        terms, found = numbered(*known.value), np.zeros(n_terms + 1, np.int64)
+        for batch in slices(batches):
             for text in batch["text"]:
-                found[list(counter.present(text))] += 1
-                found[-1] += 1
+                found[[t for w in set(WORD.findall(text.lower())) if (t := terms.get(w)) is not None]] += 1
+            found[-1] += len(batch)
         at = np.flatnonzero(found)
         yield pd.DataFrame({"at": at, "n": found[at]})
 
@@ -248,33 +226,27 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     del stats, counted
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = known.value
-        for batch in batches:
-            found = [dict(sorted(counter.counts(t).items())) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "t": [np.array(list(c), np.int32).tobytes() for c in found], "n": [np.array(list(c.values()), np.int32).tobytes() for c in found]})
-
-    # A part of the examples at a time, so that the driver never holds the whole index.
-    parts = []
-    for part in range(PARTS):
-        some = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == part)
-        examples = some.mapInPandas(vectors, "doc_id long, y int, t binary, n binary").toArrow().to_pandas()
-        terms = np.frombuffer(b"".join(examples["t"]), np.int32)
-        sizes = np.array([len(t) // 4 for t in examples["t"]], int)
-        counts = np.frombuffer(b"".join(examples["n"]), np.int32)
-        counts = counts.astype(np.min_scalar_type(counts.max(initial=0)))
-        packed = zlib.compress(np.diff(terms, prepend=np.int32(0)).tobytes(), 1), zlib.compress(counts.tobytes(), 1), counts.dtype.str
-        parts.append(spark.sparkContext.broadcast((examples["doc_id"].to_numpy(int), examples["y"].to_numpy(int), sizes, *packed)))
-        del examples, terms, sizes, counts
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, idf, k))
+        terms = numbered(*known.value)
+        for batch in slices(batches):
+            of, at, counts = entries_of(batch["text"].tolist(), terms)
+            ends = np.searchsorted(of, np.arange(1, len(batch)))
+            packed = [[p.tobytes() for p in np.split(x.astype(np.int32), ends)] for x in (at, counts)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "t": packed[0], "n": packed[1]})
+
+    examples = sample.mapInPandas(vectors, "doc_id long, y int, t binary, n binary").toArrow().to_pandas()
+    sizes = np.array([len(t) // 4 for t in examples["t"]], np.int64)
+    entries, counts = (np.frombuffer(b"".join(examples[c]), np.int32) for c in "tn")
+    shared = spark.sparkContext.broadcast((idf, examples["doc_id"].to_numpy(np.int64), examples["y"].to_numpy(np.int64), sizes, entries, counts, k))
+    del examples, entries, counts
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, idf, k = shared.value
+        name, terms = known.value
+        by_word = numbered(name, terms)
         if name not in SCORERS:
-            SCORERS.clear()
-            SCORERS[name] = Scorer.of(known.value, idf, [p.value for p in parts], k)
+            SCORERS[name] = Scorer(by_word, *shared.value)
         scorer = SCORERS[name]
-        for batch in batches:
-            found = [scorer.score(t) for t in batch["text"]]
+        for batch in slices(batches, TEXTS):
+            found = scorer.scores(batch["text"].tolist())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [f[0] for f in found], "neighbours": [f[1] for f in found], "similarities": [f[2] for f in found]})
 
     return rows.mapInPandas(scored, "doc_id long, score double, neighbours array<long>, similarities array<double>")
