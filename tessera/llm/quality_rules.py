@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,10 +19,30 @@ MAX_EXAMPLES = 20_000
 TREES, DEPTH, LASSO, SEED = 24, 3, 5e-4, 17
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text, all computed by built-in functions. An empty text has zeros."""
+#: Names of the statistics, in their order.
+NAMES = (
+    "n_words", "word_length", "distinct_words", "distinct_root", "repeated_next", "repeated_lines", "words_per_line",
+    "upper", "letters", "digits", "marks", "exclamations", "symbols", "ends",
+)
+
+
+def with_statistics(text: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a struct of statistics (NAMES) of a whole text, all computed by built-in functions.
+
+    An empty text has zeros. The words, the lines and then the statistics are bound to variables of higher-order
+    functions, so that each is computed once a row, however often ``use`` reads it and wherever Spark moves the result.
+    """
+
+    def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), then)[0]
+
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
+    return bound(F.struct(text.alias("text"), words.alias("words"), lines.alias("lines")), lambda parts: bound(_statistics(parts), use))
+
+
+def _statistics(parts: Column) -> Column:
+    text, words, lines = parts["text"], parts["words"], parts["lines"]
 
     def share(part: Column, whole: Column) -> Column:
         return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
@@ -31,22 +52,24 @@ def statistics(text: Column) -> dict[str, Column]:
 
     n, n_words = F.length(text), F.size(words)
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(n_words, F.lit(1))), lambda a, b: a.eqNullSafe(b))
-    return {
-        "n_words": n_words.cast("double"),
-        "word_length": share(n, n_words),
-        "distinct_words": share(F.size(F.array_distinct(words)), n_words),
-        "distinct_root": share(F.size(F.array_distinct(words)), F.sqrt(n_words.cast("double"))),
-        "repeated_next": share(F.size(F.filter(pairs, lambda x: x)), n_words),
-        "repeated_lines": share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
-        "words_per_line": share(n_words, F.size(lines)),
-        "upper": share(without(r"\p{Lu}+"), n),
-        "letters": share(without(r"\p{L}+"), n),
-        "digits": share(without(r"\p{Nd}+"), n),
-        "marks": share(without(r"[.,;:?]+"), n),
-        "exclamations": share(without("!+"), n),
-        "symbols": share(without(r"[#$%&*+/<=>@\\^_`|~\[\]{}-]+"), n),
-        "ends": share(F.size(F.filter(lines, lambda x: x.rlike(r"[.!?]['\"]?\s*$"))), F.size(lines)),
-    }
+    distinct = F.size(F.array_distinct(words))
+    columns = (
+        n_words.cast("double"),
+        share(n, n_words),
+        share(distinct, n_words),
+        share(distinct, F.sqrt(n_words.cast("double"))),
+        share(F.size(F.filter(pairs, lambda x: x)), n_words),
+        share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
+        share(n_words, F.size(lines)),
+        share(without(r"\p{Lu}+"), n),
+        share(without(r"\p{L}+"), n),
+        share(without(r"\p{Nd}+"), n),
+        share(without(r"[.,;:?]+"), n),
+        share(without("!+"), n),
+        share(without(r"[#$%&*+/<=>@\\^_`|~\[\]{}-]+"), n),
+        share(F.size(F.filter(lines, lambda x: x.rlike(r"[.!?]['\"]?\s*$"))), F.size(lines)),
+    )
+    return F.struct(*[c.alias(k) for k, c in zip(NAMES, columns, strict=True)])
 
 
 @dataclass(frozen=True)
@@ -55,8 +78,10 @@ class Rule:
 
     terms: tuple[tuple[str, str, float], ...]
 
-    def column(self) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(s) <= t if op == "<=" else F.col(s) > t for s, op, t in self.terms])
+    def column(self, of: Column | None = None) -> Column:
+        """Whether the rule holds for the struct of statistics ``of``, or for columns of their names."""
+        at = [(F.col(s) if of is None else of[s], op, t) for s, op, t in self.terms]
+        return reduce(lambda a, b: a & b, [s <= t if op == "<=" else s > t for s, op, t in at])
 
     def __str__(self) -> str:
         return " and ".join(f"{s} {op} {t:.4g}" for s, op, t in self.terms)
@@ -69,8 +94,8 @@ class RuleEnsemble:
     bias: float
     weights: list[tuple[Rule, float]]
 
-    def score(self) -> Column:
-        total = reduce(lambda a, b: a + b, [F.when(r.column(), F.lit(w)).otherwise(0.0) for r, w in self.weights], F.lit(self.bias))
+    def score(self, of: Column) -> Column:
+        total = reduce(lambda a, b: a + b, [F.when(r.column(of), F.lit(w)).otherwise(0.0) for r, w in self.weights], F.lit(self.bias))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -127,22 +152,28 @@ def _as_vector(array: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
-    """Statistics and label of a bounded sample of the labelled rows."""
+    """Statistics and label of a bounded sample of the labelled rows; several labels of one doc_id count as their least."""
     chosen = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(max_examples)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text(F.col("text")).alias("text"))
     # At most max_examples pairs of numbers are broadcast.
     rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    return materialize(rows.select("doc_id", "y", *[c.alias(k) for k, c in statistics(F.col("text")).items()]))
+    return materialize(rows.select("doc_id", "y", with_statistics(F.col("text"), lambda s: s).alias("s")).select("doc_id", "y", "s.*"))
 
 
-def _text() -> Column:
-    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+def _text(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> RuleEnsemble:
+    """Fits the ensemble on at most ``max_examples`` labelled rows, chosen by a hash of doc_id.
+
+    Null labels and null ids are ignored. Of several rows of one doc_id the one with the least statistics, in the
+    order of NAMES, is the example. No labelled rows, or one label only, give a constant.
+    """
     sample = labelled(docs, labels, max_examples)
-    return fit(sample.dropDuplicates(["doc_id"]).coalesce(4), list(statistics(F.col("text"))))
+    one = sample.groupBy("doc_id", "y").agg(F.min(F.struct(*NAMES)).alias("s")).select("doc_id", "y", "s.*")
+    return fit(one.coalesce(4), list(NAMES))
 
 
 def quality_scores(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
@@ -151,13 +182,13 @@ def quality_scores(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     Null and empty texts have all statistics 0 and so a defined score; repeated rows are scored each; other columns
     are ignored. One narrow stage of built-in functions: no Python, no shuffle.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
-    stats = rows.select("doc_id", *[c.alias(k) for k, c in statistics(F.col("text")).items()])
-    return stats.select("doc_id", model.score().alias("score"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), with_statistics(_text(F.col("text")), model.score).alias("score"))
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose score is at least ``threshold``. Names in ``docs`` cannot clash."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    stats = docs.select(row.alias("row"), *[c.alias(k) for k, c in statistics(_text()).items()])
-    return stats.where(model.score() >= threshold).select("row.*")
+    """The rows of ``docs``, with their columns, whose score is at least ``threshold``.
+
+    Null and empty texts have all statistics 0 and are kept or not by that score; repeated rows are judged alike; a
+    null doc_id changes nothing; names of other columns cannot clash. An empty table stays empty.
+    """
+    return docs.where(with_statistics(_text(F.col("text")), model.score) >= threshold)
