@@ -112,19 +112,23 @@ def op5() -> str:
     fits = sorted(url.RULES, key=lambda r: -len(r[1] + r[2]))
     cond = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in fits]
     rule = "case " + " ".join(f"{c} then '{h}{p}'" for c, (_, h, p) in zip(cond, fits, strict=True)) + " end"
-    verdict = "case " + " ".join(f"{c} then '{v}'" for c, (v, _, _) in zip(cond, fits, strict=True)) + f" when bad_low > {url.BAD_SHARE} then 'block' else 'allow' end"
-    last = "string_split(host, '.')"
+    verdict = "case " + " ".join(f"{c} then '{v}'" for c, (v, _, _) in zip(cond, fits, strict=True)) + f" when bad_low > {url.BAD_SHARE} and d_pages > 0 then 'block' else 'allow' end"
+    labels = "string_split(name, '.')"
+    two = f"cast(regexp_matches(name, '{url.two_labels(url.SECOND_LEVEL)}') as int)"
+    address = f"regexp_matches(name, '{url.ADDRESS}')"
     return f"""
 with rest as (select page_id, coalesce(case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end, '') as rest from pages),
 parts as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url.UPPER}', '{url.LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rest),
 known as (select doc_id, min(quality) as quality from labels where quality is not null group by doc_id),
 seen as (select host, quality from parts left join known on doc_id = try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) as bigint)),
-hosts as (select host, array_to_string({last}[-2:], '.') as domain, {last}[-1] as suffix, count(case when quality = 0 then 1 end) as n_bad, count(quality) as n_pages from seen group by host),
+counted as (select host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as name, count(case when quality = 0 then 1 end) as n_bad, count(quality) as n_pages from seen group by host),
+hosts as (select host, case when {address} then name else array_to_string({labels}[-2 - {two}:], '.') end as domain,
+    case when {address} then '' else array_to_string({labels}[-1 - {two}:], '.') end as suffix, n_bad, n_pages from counted),
 top as (select (coalesce(sum(n_bad), 0) + 1) / (coalesce(sum(n_pages), 0) + 20) as m from hosts),
 suffixes as (select suffix, ({w} * (select m from top) + sum(n_bad)) / ({w} + sum(n_pages)) as m from hosts group by suffix),
-domains as (select h.domain, ({w} * any_value(s.m) + sum(n_bad)) / ({w} + sum(n_pages)) as m from hosts h join suffixes s on s.suffix = h.suffix group by h.domain),
-beta as (select host, n_pages, {w} * m + n_bad as a, {w} * (1 - m) + n_pages - n_bad as b from hosts h join domains d on d.domain = h.domain),
-judged as (select host, n_pages, a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as bad_low from beta)
+domains as (select h.domain, sum(n_pages) as d_pages, ({w} * any_value(s.m) + sum(n_bad)) / ({w} + sum(n_pages)) as m from hosts h join suffixes s on s.suffix = h.suffix group by h.domain),
+beta as (select host, n_pages, d_pages, {w} * m + n_bad as a, {w} * (1 - m) + n_pages - n_bad as b from hosts h join domains d on d.domain = h.domain),
+judged as (select host, n_pages, d_pages, a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as bad_low from beta)
 select p.page_id, p.host, p.path, {rule.replace('host', 'p.host').replace('path', 'p.path')} as rule, {verdict.replace('host', 'p.host').replace('path', 'p.path')} as verdict, j.n_pages as n_labelled
 from parts p join judged j on j.host = p.host"""
 

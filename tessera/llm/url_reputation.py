@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PRIOR_WEIGHT = 8.0
 #: A host is blocked when its share of bad pages lies above this with the confidence of Z normal deviations.
 BAD_SHARE, Z = 0.2, 1.2815515655446004
+#: Labels that form a suffix together with a country's two letters, as in co.uk.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "go", "ne", "net", "or", "org")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,9 +47,25 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return first(1), first(2)
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels) and suffix (the last label) of a host."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+def levels(host: Column, second_level: tuple[str, ...] = SECOND_LEVEL) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, without user and port.
+
+    The suffix is the last label, or the last two where the last has two letters and the one before is of
+    ``second_level``; the domain has one label more. An IP address is a domain by itself, with an empty suffix.
+    """
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    address, two = name.rlike(ADDRESS), name.rlike(two_labels(second_level))
+    domain = F.when(address, name).when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    suffix = F.when(address, "").when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    return domain, suffix
+
+
+#: A host that is an address, not a name.
+ADDRESS = r"^[0-9.]+$|^\["
+
+
+def two_labels(second_level: tuple[str, ...]) -> str:
+    return r"(?:^|\.)(?:" + "|".join(second_level) + r")\.[a-z][a-z]$"
 
 
 def reputation(hosts: DataFrame, prior_weight: float = PRIOR_WEIGHT, z: float = Z) -> DataFrame:
@@ -58,8 +74,8 @@ def reputation(hosts: DataFrame, prior_weight: float = PRIOR_WEIGHT, z: float =
     ``hosts(host, domain, suffix, n_bad, n_pages)`` has one row per host. At each level a beta-binomial posterior mean
     becomes the prior mean of the next: with prior mean m and weight w, n pages of which b are bad give
     alpha = w m + b, beta = w (1 - m) + n - b. Returns per host the posterior ``bad_share`` and its lower bound
-    ``bad_low`` (mean less z standard deviations). Where nothing is labelled the corpus mean is 1/2 of one bad page in
-    two, so nothing is blocked.
+    ``bad_low`` (mean less z standard deviations), and the labelled pages of the host and of its domain. The corpus
+    mean is (bad + 1) / (pages + 20), which is 1/20 where nothing is labelled.
     """
     w = F.lit(float(prior_weight))
     total = hosts.agg(F.sum("n_bad").alias("t_bad"), F.sum("n_pages").alias("t_pages"))
@@ -70,12 +86,12 @@ def reputation(hosts: DataFrame, prior_weight: float = PRIOR_WEIGHT, z: float =
     suffixes = suffixes.join(F.broadcast(top)).select(F.col("suffix").alias("s_key"), ((w * F.col("m_all") + F.col("s_bad")) / (w + F.col("s_pages"))).alias("m_suffix"))
     suffixes = materialize(suffixes)
     domains = domains.join(suffixes, F.col("suffix").eqNullSafe(F.col("s_key")))
-    domains = materialize(domains.select(F.col("domain").alias("d_key"), ((w * F.col("m_suffix") + F.col("d_bad")) / (w + F.col("d_pages"))).alias("m_domain")))
+    domains = materialize(domains.select(F.col("domain").alias("d_key"), "d_pages", ((w * F.col("m_suffix") + F.col("d_bad")) / (w + F.col("d_pages"))).alias("m_domain")))
     alpha, beta = w * F.col("m_domain") + F.col("n_bad"), w * (1 - F.col("m_domain")) + F.col("n_pages") - F.col("n_bad")
     share = alpha / (alpha + beta)
     deviation = F.sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1)))
     return hosts.join(domains, F.col("domain") == F.col("d_key")).select(
-        F.col("host"), share.alias("bad_share"), (share - z * deviation).alias("bad_low"), F.col("n_pages").alias("n_labelled")
+        F.col("host"), share.alias("bad_share"), (share - z * deviation).alias("bad_low"), F.col("n_pages").alias("n_labelled"), F.col("d_pages").alias("n_domain")
     )
 
 
@@ -84,7 +100,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, bad_share: floa
 
     A page's outcome is the label of the document that the number in the path names (``/en/25`` is doc_id 25): bad
     when quality is 0, good when it is 1, unlabelled else. The longest rule that fits decides; where none does, the
-    page is blocked if the lower posterior bound of its host's share of bad pages exceeds ``bad_share``, else allowed.
+    page is blocked if the lower posterior bound of its host's share of bad pages exceeds ``bad_share`` and its host or
+    registered domain has a labelled page, else allowed: prior outcomes of other domains alone block nothing.
     A null url or one without ``://`` has host and path empty, forms one host '' and is judged like any other.
     Repeated pages are judged each; several labels of one document count as bad when any is 0; other columns are
     ignored. Outcomes are summed by host before anything is shuffled by host.
@@ -100,7 +117,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, bad_share: floa
     hosts = materialize(hosts.withColumns({"domain": domain, "suffix": suffix}))
     judged = materialize(reputation(hosts, prior_weight, z))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    by_host = F.when(F.col("bad_low") > bad_share, "block").otherwise("allow")
+    by_host = F.when((F.col("bad_low") > bad_share) & (F.col("n_domain") > 0), "block").otherwise("allow")
     return parts.join(judged.withColumnRenamed("host", "judged_host"), F.col("host") == F.col("judged_host"), "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), "bad_low", "n_labelled"
     )
