@@ -128,18 +128,27 @@ def test_seeds_find_edited_copies():
 
 
 def test_block_max_search_is_exact():
-    rng = random.Random(5)
-
-    def vector():
-        return toxicity_knn.unit({t: rng.randint(1, 4) for t in rng.sample(range(40), rng.randint(1, 8))}, np.linspace(1, 3, 40))
-
-    vectors = [vector() for _ in range(500)] + [{}]
-    index = toxicity_knn.BlockMaxIndex(vectors, 40, block=16)
-    for _ in range(50):
-        q = vector()
-        full = sorted(((sum(q[t] * v.get(t, 0.0) for t in q), -i) for i, v in enumerate(vectors)), reverse=True)
-        at, near = index.nearest(q, 10)
-        assert np.allclose(near, [s for s, _ in full[:10]])
+    rng = np.random.default_rng(5)
+    idf = np.linspace(1, 3, 40)
+
+    def vectors(n):
+        of = np.repeat(np.arange(n), rng.integers(1, 9, n))
+        terms = np.concatenate([rng.choice(40, k, replace=False, p=np.linspace(1, 9, 40) / 200) for k in np.bincount(of, minlength=n)])
+        return of, terms, toxicity_knn.unit(of, terms, rng.integers(1, 5, len(of)), idf, n)
+
+    def dense(of, terms, weights, n):
+        out = np.zeros((n, 40))
+        out[of, terms] = weights
+        return out
+
+    ids = rng.permutation(501)
+    examples, queries = vectors(500), vectors(50)
+    index = toxicity_knn.BlockMaxIndex(examples[0], examples[1], examples[2], ids, 40, block=16)
+    assert len(index.rows) and index.row.min() < 0
+    full = (dense(*queries, 50) @ dense(*examples, 501).T).round(12)
+    for s, (at, near) in zip(full, index.search(*queries, 50, 10), strict=True):
+        expected = np.lexsort((ids, -s))[:10]
+        assert at.tolist() == expected.tolist() and np.allclose(near, s[expected])
 
 
 PAGES = {
