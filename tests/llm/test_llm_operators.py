@@ -128,6 +128,52 @@ def test_repeated_passages(spark):
     assert chunk_dedup.remove_repeats(df).columns == df.columns
 
 
+def plain_spans(docs):
+    """Repeated spans of (doc_id, text) rows by a dict of chunks, as (doc_id, text, start, end, words, first docs)."""
+    once = sorted({(i, t) for i, t in docs if i is not None and t}, key=lambda r: (r[0], r[1]))
+    cut = {}
+    for i, t in once:
+        raw = t.encode("utf-8", "surrogatepass")
+        ends = chunk_dedup.cuts(np.frombuffer(raw, np.uint8)).tolist()
+        cut[i, t] = [(s, e, raw[s:e], sum(w[0] not in b" \t\n\x0b\f\r" and (k == 0 or raw[k - 1] in b" \t\n\x0b\f\r") for k in range(s, e) for w in (raw[k : k + 1],))) for s, e in zip([0, *ends], ends, strict=False)]
+    first = {}
+    for (i, t), pieces in cut.items():
+        for s, _, c, _ in pieces:
+            first[c] = min(first.get(c, (i,)), (i,))
+    out = []
+    for (i, t), pieces in cut.items():
+        seen, run = set(), []
+        for s, e, c, w in [*pieces, (-1, -1, b"", 0)]:
+            if e > 0 and (first[c][0] != i or c in seen):
+                run.append((s, e, w, first[c][0]))
+            elif run:
+                if sum(r[2] for r in run) >= chunk_dedup.LEAST_WORDS:
+                    out.append((i, t, run[0][0], run[-1][1], sum(r[2] for r in run), tuple(sorted({r[3] for r in run}))))
+                run = []
+            seen.add(c)
+    return sorted(out)
+
+
+def test_repeated_spans_equal_brute_force(spark, duck):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(6)
+    common = " ".join(words(rng, 70))
+    more = [(10_000 + i, " ".join(words(rng, 30)) + " " + common + " " + " ".join(words(rng, 5 * i))) for i in range(6)]
+    more += [(10_100, "echo " * 400), (10_101, common), (10_101, common), (10_101, common + " other text of the same id " + common), (10_102, None), (10_103, "")]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = {(r.doc_id, chunk_dedup.text_tag(r.text)): r.text for r in docs.collect() if r.text}
+    got = sorted((r.doc_id, texts[r.doc_id, r.tag], r.span_start, r.span_end, r.n_words, tuple(r.first_docs)) for r in chunk_dedup.repeated_spans(docs).collect())
+    assert got == plain_spans([tuple(r) for r in docs.collect()]) and len(got) > 20
+    left = sorted((r.doc_id, r.text) for r in chunk_dedup.remove_repeats(docs).collect() if r.text)
+    plain, spans = [], {}
+    for i, t, s, e, *_ in got:
+        spans.setdefault((i, t), []).append((s, e))
+    for r in docs.collect():
+        if r.text and ((new := chunk_dedup.without(r.text, spans[r.doc_id, r.text]) if (r.doc_id, r.text) in spans else r.text).strip() or (r.doc_id, r.text) not in spans):
+            plain.append((r.doc_id, new))
+    assert left == sorted(plain)
+
+
 def test_contamination(spark):
     rng = random.Random(2)
     items = [(i, " ".join(words(rng, rng.randint(14, 40)))) for i in range(12)]
