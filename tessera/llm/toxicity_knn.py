@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, slices
 
 #: Labelled rows the index may hold (chosen by a hash of doc_id): the bound of what is broadcast.
-MAX_EXAMPLES = 8_192
+MAX_EXAMPLES = 5_000
 #: Nearest examples that vote; examples of one block of the index; weight of the base rate in a vote.
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.15
 #: A term in more than this share of the examples has a full row of weights instead of a list.
 LONG = 1 / 8
 #: Texts scored together, and entries of lists that are added up at once.
-TEXTS, ENTRIES = 64, 1 << 20
+TEXTS, ENTRIES = 32, 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -78,26 +78,30 @@ class BlockMaxIndex:
         if len(self.rows):
             long = np.zeros((n, len(self.rows)))
             long[of[at >= 0], at[at >= 0]] = weights[at >= 0]
-            # What k vectors surely reach; a block that cannot get there is not multiplied.
-            sure = np.partition(score[:, : self.n], self.n - k, axis=1)[:, self.n - k] if self.n > k else np.zeros(n)
-            bound = score.reshape(n, self.n_blocks, self.block).max(axis=2) + long @ self.top
-            open_blocks = bound >= sure[:, None] - 1e-9
+            # A block that cannot get to what k vectors surely reach is not multiplied.
+            best = score.reshape(n, self.n_blocks, self.block).max(axis=2)
+            open_blocks = best + long @ self.top >= _reached(best, k)[:, None] - 1e-9
             if open_blocks.mean() > 0.5:
                 score += long @ self.rows
             else:
                 for b in np.flatnonzero(open_blocks.any(axis=0)).tolist():
                     rows, part = np.flatnonzero(open_blocks[:, b]), slice(b * self.block, (b + 1) * self.block)
                     score[rows, part] += long[rows] @ self.rows[:, part]
-        score = score[:, : self.n].round(12)
-        least = np.partition(score, self.n - k, axis=1)[:, self.n - k] if self.n > k else np.zeros(n)
+        reached = _reached(score.reshape(n, self.n_blocks, self.block).max(axis=2), k)
         out = []
-        for s, low in zip(score, least.tolist(), strict=True):
-            near = np.flatnonzero((s >= low) & (s > 0))
-            near = near[np.lexsort((self.ids[near], -s[near]))[:k]]
-            out.append((near, s[near]))
+        for s, low in zip(score, reached.tolist(), strict=True):
+            near = np.flatnonzero((s >= low - 1e-9) & (s > 0))
+            at = s[near].round(12)
+            order = np.lexsort((self.ids[near], -at))[:k]
+            out.append((near[order], at[order]))
         return out
 
 
+def _reached(best: np.ndarray, k: int) -> np.ndarray:
+    """What at least k vectors of each query reach: the k-th greatest of its blocks' best scores."""
+    return np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k] if best.shape[1] > k else np.zeros(len(best))
+
+
 def unit(of: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
     """Weights of the entries (vector, term, count) of n vectors, so that each vector has length 1."""
     weights = (1 + np.log(counts)) * idf[terms]
