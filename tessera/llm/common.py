@@ -44,6 +44,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`materialize` of which nothing that is still to be computed reads."""
+    for df in tables:
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, component), the component being its smallest node.
 
@@ -72,7 +80,10 @@ def components(edges: DataFrame) -> DataFrame:
     ends = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
     pairs = materialize(ends.distinct())
     while not stars(pairs):
-        pairs = materialize(step(materialize(step(pairs, True)), False))
+        half = materialize(step(pairs, True))
+        discard(pairs)
+        pairs = materialize(step(half, False))
+        discard(half)
     low = pairs.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(low)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tessera.llm.common import components, in_blocks, materialize, slices
+from tessera.llm.common import bounded_batches, components, discard, in_blocks, materialize, slices
 
 #: Counters of the frequency sketch that orders n-grams from rare to common (its size is the bound of what is broadcast).
 COUNTERS = 1 << 18
@@ -53,19 +53,24 @@ def linked(size_a: int, size_b: int, overlap: int, percent: int) -> bool:
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """Links documents whose n-gram sets have a Jaccard similarity of ``percent`` or more: doc_id, n_shingles, component_id.
 
-    Rows and columns of the incidence matrix are bounded before its product is formed: documents with equal sets count
-    as one row; n-grams are ordered from rare to common by a frequency sketch over all documents, and a document
-    enters only the columns of its first members, as many as its size requires to meet every partner; a pair is
-    formed in a column only where sizes and positions still allow the overlap. Each document is first compared with
-    one partner, the one whose members are shared most, and the rest of a column's pairs is formed, in blocks, only
-    between different components. Every link between different components is verified on the whole texts, so
-    components are those of all links.
+    The product of the document by n-gram incidence matrix with its transpose holds the overlap of each pair. Its rows
+    and columns are bounded first: documents with equal sets count as one row; n-grams are ordered from rare to common
+    by a frequency sketch over all documents, and a document enters only the columns of its first members, as many as
+    its size requires to meet every partner. The product is formed in blocks of a column's rows; overlap counts are
+    accumulated per pair, combined before they are shuffled, and a pair is discarded where its sizes, the positions of
+    its first common member and its count leave too few members to reach the similarity. Of what is left the overlap
+    of the whole sets decides. Each document is first compared with one partner, the one with which it shares most
+    columns among the documents whose columns are shared most, and the product is then formed between different
+    components only, so components are those of all links.
 
     component_id is the smallest doc_id reachable by links, itself included. Null, empty and blank texts have 0
-    n-grams and are linked with nothing. Repeated rows are returned each and link as copies do; a null doc_id is
-    returned but represents nothing; other columns are ignored.
+    n-grams and are linked with nothing. Repeated rows are returned each and link as copies do; several texts with one
+    doc_id are one node, which links where any of them does; a null doc_id is returned but represents nothing; other
+    columns are ignored; an empty table gives no rows. n-grams are 64-bit hashes: that two differing ones of one
+    document of m n-grams share one has probability m * m / 2**65, and sets are told apart by 128 bits.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,40 +93,27 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(text, n)
                 ranked = s[np.lexsort((s, how_common[(s % np.uint64(COUNTERS)).astype(np.int64)]))]
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                out.append((doc_id, len(s), digest, ranked[: prefix_length(len(s), percent)].view(np.int64)))
+                out.append((doc_id, len(s), set_digest(s), ranked[: prefix_length(len(s), percent)].view(np.int64)))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "members"])
 
     sets = materialize(rows.mapInPandas(first_members, "doc_id long, n_shingles long, digest binary, members array<long>"))
     groups = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("members").alias("members"))
     groups = materialize(groups)
-    columns = groups.select("rep", "size", F.posexplode("members").alias("pos", "member"))
-    shared = materialize(columns.groupBy("member").agg(F.count("*").alias("n_docs")).where("n_docs > 1")).select(F.col("member").alias("shared_member"))
-    columns = materialize(columns.join(shared, F.col("member") == F.col("shared_member")).drop("shared_member"))
+    exploded = groups.select("rep", "size", F.posexplode("members").alias("pos", "member"))
+    shared = materialize(exploded.groupBy("member").agg(F.count("*").alias("n_docs")).where("n_docs > 1").select(F.col("member").alias("shared_member")))
+    columns = materialize(exploded.join(shared, F.col("member") == F.col("shared_member")).drop("shared_member"))
 
-    # The one partner each document is first compared with: among those within the bounds, the one whose members are
-    # shared most.
-    weight = columns.groupBy("rep").agg(F.count("*").alias("n_shared"), F.first("size").alias("size"))
-    weight = materialize(weight.select(F.col("rep").alias("w_rep"), (F.col("n_shared") / F.col("size")).alias("weight")))
-    weighed = materialize(columns.join(weight, F.col("rep") == F.col("w_rep")).drop("w_rep"))
-    hub = F.max(F.struct("weight", (-F.col("rep")).alias("minus"), F.col("size").alias("hub_size"), F.col("pos").alias("hub_pos")))
-    hubs = materialize(weighed.groupBy("member").agg(hub.alias("hub")).select(F.col("member").alias("h_member"), "hub"))
-    within = _within(F.col("size"), F.col("pos"), F.col("hub.hub_size"), F.col("hub.hub_pos"), percent)
-    first = weighed.join(hubs, F.col("member") == F.col("h_member")).where((F.col("rep") != -F.col("hub.minus")) & within)
-    first = first.groupBy("rep").agg(F.max("hub").alias("hub")).select(F.least("rep", -F.col("hub.minus")).alias("a"), F.greatest("rep", -F.col("hub.minus")).alias("b")).distinct()
-    first = materialize(first)
+    first = _first_partners(columns, percent)
     found = _verified(first, rows, n, percent)
     member_of = materialize(components(found).select(F.col("node").alias("c_node"), F.col("component")))
 
-    # What is left of each column: pairs of different components within the bounds.
+    # What is left of each column: pairs of different components.
     left = columns.join(member_of, F.col("rep") == F.col("c_node"), "left").select("member", "rep", "size", "pos", F.coalesce("component", "rep").alias("component"))
     left = materialize(left)
     mixed = left.groupBy("member").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     mixed = materialize(mixed.select(F.col("member").alias("m_member")))
-    left = left.join(mixed, F.col("member") == F.col("m_member")).drop("m_member")
-    blocks = materialize(in_blocks(left, ["member"], "rep", BLOCK))
+    blocks = materialize(in_blocks(left.join(mixed, F.col("member") == F.col("m_member")).drop("m_member"), ["member"], "rep", BLOCK))
     x, y = blocks.alias("x"), blocks.alias("y")
-    within = _within(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"), percent)
     pairs = x.join(
         y,
         (F.col("x.member") == F.col("y.member"))
@@ -131,28 +123,76 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         & (F.col("y.chunk") == F.col("y.block_b"))
         & ((F.col("x.block_a") != F.col("x.block_b")) | (F.col("x.rep") < F.col("y.rep")))
         & (F.col("x.component") != F.col("y.component"))
-        & within,
-    ).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    pairs = materialize(pairs.distinct().join(first, ["a", "b"], "left_anti"))
+        & _sizes_fit(F.col("x.size"), F.col("y.size"), percent),
+    )
+    swap = F.col("x.rep") > F.col("y.rep")
+
+    def side(name: str, a: bool):
+        return F.when(swap, F.col(f"y.{name}" if a else f"x.{name}")).otherwise(F.col(f"x.{name}" if a else f"y.{name}"))
+
+    pairs = pairs.select(side("rep", True).alias("a"), side("rep", False).alias("b"), side("size", True).alias("size_a"), side("size", False).alias("size_b"), side("pos", True).alias("pos_a"), side("pos", False).alias("pos_b"))
+    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("met"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")).where(_may_link(percent))
+    pairs = materialize(pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    discard(columns, left, mixed, blocks, shared)
     more = _verified(pairs, rows, n, percent)
     known = member_of.select(F.col("c_node").alias("a"), F.col("component").alias("b"))
-    member_of = components(known.unionByName(more))
-    by_digest = groups.select(F.col("digest").alias("g_digest"), "rep").join(member_of, F.col("rep") == F.col("node"), "left")
+    member_of_all = components(known.unionByName(more))
+    by_digest = groups.select(F.col("digest").alias("g_digest"), "rep").join(member_of_all, F.col("rep") == F.col("node"), "left")
     by_digest = materialize(by_digest.select("g_digest", F.coalesce("component", "rep").alias("component")))
+    discard(groups, first, found, member_of, pairs, more)
     out = sets.select("doc_id", "n_shingles", "digest").join(by_digest, F.col("digest") == F.col("g_digest"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _within(size_a: Column, pos_a: Column, size_b: Column, pos_b: Column, percent: int) -> Column:
-    """Whether two sets that meet first at these positions can still share enough, by sizes and positions."""
-    most = F.least(size_a - pos_a, size_b - pos_b)
-    return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & ((100 + percent) * most >= percent * (size_a + size_b))
+def set_digest(members: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None
+
+
+def _first_partners(columns: DataFrame, percent: int) -> DataFrame:
+    """For each document of ``columns(rep, size, pos, member)`` at most one other, a < b, which is likely linked with it.
+
+    In each column the document with the greatest share of shared columns is the hub; a document's partner is the hub
+    it meets most often. What is not found here is found by the product.
+    """
+    weight = columns.groupBy("rep").agg(F.count("*").alias("n_shared"), F.first("size").alias("size"))
+    weight = materialize(weight.select(F.col("rep").alias("w_rep"), (F.col("n_shared") / F.col("size")).alias("weight")))
+    weighed = materialize(columns.join(weight, F.col("rep") == F.col("w_rep")).select("rep", "size", "member", "weight"))
+    hub = F.max(F.struct("weight", (-F.col("rep")).alias("minus"), F.col("size").alias("hub_size"))).alias("hub")
+    hubs = materialize(weighed.groupBy("member").agg(hub).select(F.col("member").alias("h_member"), "hub"))
+    met = weighed.join(hubs, F.col("member") == F.col("h_member")).where((F.col("rep") != -F.col("hub.minus")) & _sizes_fit(F.col("size"), F.col("hub.hub_size"), percent))
+    met = met.groupBy("rep", "size", F.col("hub.minus").alias("minus"), F.col("hub.hub_size").alias("hub_size")).agg(F.count("*").alias("met"))
+    met = met.where(_enough(F.col("size"), F.col("hub_size"), F.col("met"), percent))
+    best = met.groupBy("rep").agg(F.max(F.struct("met", "minus")).alias("best"))
+    out = materialize(best.select(F.least("rep", -F.col("best.minus")).alias("a"), F.greatest("rep", -F.col("best.minus")).alias("b")).distinct())
+    discard(weight, weighed, hubs)
+    return out
+
+
+def _sizes_fit(size_a: Column, size_b: Column, percent: int) -> Column:
+    return 100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)
 
 
-def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and text of the ids ``wanted(id)``, one row each.
+def _enough(size_a: Column, size_b: Column, met: Column, percent: int) -> Column:
+    """Whether two sets that share ``met`` of their first members can reach the similarity.
 
-    A bitmap of FILTER_BITS hashed ids, a fixed size, spares most other texts the shuffle; the join then decides.
+    All common members up to the last of the first members of one of the two are among those met; so beyond them
+    there are at most those that come after its first members, which are one less than ``percent`` of its size.
+    """
+    beyond = F.ceil(F.greatest(size_a, size_b) * percent / 100) - 1
+    return (100 + percent) * (met + beyond) >= percent * (size_a + size_b)
+
+
+def _may_link(percent: int) -> Column:
+    """Whether a pair (sizes, number and first positions of its common first members) can reach the similarity."""
+    most = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    by_place = (100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b"))
+    return by_place & _enough(F.col("size_a"), F.col("size_b"), F.col("met"), percent)
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Whole sets (id, members) of at least the ids ``wanted(id)``, one row for each of an id's different sets.
+
+    A bitmap of FILTER_BITS hashed ids, a fixed size, spares most other texts the work.
     """
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("place")
     bitmap = np.zeros(FILTER_BITS, bool)
@@ -164,29 +204,24 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         at = at.to_numpy()
         return pd.Series((bits.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
 
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in slices(batches):
+            found = [shingles(t, n) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["doc_id"], "digest": [set_digest(s) for s in found], "members": [s.view(np.int64) for s in found]})
+
     some = rows.where("doc_id is not null").where(listed(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")))
-    return materialize(some.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
+    once = some.mapInPandas(whole, "id long, digest binary, members array<long>").where("digest is not null")
+    return materialize(once.groupBy("id", "digest").agg(F.first("members").alias("members")).select("id", "members"))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts are linked."""
-    texts = _texts(rows, materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-
-    def overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[int, np.ndarray] = {}
-        for batch in slices(batches):
-            keep = []
-            for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
-                if (one := last.get(a)) is None:
-                    if len(last) >= 64:
-                        last.clear()
-                    one = last[a] = shingles(text_a, n)
-                other = shingles(text_b, n)
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                keep.append(linked(len(one), len(other), both, percent))
-            yield batch.loc[np.array(keep, bool), ["a", "b"]]
-
-    left = texts.select(F.col("doc_id").alias("id_a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("id_b"), F.col("text").alias("text_b"))
-    full = pairs.join(right, F.col("b") == F.col("id_b")).join(left, F.col("a") == F.col("id_a")).select("a", "b", "text_a", "text_b")
-    return materialize(full.mapInPandas(overlaps, "a long, b long"))
+    """The pairs (a, b) of which some sets are linked."""
+    sets = _sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")), n)
+    left = sets.select(F.col("id").alias("id_a"), F.col("members").alias("set_a"))
+    right = sets.select(F.col("id").alias("id_b"), F.col("members").alias("set_b"))
+    full = pairs.select("a", "b").join(right, F.col("b") == F.col("id_b")).join(left, F.col("a") == F.col("id_a"))
+    size_a, size_b, both = F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b"))
+    linked_pairs = full.select("a", "b", size_a.alias("size_a"), size_b.alias("size_b"), both.alias("both")).where((100 + percent) * F.col("both") >= percent * (F.col("size_a") + F.col("size_b")))
+    out = materialize(linked_pairs.select("a", "b").distinct())
+    discard(sets)
+    return out
