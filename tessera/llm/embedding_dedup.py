@@ -23,6 +23,17 @@ def planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
 
 
+def compact(v: np.ndarray) -> bytes:
+    """The bytes of a vector, as 32-bit floats where these are equal."""
+    with np.errstate(over="ignore"):
+        small = v.astype("<f4")
+    return (small if (small == v).all() else v.astype("<f8")).tobytes()
+
+
+def expanded(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, "<f4" if len(raw) == 4 * dim else "<f8").astype(np.float64)
+
+
 def near_duplicates(
     vectors: DataFrame, least: float = 0.98, bits: int = BITS, tables: int = TABLES, block: int = BLOCK, seed: int = SEED
 ) -> DataFrame:
@@ -31,10 +42,14 @@ def near_duplicates(
     Returns vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable, itself
     included), kept (vec_id = component_id), one row per input row. Vectors that are null, zero, or hold null or
     non-finite components, and those without a label, link with nothing. Equal vectors are one class, counted by its
-    size. A pair that meets in several tables is counted in the first only. Buckets of any size are compared whole,
-    in blocks of bounded size; within a block a matrix product finds the links, and only counts and one edge to the
-    smallest member of each local component leave it. Repeated vec_ids count as vectors each and are one node;
-    other columns are ignored.
+    size. Only ids and codes go through the buckets, of which those of one class end there; buckets of any size are
+    compared whole, in blocks of bounded size, to which each vector is sent once, as 32-bit floats where that loses
+    nothing. A pair that meets in several tables is counted in the first only. Within a block a matrix product finds
+    the links, and only counts and one edge to the smallest member of each local component leave it. Two vectors of
+    cosine c agree in one sign with probability p = 1 - acos(c) / pi, so a link is missed with (1 - p^bits)^tables.
+
+    Repeated vec_ids count as vectors each and are one node; a null vec_id links with nothing; other columns are
+    ignored; an empty table gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
 
@@ -44,34 +59,40 @@ def near_duplicates(
             for e in batch["embedding"]:
                 v = np.asarray([np.nan if x is None else x for x in e] if e is not None and getattr(e, "dtype", None) == object else ([] if e is None else e), dtype=np.float64)
                 good = len(v) and np.isfinite(v).all() and v.any()
-                raw.append((v + 0.0).tobytes() if good else None)
-                keys.append(hashlib.blake2b(raw[-1], digest_size=16).digest() if good else None)
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "key": keys, "vec": raw})
+                raw.append(compact(v + 0.0) if good else None)
+                keys.append(hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest() if good else None)
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "key": keys, "vec": raw, "dim": [0 if e is None else len(e) for e in batch["embedding"]]})
 
-    packed_rows = rows.mapInPandas(packed, "vec_id long, label long, key binary, vec binary")
+    packed_rows = rows.mapInPandas(packed, "vec_id long, label long, key binary, vec binary, dim int")
     classes = packed_rows.where("key is not null and label is not null and vec_id is not null").groupBy("label", "key")
-    classes = materialize(classes.agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vec").alias("vec")))
+    classes = materialize(classes.agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vec").alias("vec"), F.first("dim").alias("dim")))
+
+    tag = F.conv(F.substring(F.hex("key"), 1, 7), 16, 10).cast("int").alias("tag")
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, np.ndarray] = {}
         for batch in batches:
-            out = []
-            for label, rep, size, raw in zip(batch["label"], batch["rep"], batch["size"], batch["vec"], strict=True):
-                v = np.frombuffer(raw)
-                p = known.setdefault(len(v), planes(len(v), bits, tables, seed)) if len(v) not in known else known[len(v)]
+            out, dims = [], []
+            for raw, dim in zip(batch["vec"], batch["dim"].tolist(), strict=True):
+                v = expanded(raw, dim)
+                if dim not in known:
+                    known[dim] = planes(dim, bits, tables, seed)
                 # A scale that keeps the sums finite; it changes no sign and no cosine.
-                v = v / np.abs(v).max()
-                codes = ((v @ p) >= 0).reshape(tables, bits) @ (1 << np.arange(bits))
-                packed_codes = codes.astype("<u4").tobytes()
-                out += [(label, len(v), t, int(c), rep, size, raw, packed_codes) for t, c in enumerate(codes)]
-            yield pd.DataFrame(out, columns=["label", "dim", "t", "code", "rep", "size", "vec", "codes"])
-
-    signs = classes.mapInPandas(signed, "label long, dim int, t int, code long, rep long, size long, vec binary, codes binary")
-    blocks = in_blocks(signs, ["label", "dim", "t", "code"], "rep", block)
+                out.append(((v / np.abs(v).max() @ known[dim]) >= 0).reshape(tables, bits) @ (1 << np.arange(bits)))
+                dims.append(dim)
+            yield pd.DataFrame({"label": batch["label"], "dim": dims, "rep": batch["rep"], "tag": batch["tag"], "codes": out})
+
+    # A class is known by its smallest vec_id and, as a vec_id may be repeated, by some of its key.
+    signs = materialize(classes.select("label", "rep", "dim", "vec", tag).mapInPandas(signed, "label long, dim int, rep long, tag int, codes array<int>"))
+    in_tables = signs.select("label", "dim", "rep", "tag", F.posexplode("codes").alias("t", "code"))
+    blocks = in_blocks(in_tables, ["label", "dim", "t", "code"], "rep", block)
+    one = classes.select(F.col("rep").alias("w_rep"), tag.alias("w_tag"), "size", "vec")
+    whole = one.join(signs.select("rep", "tag", "codes"), (F.col("w_rep") == F.col("rep")) & (F.col("w_tag") == F.col("tag"))).drop("rep", "tag")
+    blocks = blocks.join(materialize(whole), (F.col("rep") == F.col("w_rep")) & (F.col("tag") == F.col("w_tag"))).drop("w_rep", "w_tag", "tag")
 
     def compared(group: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
-        rep = group["rep"]
-        vec = np.frombuffer(b"".join(group["vec"])).reshape(len(rep), -1)
+        rep, dim = group["rep"], int(group["dim"][0])
+        vec = np.array([expanded(raw, dim) for raw in group["vec"]])
         vec = vec / np.abs(vec).max(axis=1, keepdims=True)
         vec /= np.sqrt((vec * vec).sum(axis=1, keepdims=True))
         t, chunk, a, b = int(group["t"][0]), group["chunk"], group["block_a"][0], group["block_b"][0]
@@ -81,7 +102,7 @@ def near_duplicates(
         if a == b:
             i, j = i[rep[i] < rep[j]], j[rep[i] < rep[j]]
         if t and len(i):
-            codes = np.frombuffer(b"".join(group["codes"]), dtype="<u4").reshape(len(rep), -1)
+            codes = np.stack(group["codes"])
             new = np.ones(len(i), bool)
             for earlier in range(t):
                 new &= codes[i, earlier] != codes[j, earlier]
