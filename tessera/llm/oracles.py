@@ -62,13 +62,13 @@ from sized z join member m on m.doc_id = z.doc_id join low on low.rep = m.rep
 
 
 def op1() -> str:
-    def places(name: str, html: str, keep: str) -> str:
+    def places(name: str, html: str, written: str, keep: str) -> str:
         return f"""
 {name}_r as (
     select page_id // {warc.VOLUME_PAGES} as volume, page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) ||
         'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) ||
         'Content-Length: ' || strlen({html}) || chr(13) || chr(10) || chr(13) || chr(10) || {html} || chr(13) || chr(10) || chr(13) || chr(10) as record
-    from pages
+    from pages where {written}
 ),
 {name}_p as (
     select volume, page_id, strlen(record) as length, sha256(record) as digest,
@@ -84,7 +84,7 @@ def op1() -> str:
 
     html = "coalesce(html, '')"
     mark = "substr(md5(cast(page_id as varchar)), 1, 2)"
-    sql = "with" + places("a", html, "true") + "," + places("b", f"case when {mark} = '01' then replace({html}, '<', '{{') else {html} end", f"{mark} <> '00'")
+    sql = "with" + places("a", html, "true", "true") + "," + places("b", f"case when {mark} = '01' then replace({html}, '<', '{{') when {mark} = '02' then {html} || 'x' else {html} end", f"{mark} <> '00'", f"{mark} <> '03'")
     top = warc.LEVELS
     sql += f""",
 roots as (select coalesce(a.volume, b.volume) as volume, a.digest as root_a, b.digest as root_b, a.digest is not distinct from b.digest as intact from a_{top} a full join b_{top} b on a.volume = b.volume),
@@ -98,13 +98,16 @@ s_{k} as (select coalesce(a.volume, b.volume) as volume, coalesce(a.node, b.node
 w_{k} as (select volume, node from s_{k} where not same)"""
     sql += """,
 compared as (select volume, count(*) as n from (""" + " union all ".join(f"select volume from s_{k}" for k in range(top)) + """) group by volume),
-differ as (select volume, page_id from (select volume, page_id, "offset", length, digest from a except all select volume, page_id, "offset", length, digest from b)
-    union select volume, page_id from (select volume, page_id, "offset", length, digest from b except all select volume, page_id, "offset", length, digest from a)),
-bad as (select volume, list_sort(list(distinct page_id)) as pages from differ group by volume),
+held as (select volume, page_id, "offset", length, digest, 1 as side from a join w_0 w using (volume) where "offset" // RANGE = w.node
+    union all select volume, page_id, "offset", length, digest, -1 from b join w_0 w using (volume) where "offset" // RANGE = w.node),
+by_place as (select volume, page_id, length, digest, "offset", sum(side) as more from held group by all having sum(side) <> 0),
+by_record as (select volume, page_id, length, digest, sum(more) as more, sum(greatest(more, 0)) as only_a from by_place group by all),
+found as (select volume, list_sort(list(distinct page_id) filter (more <> 0)) as pages, sum(only_a - greatest(more, 0)) as n_shifted from by_record group by volume),
 sizes as (select volume, count(*) as n, cast(sum(length) as bigint) as bytes from a group by volume)
-select r.volume, coalesce(z.n, 0) as n_records, coalesce(z.bytes, 0) as n_bytes, root_a, root_b, intact, coalesce(c.n, 0) as n_compared, coalesce(bad.pages, cast([] as bigint[])) as bad_pages
-from roots r left join sizes z on z.volume = r.volume left join compared c on c.volume = r.volume left join bad on bad.volume = r.volume"""
-    return sql
+select r.volume, coalesce(z.n, 0) as n_records, coalesce(z.bytes, 0) as n_bytes, root_a, root_b, intact, coalesce(c.n, 0) as n_compared, cast(0 as bigint) as n_nameless,
+    cast(coalesce(f.n_shifted, 0) as bigint) as n_shifted, coalesce(f.pages, cast([] as bigint[])) as bad_pages
+from roots r left join sizes z on z.volume = r.volume left join compared c on c.volume = r.volume left join found f on f.volume = r.volume"""
+    return sql.replace("RANGE", str(warc.RANGE_BYTES))
 
 
 def op5() -> str:

@@ -23,12 +23,14 @@ def held_out() -> Column:
 
 
 def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixity drill over all pages: the second replica lost the records of ids whose md5 begins with 00 and altered,
-    at equal length, those whose md5 begins with 01. The audit has to find exactly these."""
+    """A fixity drill over all pages, by the first two digits of the md5 of their ids: the second replica lost the
+    records of 00 before it was written, so that later ones moved up, and those of 03 after; 01 was altered at equal
+    length and 02 grew by one letter. The audit has to find exactly these."""
     pages = table(spark, sf_dir, "pages")
     mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
-    altered = pages.withColumn("html", F.when(mark == "01", F.translate("html", "<", "{")).otherwise(F.col("html")))
-    replica = warc_fixity.manifest(warc_fixity.warc_records(altered)).where(mark != "00")
+    html = F.when(mark == "01", F.translate("html", "<", "{")).when(mark == "02", F.concat(F.col("html"), F.lit("x"))).otherwise(F.col("html"))
+    replica = warc_fixity.manifest(warc_fixity.warc_records(pages.where(mark.isNull() | (mark != "00")).withColumn("html", html)))
+    replica = replica.where(mark.isNull() | (mark != "03"))
     return warc_fixity.audit(warc_fixity.manifest(warc_fixity.warc_records(pages)), replica)
 
 

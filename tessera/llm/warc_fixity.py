@@ -16,20 +16,33 @@ def _bytes(text: Column) -> Column:
 
 
 def warc_records(pages: DataFrame, volume_pages: int = VOLUME_PAGES) -> DataFrame:
-    """The WARC response record of each page and its place: volume, page_id, offset, length, record.
+    """The WARC response record of each page and its volume: volume, page_id, record.
 
-    Volumes hold ``volume_pages`` consecutive page ids each, records in the order of page_id, url and html. Null urls
-    and htmls count as empty; rows without a page_id make up the volume -1.
+    Volumes hold ``volume_pages`` consecutive page ids each. Null urls and htmls count as empty. Repeated rows are
+    records each. Rows without a page_id have no place of their own: equal ones make one record that names their
+    number, and their volumes, which are negative, are dealt by a hash of the record, as many as hold ``volume_pages``
+    of them each on average. An empty table has no records; other columns are ignored.
     """
     url, html = F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit(""))
-    page_id = F.col("page_id").cast("long")
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), _bytes(html).cast("string"), F.lit("\r\n\r\n"),
-    )
-    record = F.concat(head, html, F.lit("\r\n\r\n"))
-    volume = F.coalesce(F.floor(page_id / F.lit(volume_pages)), F.lit(-1)).cast("long")
-    return pages.select(volume.alias("volume"), page_id.alias("page_id"), record.alias("record"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
+    ends = F.lit("\r\n")
+
+    def record(name: Column) -> Column:
+        head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\n"), name, ends, F.lit("WARC-Target-URI: "), F.col("url"), F.lit("\r\nContent-Length: "), _bytes(F.col("html")).cast("string"), ends, ends)
+        return F.concat(head, F.col("html"), ends, ends)
+
+    named = rows.where("page_id is not null").select(
+        F.floor(F.col("page_id") / F.lit(volume_pages)).cast("long").alias("volume"), "page_id",
+        record(F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">"))).alias("record"),
+    )
+    nameless = rows.where("page_id is null").groupBy("url", "html").agg(F.count("*").alias("copies"))
+    n_volumes = F.broadcast(nameless.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(volume_pages))).alias("n_volumes")))
+    # One row: the join with it neither shuffles nor multiplies rows.
+    nameless = nameless.join(n_volumes).select(
+        (-1 - F.pmod(F.xxhash64("url", "html"), F.col("n_volumes"))).cast("long").alias("volume"), F.lit(None).cast("long").alias("page_id"),
+        record(F.concat(F.lit("X-Copies: "), F.col("copies").cast("string"))).alias("record"),
+    )
+    return named.unionByName(nameless)
 
 
 def manifest(records: DataFrame) -> DataFrame:
@@ -43,18 +56,19 @@ def tree(places: DataFrame, range_bytes: int = RANGE_BYTES, fan_out: int = FAN_O
     """Nodes of each volume's hash tree, lowest level first: (volume, node, digest); the last level is the root.
 
     A lowest node hashes offset, length and digest of the records that begin in its range of offsets, in order; a node
-    above hashes number and digest of the nodes below it, in order. A record's bytes bound what a range holds.
+    above hashes number and digest of the nodes below it, in order. A record's bytes bound what a range holds. Each
+    level is written out before the next is made of it.
     """
 
     def joined(of: Column) -> Column:
         return F.sha2(F.array_join(of, ","), 256)
 
     leaf = F.transform(F.array_sort(F.collect_list(F.struct("offset", "length", "digest"))), lambda r: F.concat_ws(":", r["offset"], r["length"], r["digest"]))
-    nodes = [places.groupBy("volume", F.floor(F.col("offset") / range_bytes).cast("long").alias("node")).agg(joined(leaf).alias("digest"))]
+    nodes = [materialize(places.groupBy("volume", F.floor(F.col("offset") / range_bytes).cast("long").alias("node")).agg(joined(leaf).alias("digest")))]
     for level in range(1, levels + 1):
         up = F.lit(0).cast("long") if level == levels else F.floor(F.col("node") / fan_out).cast("long")
         below = F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda r: F.concat_ws(":", r["node"], r["digest"]))
-        nodes.append(nodes[-1].groupBy("volume", up.alias("up")).agg(joined(below).alias("digest")).withColumnRenamed("up", "node"))
+        nodes.append(materialize(nodes[-1].groupBy("volume", up.alias("up")).agg(joined(below).alias("digest")).withColumnRenamed("up", "node")))
     return nodes
 
 
@@ -62,43 +76,55 @@ def audit(replica_a: DataFrame, replica_b: DataFrame, range_bytes: int = RANGE_B
     """Compares two replicas, given as manifests (volume, page_id, offset, length, digest), one row per volume.
 
     Returns volume, n_records and n_bytes of the first replica (0 where it lacks the volume), root_a and root_b (null
-    where one lacks it), intact, n_compared (nodes looked at below the roots) and bad_pages (sorted ids of the
-    records that differ at their offset, are missing, or are extra). Roots are compared first; below, only children
-    of nodes that differ are joined, down to the records. Two empty replicas give no rows.
+    where one lacks it), intact, n_compared (nodes looked at below the roots), bad_pages (sorted ids of the records
+    that differ, are missing, or are extra), n_nameless (such records without an id) and n_shifted (records of the
+    first replica that the second holds unchanged at another offset, as behind one that is missing).
+
+    The trees are written out once. Roots are compared first; below, each level reads of both trees only the children
+    of nodes that differ, down to the records, so an intact volume adds nothing below its root. Replicas may hold a
+    record more than once: as many are matched as both hold. Two empty replicas give no rows.
     """
     places = {k: materialize(df.select("volume", "page_id", "offset", "length", "digest")) for k, df in (("a", replica_a), ("b", replica_b))}
-    trees = {k: tree(df, range_bytes, fan_out, levels) for k, df in places.items()}
-
-    def both(level: int) -> DataFrame:
-        a, b = (trees[k][level].select("volume", "node", F.col("digest").alias(f"digest_{k}")) for k in "ab")
-        return a.join(b, ["volume", "node"], "full")
-
-    roots = materialize(both(levels).select("volume", F.col("digest_a").alias("root_a"), F.col("digest_b").alias("root_b"), F.col("digest_a").eqNullSafe(F.col("digest_b")).alias("intact")))
-    wrong = roots.where("not intact").select(F.col("volume").alias("w_volume"), F.lit(0).cast("long").alias("w_node"))
-    looked = []
+    trees: dict[str, list[DataFrame]] = {}
+    for k, df in places.items():
+        trees[k] = tree(df, range_bytes, fan_out, levels)
+
+    def both(level: int, wrong: DataFrame | None, parent: Column | None) -> DataFrame:
+        sides = []
+        for k in "ab":
+            nodes = trees[k][level].select("volume", "node", F.col("digest").alias(f"digest_{k}"))
+            if wrong is not None:
+                nodes = nodes.join(wrong, (F.col("volume") == F.col("w_volume")) & (parent == F.col("w_node")), "left_semi")
+            sides.append(nodes)
+        return materialize(sides[0].join(sides[1], ["volume", "node"], "full").withColumn("same", F.col("digest_a").eqNullSafe(F.col("digest_b"))))
+
+    roots = both(levels, None, None)
+    seen, looked = roots, None
     for level in range(levels - 1, -1, -1):
-        parent = F.lit(0).cast("long") if level == levels - 1 else F.floor(F.col("node") / fan_out).cast("long")
-        seen = materialize(both(level).join(wrong, (F.col("volume") == F.col("w_volume")) & (parent == F.col("w_node")), "left_semi").withColumn("same", F.col("digest_a").eqNullSafe(F.col("digest_b"))))
-        looked.append(seen.groupBy("volume").agg(F.count("*").alias("n")))
         wrong = seen.where("not same").select(F.col("volume").alias("w_volume"), F.col("node").alias("w_node"))
+        seen = both(level, wrong, F.lit(0).cast("long") if level == levels - 1 else F.floor(F.col("node") / fan_out).cast("long"))
+        here = seen.select("volume")
+        looked = here if looked is None else looked.unionByName(here)
+    wrong = seen.where("not same").select(F.col("volume").alias("w_volume"), F.col("node").alias("w_node"))
 
     def suspects(k: str) -> DataFrame:
         here = F.floor(F.col("offset") / range_bytes).cast("long")
         return places[k].join(wrong, (F.col("volume") == F.col("w_volume")) & (here == F.col("w_node")), "left_semi")
 
-    keys = ["volume", "offset", "length", "digest", "page_id"]
-    # Numbered among equal rows, so that a record held twice by one replica counts.
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    a, b = (suspects(k).select(*keys, number.alias("k")) for k in "ab")
-    differ = a.join(b, [*keys, "k"], "left_anti").unionByName(b.join(a, [*keys, "k"], "left_anti"))
-    bad = differ.groupBy("volume").agg(F.array_sort(F.collect_set("page_id")).alias("bad_pages"))
-    compared = looked[0]
-    for more in looked[1:]:
-        compared = compared.unionByName(more)
-    compared = compared.groupBy("volume").agg(F.sum("n").alias("n_compared"))
+    keys = ["volume", "page_id", "length", "digest"]
+    held = suspects("a").withColumn("side", F.lit(1)).unionByName(suspects("b").withColumn("side", F.lit(-1)))
+    # As many copies of a record as both replicas hold at one offset cancel out first, then those at any offset.
+    at = held.groupBy(*keys, "offset").agg(F.sum("side").alias("more")).where("more <> 0")
+    of = at.groupBy(*keys).agg(F.sum("more").alias("more"), F.sum(F.greatest("more", F.lit(0))).alias("only_a"))
+    found = of.groupBy("volume").agg(
+        F.array_sort(F.collect_set(F.when(F.col("more") != 0, F.col("page_id")))).alias("bad_pages"), F.count_if((F.col("more") != 0) & F.col("page_id").isNull()).alias("n_nameless"),
+        F.sum(F.col("only_a") - F.greatest("more", F.lit(0))).alias("n_shifted"),
+    )
+    compared = looked.groupBy("volume").agg(F.count("*").alias("n_compared"))
     sizes = places["a"].groupBy("volume").agg(F.count("*").alias("n_records"), F.sum("length").alias("n_bytes"))
-    out = roots.join(sizes, "volume", "left").join(compared, "volume", "left").join(bad, "volume", "left")
+    out = roots.select("volume", F.col("digest_a").alias("root_a"), F.col("digest_b").alias("root_b"), F.col("same").alias("intact"))
+    out = out.join(sizes, "volume", "left").join(compared, "volume", "left").join(found, "volume", "left")
     return out.select(
-        "volume", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), "root_a", "root_b", "intact",
-        F.coalesce("n_compared", F.lit(0)).alias("n_compared"), F.coalesce("bad_pages", F.array().cast("array<bigint>")).alias("bad_pages"),
+        "volume", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_records", "n_bytes")], "root_a", "root_b", "intact",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_compared", "n_nameless", "n_shifted")], F.coalesce("bad_pages", F.array().cast("array<bigint>")).alias("bad_pages"),
     )

@@ -71,17 +71,37 @@ def test_embeddings_against_all_pairs(spark):
 
 
 def test_fixity_finds_what_was_done(spark):
-    pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * (i * 37 % 900)) for i in range(3000)] + [(None, None, None)], "page_id long, url string, html string")
-    a = warc_fixity.manifest(warc_fixity.warc_records(pages))
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * (i * 37 % 900)) for i in range(3000)] + [(None, None, None)] * 3 + [(None, "u", "long " * 50_000)], "page_id long, url string, html string")
+    records = warc_fixity.warc_records(pages)
+    assert sorted((r.volume, r.n) for r in records.groupBy("volume").agg(F.count("*").alias("n")).collect()) == [(-1, 2), (0, 1024), (1, 1024), (2, 952)]
+    a = warc_fixity.manifest(records)
     i = F.col("page_id")
     altered = pages.withColumn("html", F.when(i.isin(5, 2500), F.translate("html", "x", "y")).otherwise(F.col("html")))
     b = warc_fixity.manifest(warc_fixity.warc_records(altered)).where(i.isNull() | (i != 1500))
     got = {r.volume: r for r in warc_fixity.audit(a, b, range_bytes=4096, fan_out=4).collect()}
     assert {v: r.bad_pages for v, r in got.items()} == {-1: [], 0: [5], 1: [1500], 2: [2500]}
-    assert got[-1].intact and not got[0].intact and 0 < got[0].n_compared < 120 and got[0].n_records == 1024
-    assert all(r.intact for r in warc_fixity.audit(a, a).collect())
+    assert got[-1].intact and got[-1].n_compared == 0 and not got[0].intact and 0 < got[0].n_compared < 120 and got[0].n_records == 1024
+    assert all(r.intact and r.n_compared == 0 for r in warc_fixity.audit(a, a).collect())
     assert warc_fixity.audit(a.where("false"), a.where("false")).count() == 0
     assert {r.volume: len(r.bad_pages) for r in warc_fixity.audit(a.where("false"), a.where("volume = 2")).collect()} == {2: 952}
+    # A record lost before the replica was written, one that grew, and one without an id that changed: the rest only moved.
+    moved = pages.where(i.isNull() | ~i.isin(40, 41)).withColumn("html", F.when(i == 1100, F.lit("grown")).when(i.isNull() & F.col("url").isNull(), F.lit("z")).otherwise(F.col("html")))
+    got = {r.volume: r for r in warc_fixity.audit(a, warc_fixity.manifest(warc_fixity.warc_records(moved)), range_bytes=4096, fan_out=4).collect()}
+    assert {v: (r.bad_pages, r.n_nameless) for v, r in got.items()} == {-1: ([], 2), 0: ([40, 41], 0), 1: ([1100], 0), 2: ([], 0)}
+    assert got[0].n_shifted == 1024 - 42 and got[2].n_shifted == 0 and 0 < got[1].n_shifted < 1024
+    # Copies of a record count.
+    twice = a.unionByName(a.where("page_id = 7"))
+    assert {r.volume: r.bad_pages for r in warc_fixity.audit(a, twice).collect() if not r.intact} == {0: [7]}
+
+
+def test_fixity_reads_below_wrong_nodes_only(spark):
+    pages = spark.createDataFrame([(i, "u", "x" * 400) for i in range(4096)], "page_id long, url string, html string")
+    a = warc_fixity.manifest(warc_fixity.warc_records(pages))
+    b = warc_fixity.manifest(warc_fixity.warc_records(pages.withColumn("html", F.when(F.col("page_id") == 2000, F.translate("html", "x", "y")).otherwise(F.col("html")))))
+    got = {r.volume: r.n_compared for r in warc_fixity.audit(a, b, range_bytes=4096, fan_out=4).collect()}
+    # Below the one wrong root: its children, then four each of one wrong node.
+    nodes = -(-sum(len(f"WARC/1.1..WARC-Type: response..WARC-Record-ID: <urn:page:{i}>..WARC-Target-URI: u..Content-Length: 400....") + 404 for i in range(1024, 2048)) // 4096)
+    assert got == {0: 0, 1: -(-nodes // 16) + 4 + 4, 2: 0, 3: 0}
 
 
 def test_url_rules_and_reputation(spark):
