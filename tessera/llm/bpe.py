@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import bounded_batches, slices
 
 #: Stretches and fragments whose ids each task remembers at least; twice as many at most.
 REMEMBERED = 150_000
@@ -255,6 +255,7 @@ def bpe_encode(docs: DataFrame, path: str, digest_only: bool = False) -> DataFra
             else:
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [np.asarray(i, dtype=np.int32) for i in ids], "decoded": decoded})
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest_only else "doc_id long, ids array<int>, decoded string"
     return rows.mapInPandas(encoded, out)

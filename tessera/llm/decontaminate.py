@@ -10,8 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a seed. A benchmark of more items than ITEMS is taken in blocks of so many: the bound of what is broadcast.
-SEED_WORDS, ITEMS = 3, 20_000
+from tessera.llm.common import bounded_batches, slices
+
+#: Words of a seed. A benchmark of more items than ITEMS, or more letters than LETTERS, is taken in blocks of so many on
+#: average: the bound of what is broadcast.
+SEED_WORDS, ITEMS, LETTERS = 3, 20_000, 20_000_000
 #: Scores of the alignment, and the share of an item's greatest score from which a passage is a copy of it.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
@@ -135,15 +138,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     however common, the item is aligned with the words around it, so no result depends on the other documents. A copy
     of which no SEED_WORDS words in a row are left is not found.
     ``score`` is the alignment's share of the item's greatest score (1 for a verbatim copy), ``start`` and ``end``
-    count words. Documents are never shuffled: only blocks of at most ``items`` benchmark items are sent to them.
+    count words. Documents are never shuffled: only blocks of about ``items`` benchmark items are sent to them, and documents are read once
+    for each block.
 
     Items without words and null ids are left out; null and empty texts match nothing; repeated rows and repeated items
     give a row each; other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tests = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n_blocks = max(1, -(-tests.count() // items))
+    n_items, letters = tests.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n_blocks = max(1, -(-n_items // items), -(-letters // LETTERS))
     schema = "doc_id long, item_id long, score double, start long, end long"
     out = None
     for block in range(n_blocks):
@@ -158,7 +164,7 @@ def _against(spark, rows: DataFrame, seeds: Seeds, least: float, schema: str) ->
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [(d, *c) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for c in index.copies(t, None, least)]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "start", "end"])
 

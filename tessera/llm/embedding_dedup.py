@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_groups, components, in_blocks, local_roots, materialize
+from tessera.llm.common import bounded_batches, by_groups, components, in_blocks, local_roots, materialize
 
 #: Signs per table and tables: two vectors of cosine 0.98 agree in one sign with probability 0.936, in all 12 signs of
 #: a table with 0.453, and so meet in none of 24 tables with probability 5e-7.
@@ -51,6 +51,7 @@ def near_duplicates(
     Repeated vec_ids count as vectors each and are one node; a null vec_id links with nothing; other columns are
     ignored; an empty table gives no rows.
     """
+    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches, slices
+
 #: Parts of a page that are never its article.
 ASIDE_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "textarea", "label", "fieldset", "input", "iframe", "object", "noscript", "figcaption"}
 #: Elements whose content is not text of the page.
@@ -205,9 +207,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(h) for h in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     return rows.mapInPandas(extracted, "page_id long, url string, text string, n_chars long")

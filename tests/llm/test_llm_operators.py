@@ -364,18 +364,95 @@ def test_pipeline_stages(spark, duck, odd, tmp_path):
 
     assert len(p.STAGES) == 5 and p.ORACLE_SQL is None
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    seen = docs
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, seen, DATA)
-        assert out.columns == docs.columns, name
-        seen = common.materialize(out)
-    kept = {r.doc_id: r.text for r in seen.collect()}
-    last = {r.doc_id: r for r in p.run(spark, DATA).collect()}
-    assert set(last) == set(kept) and 0 < len(kept) < docs.count()
-    own = bpe.WordBpe(VOCABULARY)
-    for i, t in list(kept.items())[:40]:
-        assert list(last[i].ids) == own.encode(t) and last[i].decoded == own.decode(list(last[i].ids))
     for name, stage in p.STAGES:
         for table in (odd, odd.where("false")):
             out = stage(spark, table, DATA)
             assert out.count() <= table.count() and (name == p.STAGES[-1][0] or out.columns == table.columns)
+    stages = dict(p.STAGES)
+    kept = sorted(((r.doc_id, r.text) for r in stages["n-gram Jaccard join"](spark, odd, DATA).collect()), key=str)
+    assert kept == sorted({(r.doc_id, r.text) for r in odd.collect() if r.doc_id != 7}, key=str)
+    two = spark.createDataFrame([(1, "one text of an id"), (1, "another text of it"), (1, "one text of an id"), (None, "x"), (None, "x"), (None, None)], "doc_id long, text string")
+    assert stages["n-gram Jaccard join"](spark, two, DATA).count() == 4
+    assert docs.columns == stages["benchmark decontamination"](spark, docs, DATA).columns
+
+
+def test_pipeline_equals_plain_stages(spark, duck):
+    """run() against the stages chained in plain Python over the whole smallest table."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = quality_rules.train(docs, labels)
+    for i, t in list(texts.items()):
+        stats = plain_statistics(t or "")
+        total = model.bias + sum(w for rule, w in model.weights if all(stats[s] <= x if op == "<=" else stats[s] > x for s, op, x in rule.terms))
+        if 1 / (1 + math.exp(-total)) < 0.3:
+            del texts[i]
+    n_good = len(texts)
+    sets = {i: set(ngram_join.shingles(t, 5).tolist()) for i, t in texts.items()}
+    pairs = [(a, b) for a in texts for b in texts if a < b and sets[a] and sets[b] and ngram_join.linked(len(sets[a]), len(sets[b]), len(sets[a] & sets[b]), 80)]
+    texts = {i: texts[i] for i, c in components_of(pairs, texts).items() if i == c}
+    n_single = len(texts)
+    spans = {}
+    for i, _, s, e, *_ in plain_spans(texts.items()):
+        spans.setdefault(i, []).append((s, e))
+    texts = {i: new for i, t in texts.items() if (new := chunk_dedup.without(t, spans[i]) if i in spans else t) is not None and (i not in spans or new.strip())}
+    leaks = {i for i, t in texts.items() if plain_copies(t, items)}
+    texts = {i: t for i, t in texts.items() if i not in leaks}
+    assert n_single < n_good < docs.count() and spans and leaks
+    library = Tokenizer.from_file(VOCABULARY)
+    library.no_truncation()
+    library.no_padding()
+    expected = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in texts.items()}
+    got = {r.doc_id: r for r in p.run(spark, DATA).collect()}
+    assert {i: list(r.ids) for i, r in got.items()} == expected
+    assert all(got[i].decoded == library.decode(ids, skip_special_tokens=False) for i, ids in expected.items())
+
+
+def plain_copies(text, items):
+    """Every item aligned with the whole text, where three words in a row are common: {item: score}."""
+    vocabulary, out = {}, {}
+    passage = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in decontaminate.words_of(text)], np.int64)
+    grams = {tuple(passage[k : k + 3].tolist()) for k in range(len(passage) - 2)}
+    for i, t in items:
+        item = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in decontaminate.words_of(t)], np.int64)
+        if len(item) > 2 and not grams.isdisjoint({tuple(item[k : k + 3].tolist()) for k in range(len(item) - 2)}):
+            score = decontaminate.align(item, passage)[0] / (decontaminate.MATCH * len(item))
+            if score >= decontaminate.LEAST_SCORE:
+                out[i] = score
+    return out
+
+
+def test_contamination_equals_alignment_of_everything(spark, duck):
+    """Every item against every text of the smallest table, and edited copies of the items besides."""
+    rng = random.Random(12)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    for k, (_, t) in enumerate(items * 6):
+        copy = []
+        for w in t.split():
+            edit = rng.random() * (2.5 if k % 2 else 1)
+            copy += [] if edit < 0.1 else [w, "between"] if edit < 0.2 else ["changed"] if edit < 0.35 else [w]
+        docs.append((100_000 + k, " ".join(words(rng, 30) + copy + words(rng, 30))))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()
+    expected = {(d, i): s for d, t in docs for i, s in plain_copies(t, items).items()}
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in got} == {k: round(s, 9) for k, s in expected.items()}
+    assert 20 < sum(d >= 100_000 for d, _ in expected) and any(d < 100_000 for d, _ in expected)
+
+
+def test_bpe_query_equals_the_library(spark, duck):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    library.no_truncation()
+    library.no_padding()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries()["op4_bpe"](spark, DATA).collect()}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert got[r.doc_id] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
