@@ -116,7 +116,11 @@ def unknowns(fields: dict[str, tuple[Column, Column]]) -> Column:
 
     ``fields`` maps a name to (raw array, normalised array).
     """
-    lost = [F.transform(F.array_except(F.transform(raw, clean), F.transform(done, clean)), lambda v, f=f: F.struct(F.lit(f).alias("field"), v.alias("value"))) for f, (raw, done) in fields.items()]
+
+    def lost_of(field: str, raw: Column, done: Column) -> Column:
+        return F.transform(F.array_except(F.transform(raw, clean), F.transform(done, clean)), lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+
+    lost = [lost_of(f, raw, done) for f, (raw, done) in fields.items()]
     return F.concat(*[F.coalesce(x, F.array().cast("array<struct<field:string,value:string>>")) for x in lost])
 
 

@@ -10,6 +10,13 @@ from tessera.functions.cells import share
 from tessera.functions.quality import is_listing, report_score
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def counts_by(df: DataFrame, key: str, cases: dict[str, Column]) -> DataFrame:
     return df.groupBy(key).agg(*[F.count_if(c).alias(n) for n, c in cases.items()])
 
@@ -43,11 +50,15 @@ def url_report(jobs: DataFrame, by: str | None = None, parts=C.LISTING_SOURCE) -
 
 
 def duplicate_groups(df: DataFrame, url: Column, title: str, newest: str, top: int | None = 10, titles: int = 3) -> DataFrame:
-    """Urls held more than once, with how often and their newest titles."""
-    rows = df.select(url.alias("url"), F.struct(F.col(newest).alias("at"), F.col(title).alias("title")).alias("row")).where("url is not null")
-    groups = rows.groupBy("url").agg(F.count("*").alias("n"), F.slice(F.transform(F.sort_array(F.collect_list("row"), asc=False), lambda r: r["title"]), 1, titles).alias("titles")).where("n > 1")
-    groups = groups.orderBy(F.desc("n"), F.asc("url"))
-    return groups if top is None else groups.limit(top)
+    """Urls held more than once, with how often and their newest titles. Groups are counted first, and of each only the
+    newest titles are gathered."""
+    rows = df.select(url.alias("url"), F.col(newest).alias("at"), F.col(title).alias("title")).where("url is not null")
+    groups = rows.groupBy("url").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), F.asc("url"))
+    groups = groups if top is None else groups.limit(top)
+    rank = F.row_number().over(Window.partitionBy("g_url").orderBy(F.col("at").desc(), F.col("title").desc()))
+    newest_rows = rows.join(groups.select(F.col("url").alias("g_url")), F.col("url") == F.col("g_url")).withColumn("rank", rank).where(F.col("rank") <= titles)
+    gathered = newest_rows.groupBy("g_url").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda r: r["title"]).alias("titles"))
+    return groups.join(gathered, F.col("url") == F.col("g_url")).select("url", "n", "titles").orderBy(F.desc("n"), F.asc("url"))
 
 
 def issue_counts(selections: list[DataFrame], key: str, top: int = 10) -> DataFrame:
@@ -116,9 +127,13 @@ def mode_of(df: DataFrame, key: str, value: str) -> DataFrame:
     ).groupBy(key, "n_mode", "n").agg(F.min(value).alias("mode")).withColumn("share", share(F.col("n_mode"), F.col("n")))
 
 
-def unknown_tags(rows: DataFrame, array: str, known: DataFrame, key: str, top: int = 10) -> DataFrame:
-    """Values of an array that a lookup (whose key is never null) lacks."""
+def unknown_tags(rows: DataFrame, array: str, known: DataFrame, key: str, top: int = 10, null_aware: bool = False) -> DataFrame:
+    """Values of an array that a lookup lacks. ``null_aware``, as NOT IN is, nothing is unknown to one with a null key."""
     values = rows.select(F.explode(array).alias("value")).where("value is not null")
+    if null_aware:
+        nulls = known.where(F.col(key).isNull()).limit(1).select(F.lit(True).alias("any_null"))
+        # One row at most.
+        values = values.join(F.broadcast(nulls), F.lit(True), "left_anti")
     return values.join(known.select(F.col(key).alias("value")), "value", "left_anti").groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("value")).limit(top)
 
 
@@ -143,9 +158,9 @@ def deletion_impact(jobs: DataFrame, children: dict[str, tuple[DataFrame, str]],
     return out.withColumn("risk", F.when((F.col("jobs") > 1000) | (saves > 100), "high").when(F.col("jobs") > 100, "medium").otherwise("low"))
 
 
-def query_metrics(tracks: DataFrame, as_of_last: int = 100) -> DataFrame:
-    """Latency, hit rate and fallback rate of the last tracked queries."""
-    last = tracks.orderBy(F.desc("timestamp")).limit(as_of_last)
+def query_metrics(tracks: DataFrame, as_of_last: int = 100, tie: str | None = None) -> DataFrame:
+    """Latency, hit rate and fallback rate of the last tracked queries; of equal times those of the greater ``tie``."""
+    last = tracks.orderBy(F.desc("timestamp"), *([F.desc(tie)] if tie else [])).limit(as_of_last)
     out = last.agg(F.count("*").alias("n"), F.avg("latency_ms").alias("mean_latency_ms"), F.count_if(F.col("source") == "index").alias("n_index"), F.count_if(F.col("source") == "db").alias("n_db"))
     return out.withColumns({"hit_rate": share(F.col("n_index") * 100, F.col("n")), "fallback_rate": share(F.col("n_db") * 100, F.col("n"))})
 

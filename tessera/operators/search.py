@@ -39,6 +39,11 @@ def by_status(df: DataFrame, mode: str) -> DataFrame:
     return df if mode == "all" else df.where(F.col("deleted_at").isNull())
 
 
+def with_collection(name: str, filters: dict, **rest) -> SearchRequest:
+    """A request for a named filter set together with the user's own filters; the set's values hold where both name one."""
+    return SearchRequest(filters={**filters, **COLLECTIONS.get(name, {})}, **rest)
+
+
 def text_match(q: str, columns: list[str], wildcards: bool = False) -> Column:
     """Whether any column contains ``q`` in any case. With ``wildcards``, % and _ in ``q`` act as such."""
     if wildcards:
