@@ -1,47 +1,69 @@
-"""Similar records by text ratio within blocks, and the consistency of their labels."""
+"""Similar records by text ratio among the newest ones."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+#: Weights of title and description, letters of the description that count, and newest records that a record is
+#: compared with (fixed values).
+TITLE, DESCRIPTION, LETTERS, NEWEST = 0.6, 0.4, 200, 500
+#: Places of the letters' counts; letters share one by their code.
+PLACES = 64
 
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of two texts in lower case; 0 where one is null or empty."""
-    return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
+def ratio(a: str, b: str) -> float:
+    """Matching-blocks ratio of two texts in lower case; 0 where one is empty."""
+    return SequenceMatcher(None, a.lower(), b.lower()).ratio() if a and b else 0.0
 
-def similar_pairs(df: DataFrame, key: str, title: str, description: str, block: list[str], least: float = 0.8, recent: str | None = None, window: int = 500) -> DataFrame:
-    """(a, b, similarity) of the pairs within a block that reach ``least``: .6 title and .4 first 200 characters.
 
-    As in the search for one record, each is compared with the records that come next within ``window`` places of its
-    block by ``recent`` (or key), so the number of comparisons grows with the rows and not with a block's square.
-    Places are dealt in overlapping runs of ``window`` rows, so a block of any size is spread over tasks.
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """Counts of the letters of each text: the sum of the lesser counts bounds what two texts can match."""
+    out = np.zeros((len(texts), PLACES), np.int32)
+    for row, t in zip(out, texts, strict=True):
+        row += np.bincount(np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) % PLACES, minlength=PLACES).astype(np.int32)
+    return out
+
+
+def most_ratio(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Bounds of the ratios of one text with each of several, 0 where one is empty."""
+    n, m = counts.sum(), of.sum(axis=1)
+    return np.where((n > 0) & (m > 0), 2 * np.minimum(counts, of).sum(axis=1) / np.maximum(n + m, 1), 0.0)
+
+
+def similar_to_newest(df: DataFrame, key: str, title: Column, description: Column, order: list[Column], least: float = 0.8, newest: int = NEWEST) -> DataFrame:
+    """(a, b, similarity): each record a with those of the ``newest`` records b, other than itself, that reach ``least``.
+
+    The similarity is .6 of the whole titles' ratio and .4 of that of the descriptions' first 200 letters. As a lookup
+    for one record is, the search is limited to the newest records, here for every record at once; so the work grows
+    with the rows. Only these, ``newest`` rows, are sent to the tasks; a bound from letter counts spares most ratios.
     """
-    order = [F.col(recent).desc_nulls_last()] if recent else []
-    rows = df.select(F.col(key).alias("id"), F.coalesce(title, F.lit("")).alias("t"), F.substring(F.coalesce(description, F.lit("")), 1, 200).alias("d"), *block, *([recent] if recent else []))
-    rows = rows.where(F.col("t") != "").withColumn("n", F.row_number().over(Window.partitionBy(*block).orderBy(*order, "id")) - 1)
-    run = F.floor(F.col("n") / window).cast("int")
-    left = rows.select(*[F.col(c).alias(f"k_{c}") for c in block], run.alias("run"), F.col("n").alias("n_a"), F.col("id").alias("a"), F.col("t").alias("t_a"), F.col("d").alias("d_a"))
-    right = rows.select(*[F.col(c).alias(f"r_{c}") for c in block], F.explode(F.array_distinct(F.array(run, F.greatest(run - 1, F.lit(0))))).alias("r_run"), F.col("n").alias("n_b"), F.col("id").alias("b"), F.col("t").alias("t_b"), F.col("d").alias("d_b"))
-    on = (F.col("run") == F.col("r_run")) & (F.col("n_b") > F.col("n_a")) & (F.col("n_b") - F.col("n_a") < window)
-    for c in block:
-        on = on & F.col(f"k_{c}").eqNullSafe(F.col(f"r_{c}"))
-    # A ratio is at most twice the shorter length over the sum; the bound spares most comparisons.
-    most = 2 * F.least(F.length("t_a"), F.length("t_b")) / (F.length("t_a") + F.length("t_b")) * 0.6 + 0.4
-    pairs = left.join(right, on & (most >= least))
-    score = 0.6 * ratio(F.col("t_a"), F.col("t_b")) + 0.4 * ratio(F.col("d_a"), F.col("d_b"))
-    return pairs.withColumn("similarity", score).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    rows = df.select(F.col(key).cast("string").alias("id"), F.coalesce(title, F.lit("")).alias("t"), F.substring(F.coalesce(description, F.lit("")), 1, LETTERS).alias("d"))
+    last = df.orderBy(*order).limit(newest).select(F.col(key).cast("string").alias("id"), F.coalesce(title, F.lit("")).alias("t"), F.substring(F.coalesce(description, F.lit("")), 1, LETTERS).alias("d")).collect()
+    shared = df.sparkSession.sparkContext.broadcast([tuple(r) for r in last])
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        others = shared.value
+        t_counts, d_counts = letter_counts([o[1] for o in others]), letter_counts([o[2] for o in others])
+        for batch in batches:
+            out = []
+            for i, t, d, tc, dc in zip(batch["id"], batch["t"], batch["d"], letter_counts(batch["t"].tolist()), letter_counts(batch["d"].tolist()), strict=True):
+                bound = TITLE * most_ratio(tc, t_counts) + DESCRIPTION * most_ratio(dc, d_counts)
+                for k in np.flatnonzero(bound >= least - 1e-9).tolist():
+                    b, bt, bd = others[k]
+                    if b != i and (s := TITLE * ratio(t, bt) + DESCRIPTION * ratio(d, bd)) >= least:
+                        out.append((i, b, s))
+            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    return rows.mapInPandas(compared, "a string, b string, similarity double")
 
 
 def top_similar(pairs: DataFrame, k: int = 10) -> DataFrame:
     """The k most similar partners of each record."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), F.asc("b")))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -29,6 +29,17 @@ def local(cores: int = 8, partitions: int = 8, app: str = "tessera") -> SparkSes
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a session on one machine gets one where that is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")
+
+
 _SHIPPED: set[str] = set()
 
 

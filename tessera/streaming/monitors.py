@@ -7,6 +7,7 @@ emits the last open window.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.session import shared_dir
+
 #: Of the breaker: trailing seconds, calls needed, share of errors that opens it, seconds until it is tried again.
 BREAKER = {"window_s": 300, "least_calls": 10, "share": 0.10, "reset_s": 60}
 
@@ -132,19 +135,43 @@ def token_bucket(df: DataFrame, key: str, ts: str, capacity: float, per_second:
     return rows.groupBy("key").transformWithStateInPandas(Bucket(capacity, per_second), "key string, at double, passed boolean", "Append", "None")
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "complete", rocksdb: bool = False) -> DataFrame:
-    """Runs a stream over what is there and returns its result table, kept in the driver: for small results and tests."""
+def run_once(df: DataFrame, mode: str = "append", rocksdb: bool = False) -> DataFrame:
+    """Runs a stream over what is there and returns its result, written to the shared folder as Parquet."""
     spark = df.sparkSession
+    root = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     conf, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(conf)
     try:
         if rocksdb:
             spark.conf.set(conf, provider)
-        query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+        if mode == "append":
+            query = writer.format("parquet").option("path", f"{root}/rows").start()
+        else:
+            # Each batch holds the whole result so far.
+            query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{root}/rows")).start()
         query.awaitTermination()
     finally:
         spark.conf.set(conf, before)
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{root}/rows")
+
+
+def run_upserts(df: DataFrame, key: str, counts: dict[str, Column]) -> DataFrame:
+    """Running sums per key (T5): each micro-batch is summed and added to the snapshot of the batch before, and written as
+    the snapshot of its own number, so that a batch that runs again gives the same."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def add(rows: DataFrame, batch: int) -> None:
+        new = rows.groupBy(key).agg(*[c.cast("long").alias(n) for n, c in counts.items()])
+        if earlier := [b for b in done if b < batch]:
+            new = spark.read.parquet(f"{root}/state-{max(earlier)}").unionByName(new)
+        new.groupBy(key).agg(*[F.sum(n).alias(n) for n in counts]).write.mode("overwrite").parquet(f"{root}/state-{batch}")
+        done.append(batch)
+
+    each_batch(df, add, f"{root}/checkpoint", None).awaitTermination()
+    return spark.read.parquet(f"{root}/state-{max(done)}")
 
 
 def each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "5 minutes") -> StreamingQuery:

@@ -1,5 +1,6 @@
 """Operators on the golden tables and on small fixtures."""
 
+import random
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -118,10 +119,58 @@ def test_pages(spark):
     assert out["1"].is_job and out["2"].confidence == 0.0
 
 
-def test_similar(spark):
-    df = spark.createDataFrame([(1, "Health officer in Nairobi", "d", "s"), (2, "Health officer in Nairobi!", "d", "s"), (3, "Something else entirely", "d", "s"), (4, None, None, "s")], "id int, title string, description string, source string")
-    pairs = similar.similar_pairs(df, "id", "title", "description", ["source"], 0.8).collect()
-    assert {tuple(sorted((r.a, r.b))) for r in pairs} == {(1, 2)}
+def test_similar_equals_a_loop(spark):
+    rng = random.Random(3)
+    words = ["health", "officer", "in", "Nairobi", "WASH", "senior", "data", "analyst", "été"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 6))) if i % 9 else None, " ".join(rng.choices(words, k=50)) if i % 4 else ("d" if i % 8 else None)) for i in range(160)]
+    rows += [(600 + i, f"{rows[i][1]} {i}", rows[i][2]) for i in range(10, 30)]
+    rows += [(500, rows[3][1] + "!", rows[3][2]), (501, "", "x"), (502, rows[5][1], rows[5][2])]
+    df = spark.createDataFrame(rows, "id int, title string, description string")
+    got = similar.similar_to_newest(df, "id", F.col("title"), F.col("description"), [F.desc("id")], 0.8, newest=40).collect()
+    newest = sorted(rows, key=lambda r: -r[0])[:40]
+    expected = {}
+    for a, t, d in rows:
+        for b, bt, bd in newest:
+            s = 0.6 * similar.ratio(t or "", bt or "") + 0.4 * similar.ratio((d or "")[:200], (bd or "")[:200])
+            if a != b and s >= 0.8:
+                expected[str(a), str(b)] = round(s, 9)
+    assert {(r.a, r.b): round(r.similarity, 9) for r in got} == expected and len(expected) > 8
+    top = similar.top_similar(spark.createDataFrame(got), 1).collect()
+    assert len(top) == len({r.a for r in got}) and all(r.similarity == max(g.similarity for g in got if g.a == r.a) for r in top)
+
+
+def test_state_of_streams_equals_loops(spark):
+    from conftest import DATA
+
+    from tessera.plans.registry import queries
+    from tessera.streaming.monitors import BREAKER
+
+    events = [(r.at, r.user_id, r.event_type, r.d, r.h) for r in spark.read.parquet(f"{DATA}/events.parquet").selectExpr("cast(cast(ts as timestamp) as double) as at", "user_id", "event_type", "date_format(ts, 'yyyy-MM-dd') as d", "date_format(ts, 'yyyy-MM-dd HH') as h").orderBy("ts", "event_id").collect()]
+    groups, buckets = {}, {}
+    for at, user, kind, d, h in events:
+        groups.setdefault(f"{user}/{d}", []).append((at, kind == "error"))
+        buckets.setdefault(f"{kind}/{h}", []).append(at)
+    opened = set()
+    for key, calls in groups.items():
+        since, kept = None, []
+        for at, failed in sorted(calls):
+            if since is not None and at - since >= BREAKER["reset_s"]:
+                since, kept = None, []
+            kept = [c for c in kept if at - c[0] < 86400] + [(at, failed)]
+            if since is None and len(kept) >= 2 and sum(c[1] for c in kept) >= BREAKER["share"] * len(kept):
+                since = at
+                opened.add((key, round(at, 3), len(kept), sum(c[1] for c in kept)))
+    got = {(r.key, round(r.opened_at, 3), r.calls, r.errors) for r in queries()["stateful_breaker"](spark, DATA).collect()}
+    assert got == opened and opened
+    passed = {}
+    for key, times in buckets.items():
+        tokens, last, n = 1.0, times[0], 0
+        for at in times:
+            tokens, last = min(1.0, tokens + (at - last) / 1800), at
+            if tokens >= 1:
+                tokens, n = tokens - 1, n + 1
+        passed[key] = (len(times), n)
+    assert {r.key: (r.n, r.n_passed) for r in queries()["stateful_buckets"](spark, DATA).collect()} == passed
 
 
 def test_rollout_is_md5_modulo(spark):
