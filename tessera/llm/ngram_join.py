@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tessera.llm.common import bounded_batches, components, discard, in_blocks, materialize, slices
+from tessera.llm.common import bounded_batches, by_groups, components, discard, in_blocks, materialize, slices
 
 #: Counters of the frequency sketch that orders n-grams from rare to common (its size is the bound of what is broadcast).
 COUNTERS = 1 << 18
-#: Rows of one n-gram's column that one block of the product holds.
-BLOCK = 256
+#: Entries of the incidence matrix that one chunk of a block of the product holds; documents from which a column counts
+#: as long; rows that are multiplied at once.
+BLOCK, LONG_COLUMN, ROWS = 16_384, 64, 256
 #: Bits of the filter that keeps unneeded texts out of a shuffle.
 FILTER_BITS = 1 << 22
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -56,10 +57,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     The product of the document by n-gram incidence matrix with its transpose holds the overlap of each pair. Its rows
     and columns are bounded first: documents with equal sets count as one row; n-grams are ordered from rare to common
     by a frequency sketch over all documents, and a document enters only the columns of its first members, as many as
-    its size requires to meet every partner. The product is formed in blocks of a column's rows; overlap counts are
-    accumulated per pair, combined before they are shuffled, and a pair is discarded where its sizes, the positions of
-    its first common member and its count leave too few members to reach the similarity. Of what is left the overlap
-    of the whole sets decides. Each document is first compared with one partner, the one with which it shares most
+    its size requires to meet every partner. The product is formed in blocks of some columns and a bounded number of
+    their entries; overlap counts are accumulated per pair, in the block and then over the blocks, and a pair is
+    discarded where sizes and count leave too few members to reach the similarity. Of what is left the overlap of the
+    whole sets decides. Each document is first compared with one partner, the one with which it shares most
     columns among the documents whose columns are shared most, and the product is then formed between different
     components only, so components are those of all links.
 
@@ -99,7 +100,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     sets = materialize(rows.mapInPandas(first_members, "doc_id long, n_shingles long, digest binary, members array<long>"))
     groups = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("members").alias("members"))
     groups = materialize(groups)
-    exploded = groups.select("rep", "size", F.posexplode("members").alias("pos", "member"))
+    exploded = groups.select("rep", "size", F.explode("members").alias("member"))
     shared = materialize(exploded.groupBy("member").agg(F.count("*").alias("n_docs")).where("n_docs > 1").select(F.col("member").alias("shared_member")))
     columns = materialize(exploded.join(shared, F.col("member") == F.col("shared_member")).drop("shared_member"))
 
@@ -107,32 +108,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     found = _verified(first, rows, n, percent)
     member_of = materialize(components(found).select(F.col("node").alias("c_node"), F.col("component")))
 
-    # What is left of each column: pairs of different components.
-    left = columns.join(member_of, F.col("rep") == F.col("c_node"), "left").select("member", "rep", "size", "pos", F.coalesce("component", "rep").alias("component"))
-    left = materialize(left)
-    mixed = left.groupBy("member").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    mixed = materialize(mixed.select(F.col("member").alias("m_member")))
-    blocks = materialize(in_blocks(left.join(mixed, F.col("member") == F.col("m_member")).drop("m_member"), ["member"], "rep", BLOCK))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    pairs = x.join(
-        y,
-        (F.col("x.member") == F.col("y.member"))
-        & (F.col("x.block_a") == F.col("y.block_a"))
-        & (F.col("x.block_b") == F.col("y.block_b"))
-        & (F.col("x.chunk") == F.col("x.block_a"))
-        & (F.col("y.chunk") == F.col("y.block_b"))
-        & ((F.col("x.block_a") != F.col("x.block_b")) | (F.col("x.rep") < F.col("y.rep")))
-        & (F.col("x.component") != F.col("y.component"))
-        & _sizes_fit(F.col("x.size"), F.col("y.size"), percent),
-    )
-    swap = F.col("x.rep") > F.col("y.rep")
-
-    def side(name: str, a: bool):
-        return F.when(swap, F.col(f"y.{name}" if a else f"x.{name}")).otherwise(F.col(f"x.{name}" if a else f"y.{name}"))
-
-    pairs = pairs.select(side("rep", True).alias("a"), side("rep", False).alias("b"), side("size", True).alias("size_a"), side("size", False).alias("size_b"), side("pos", True).alias("pos_a"), side("pos", False).alias("pos_b"))
-    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("met"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")).where(_may_link(percent))
-    pairs = materialize(pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    # What is left of each column: pairs of different components. Columns with one smallest document, as those of a
+    # group of near copies have, are multiplied together, so that a pair leaves a block once with its count.
+    left = materialize(columns.join(member_of, F.col("rep") == F.col("c_node"), "left").select("member", "rep", "size", F.coalesce("component", "rep").alias("component")))
+    mixed = left.groupBy("member").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("anchor")).where("low <> high")
+    mixed = materialize(mixed.select(F.col("member").alias("m_member"), "anchor"))
+    blocks = materialize(in_blocks(left.join(mixed, F.col("member") == F.col("m_member")).drop("m_member"), ["anchor"], "rep", BLOCK))
+    met = by_groups(blocks, ["anchor", "block_a", "block_b"], lambda group: block_product(group, percent), "a long, b long, size_a long, size_b long, met long")
+    met = met.groupBy("a", "b", "size_a", "size_b").agg(F.sum("met").alias("met")).where(_enough(F.col("size_a"), F.col("size_b"), F.col("met"), percent))
+    pairs = materialize(met.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
     discard(columns, left, mixed, blocks, shared)
     more = _verified(pairs, rows, n, percent)
     known = member_of.select(F.col("c_node").alias("a"), F.col("component").alias("b"))
@@ -149,7 +133,7 @@ def set_digest(members: np.ndarray) -> bytes | None:
 
 
 def _first_partners(columns: DataFrame, percent: int) -> DataFrame:
-    """For each document of ``columns(rep, size, pos, member)`` at most one other, a < b, which is likely linked with it.
+    """For each document of ``columns(rep, size, member)`` at most one other, a < b, which is likely linked with it.
 
     In each column the document with the greatest share of shared columns is the hub; a document's partner is the hub
     it meets most often. What is not found here is found by the product.
@@ -182,11 +166,60 @@ def _enough(size_a: Column, size_b: Column, met: Column, percent: int) -> Column
     return (100 + percent) * (met + beyond) >= percent * (size_a + size_b)
 
 
-def _may_link(percent: int) -> Column:
-    """Whether a pair (sizes, number and first positions of its common first members) can reach the similarity."""
-    most = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
-    by_place = (100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b"))
-    return by_place & _enough(F.col("size_a"), F.col("size_b"), F.col("met"), percent)
+def block_product(group: dict[str, np.ndarray], percent: int) -> dict[str, np.ndarray] | None:
+    """Overlap counts of a block: of each pair of one chunk and the other, of different components and sizes that fit.
+
+    ``group`` has the entries of the block: member, rep, size, component, chunk. Columns with many documents are
+    multiplied densely, some rows at a time; of the others the pairs are listed.
+    """
+    members, column = np.unique(group["member"], return_inverse=True)
+    keys = np.stack([group["rep"], group["size"]], axis=1)
+    docs, first, row = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+    row = row.ravel()
+    component, chunk = group["component"][first], group["chunk"][first]
+    a, b = group["block_a"][0], group["block_b"][0]
+    left, right = np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)
+    if not len(left) or not len(right):
+        return None
+    held = np.bincount(column)
+    long = np.flatnonzero(held > LONG_COLUMN)
+    dense = np.zeros((len(docs), len(long)), np.float32)
+    place = np.full(len(members), -1)
+    place[long] = np.arange(len(long))
+    at = place[column]
+    dense[row[at >= 0], at[at >= 0]] = 1
+    short_i, short_j = _pairs_of(column[at < 0], row[at < 0])
+    begin = np.searchsorted(short_i, np.arange(0, len(docs) + ROWS, ROWS))
+    out = []
+    for k, start in enumerate(range(0, len(docs), ROWS)):
+        end = min(start + ROWS, len(docs))
+        count = dense[start:end] @ dense.T
+        np.add.at(count, (short_i[begin[k] : begin[k + 1]] - start, short_j[begin[k] : begin[k + 1]]), 1)
+        fit = 100 * np.minimum(docs[start:end, 1, None], docs[:, 1]) >= percent * np.maximum(docs[start:end, 1, None], docs[:, 1])
+        sides = (chunk[start:end, None] == a) & (chunk == b)
+        if a == b:
+            sides &= docs[start:end, 0, None] < docs[:, 0]
+        i, j = np.nonzero((count > 0) & fit & sides & (component[start:end, None] != component))
+        out.append((i + start, j, count[i, j]))
+    i, j, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    if not len(i):
+        return None
+    i, j = np.where(docs[i, 0] < docs[j, 0], i, j), np.where(docs[i, 0] < docs[j, 0], j, i)
+    return {"a": docs[i, 0], "b": docs[j, 0], "size_a": docs[i, 1], "size_b": docs[j, 1], "met": n.astype(np.int64)}
+
+
+def _pairs_of(column: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), both ways and by i, of the rows that share a column, once for each column they share."""
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    ends = np.flatnonzero(np.diff(column, append=-1)) + 1
+    sizes = np.diff(ends, prepend=0)
+    of = np.repeat(sizes, sizes)
+    i = np.repeat(row, of)
+    start = np.repeat(np.repeat(ends - sizes, sizes), of)
+    j = row[start + np.arange(len(i)) - np.repeat(np.cumsum(of) - of, of)]
+    by = np.argsort(i, kind="stable")
+    return i[by], j[by]
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

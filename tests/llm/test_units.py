@@ -70,6 +70,30 @@ def test_prefixes_meet(n, removed, percent):
     assert first[0] & first[1]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 40), st.integers(1, 30), st.integers(0, 10**6), st.booleans())
+def test_block_product_counts(n_docs, n_columns, seed, two):
+    rng = np.random.default_rng(seed)
+    held = rng.random((n_docs, n_columns)) < rng.uniform(0.05, 0.9)
+    rep, member = np.nonzero(held)
+    size, component, chunk = rng.integers(8, 14, n_docs), rng.integers(0, 4, n_docs), rng.integers(0, 2, n_docs) if two else np.zeros(n_docs, int)
+    if not len(rep):
+        return
+    group = {"member": member, "rep": rep, "size": size[rep], "component": component[rep], "chunk": chunk[rep], "block_a": np.zeros(len(rep), int), "block_b": np.full(len(rep), int(two))}
+    saved = ngram_join.LONG_COLUMN, ngram_join.ROWS
+    ngram_join.LONG_COLUMN, ngram_join.ROWS = 6, 7
+    out = ngram_join.block_product(group, 80)
+    ngram_join.LONG_COLUMN, ngram_join.ROWS = saved
+    got = {} if out is None else {(a, b): (x, y, m) for a, b, x, y, m in zip(*[out[c].tolist() for c in ("a", "b", "size_a", "size_b", "met")], strict=True)}
+    expected = {}
+    for a in range(n_docs):
+        for b in range(a + 1, n_docs):
+            met = int((held[a] & held[b]).sum())
+            if met and component[a] != component[b] and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]) and (chunk[a] != chunk[b] if two else True):
+                expected[a, b] = (size[a], size[b], met)
+    assert got == expected
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=800))
 def test_chunks_cover_the_text(text):
