@@ -25,7 +25,7 @@ ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dia
 #: Elements that a sibling of the same kind ends.
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "p": {"div", "article", "section", "body", "td", "li", "blockquote", "main"}}
-#: Words in class, id or role that mark boilerplate.
+#: Words in class or id that speak for boilerplate.
 ASIDE_WORDS = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|header|footer|foot|side-?bar|sidebar\w*|aside|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"comments?|comment-?list|replies|reply|respond|discussion|disqus|reactions?|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|masthead|copyright|legal|disclaimer|hidden|navigation|complementary|contentinfo|search)(?=$|[\s_-])"
@@ -39,35 +39,42 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 SHARE = 0.15
 #: Weight of a path in an article or main element. An article with less text than a path outside weighs less, but this at least.
 ARTICLE_WEIGHT, LEAST_WEIGHT = 2.0, 1 / 3
+#: Weight of a path in an element whose class or id speaks for boilerplate: it is content only where little else is.
+NAMED_WEIGHT = 0.01
 #: Elements on whose class and id a word such as has-sidebar says nothing about their own text.
 WHOLE_TAGS = {"html", "body", *CONTENT_TAGS}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def is_aside(tag: str, attributes: str, nested: bool = False) -> bool:
-    """Whether tag or attributes mark boilerplate; an article nested in another may be a comment."""
+def marks(tag: str, attributes: str, nested: bool = False) -> tuple[bool, bool]:
+    """(whether tag, role or hiding make an element boilerplate, whether its class or id speaks for it).
+
+    An article nested in another may be a comment.
+    """
     if tag in ASIDE_TAGS:
-        return True
+        return True, False
     if not attributes or not attributes.strip(" /"):
-        return False
+        return False, False
+    named = False
     for m in ATTR.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id") and (nested or tag not in WHOLE_TAGS) and ASIDE_WORDS.search(value):
-            return True
+            named = True
         if name == "role" and value.lower() in ASIDE_ROLES:
-            return True
+            return True, named
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return True, named
+    return False, named
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool, int, int]]:
-    """(text, path, aside, in main, article, link letters) of each block of text, in page order.
+def blocks(page: str) -> list[tuple[str, str, bool, bool, bool, int, int]]:
+    """(text, path, aside, marked, in main, article, link letters) of each block of text, in page order.
 
-    ``article`` numbers the outermost article element around the block, 0 where there is none.
+    ``marked`` blocks stand in an element whose class or id speaks for boilerplate; their paths end in !. ``article``
+    numbers the outermost article element around the block, 0 where there is none.
     """
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
-    out: list[tuple[str, str, bool, bool, int, int]] = []
+    stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+    out: list[tuple[str, str, bool, bool, bool, int, int]] = []
     text: list[str] = []
     at = link = linked = n_articles = 0
 
@@ -82,7 +89,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, int, int]]:
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            out.append((joined, "/".join([s[0] for s in stack]), *stack[-1][1:], linked))
+            out.append((joined, "/".join([s[0] for s in stack]) + "!" * stack[-1][2], *stack[-1][1:], linked))
         linked = 0
 
     def pop_to(k: int) -> None:
@@ -114,7 +121,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, int, int]]:
             text.append(" ")
         if name == "a":
             link = 0 if m[1] or "href" not in m[3].lower() else len(stack)
-        if name in INLINE_TAGS and (m[1] or not is_aside(name, m[3])):
+        if name in INLINE_TAGS and (m[1] or not any(marks(name, m[3]))):
             if not m[1] or all(s[0] != name for s in stack):
                 continue
         if m[1]:
@@ -137,10 +144,11 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, int, int]]:
             close(ENDS_SAME[name], SCOPES[name])
         flush()
         if name not in VOID_TAGS:
-            _, aside, main, article = stack[-1]
+            _, aside, marked, main, article = stack[-1]
+            own = marks(name, m[3], article > 0)
             if name == "article" and not article:
                 article = n_articles = n_articles + 1
-            stack.append((name, aside or is_aside(name, m[3], stack[-1][3] > 0), main or name == "main" or 'role="main"' in m[3], article))
+            stack.append((name, aside or own[0], marked or own[1], main or name == "main" or 'role="main"' in m[3], article))
     if at < len(page):
         add(html.unescape(page[at:]))
     flush()
@@ -159,7 +167,7 @@ def main_text(page: str | None) -> str:
     paths: dict[str, list[float]] = {}
     articles: dict[int, int] = {}
     outside: dict[str, int] = {}
-    for text, path, _, _, article, linked in open_parts:
+    for text, path, _, marked, _, article, linked in open_parts:
         s = paths.setdefault(path, [0.0, 0.0, 0.0, 0.0, 0.0])
         letters = len("".join(text.split()))
         s[0] += len(text)
@@ -167,6 +175,8 @@ def main_text(page: str | None) -> str:
         s[2] += 1
         s[3] += linked
         s[4] += letters
+        if marked:
+            continue
         if article:
             articles[article] = articles.get(article, 0) + letters - linked
         else:
@@ -176,7 +186,8 @@ def main_text(page: str | None) -> str:
     text_ratio = np.array([paths[p[1]][0] / paths[p[1]][2] for p in open_parts])
     mark_ratio = np.array([paths[p[1]][1] / paths[p[1]][2] for p in open_parts])
 
-    side = np.array([p[4] for p in open_parts])
+    # Blocks with boilerplate's names have a side of their own.
+    side = np.array([-1 if p[3] else p[5] for p in open_parts])
     same = side[1:] == side[:-1]
 
     def smooth(x: np.ndarray) -> np.ndarray:
@@ -186,12 +197,12 @@ def main_text(page: str | None) -> str:
         return np.maximum(x, (before + x + after) / 3)
 
     # Links are no text of the page, but a heading may be one.
-    own = np.array([1.0 if p[1].rpartition("/")[2] in HEADINGS else 1 - paths[p[1]][3] / paths[p[1]][4] for p in open_parts])
-    fused = np.sqrt(smooth(text_ratio) * (1 + smooth(mark_ratio))) * own
+    own = np.array([1.0 if p[1].rpartition("/")[2].rstrip("!") in HEADINGS else 1 - paths[p[1]][3] / paths[p[1]][4] for p in open_parts])
+    fused = np.sqrt(smooth(text_ratio) * (1 + smooth(mark_ratio))) * own * np.array([NAMED_WEIGHT if p[3] else 1.0 for p in open_parts])
     # Beside a longer text elsewhere an article element is a card or a comment.
     most = max(outside.values(), default=0)
     of_article = {a: min(ARTICLE_WEIGHT, max(LEAST_WEIGHT, ARTICLE_WEIGHT * n / most)) if most else ARTICLE_WEIGHT for a, n in articles.items()}
-    weight = np.array([of_article[p[4]] if p[4] else ARTICLE_WEIGHT if p[3] else 1.0 for p in open_parts])
+    weight = np.array([1.0 if p[3] else of_article[p[5]] if p[5] else ARTICLE_WEIGHT if p[4] else 1.0 for p in open_parts])
     keep = fused * weight >= SHARE * fused.max()
     return "\n".join([p[0] for p, k in zip(open_parts, keep, strict=True) if k])
 
@@ -201,8 +212,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Text length and punctuation are summed per root-to-leaf tag path, smoothed over neighbouring blocks, fused with the
     path's share of text outside links, and thresholded on every page. An article or main element adds weight to the
-    paths in it, less where another path outside holds more text. Navigation, headers, footers, sidebars, notices,
-    adverts, forms, scripts, styles and comments are no candidates. Character references are decoded, white space within a block becomes one space, blocks are joined by one newline in page order. Null or empty html
+    paths in it, less where another path outside holds more text; a class or id that names a sidebar, notice, advert,
+    comment or the like takes most of it. Elements made for navigation, headers, footers, asides and forms, hidden ones,
+    scripts and styles are no candidates. Character references are decoded, white space within a block becomes one space, blocks are joined by one newline in page order. Null or empty html
     gives an empty text; repeated pages are extracted each; other columns are ignored. One narrow stage.
     """
 

@@ -355,6 +355,26 @@ def test_odd_tables(spark, odd):
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 1}
 
 
+def test_main_text_query_equals_a_plain_reading(spark, duck):
+    """Every page of the smallest table: the blocks of its article, read without ratios, as these pages have nothing else in it."""
+    import html
+
+    got = {r.page_id: (r.text, r.n_chars) for r in queries()["op8_main_text"](spark, DATA).collect()}
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub("<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", article)]
+        text = "\n".join([b for b in parts if b])
+        assert got[r.page_id] == (text, len(text))
+
+
+def test_long_and_odd_pages(spark):
+    long = "<article>" + "<p>word, word and word.</p>" * 30_000 + "</article>"
+    rows = [(1, "u", long), (2, None, None), (None, "u", ""), (3, "u", "<p>a</p>"), (3, "u", "<p>a</p>"), (4, "u", "<" * 5000), (5, "u", "<div>" * 3000 + "deep" + "</div>" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("mine"))
+    got = sorted(((r.page_id, r.text[:10], r.n_chars) for r in html_main.extract_main_text(pages).collect()), key=str)
+    assert got == sorted([(1, "word, word", 30_000 * 21 - 1), (2, "", 0), (None, "", 0), (3, "a", 1), (3, "a", 1), (4, "<" * 10, 5000), (5, "deep", 4)], key=str)
+
+
 def test_embeddings_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
 

@@ -200,6 +200,11 @@ RATIO_PAGES = {
     f"<article>{P}<article class='comment'><p>Nice, really, a lot.</p></article></article>": STORY,
     f"<article><p>{STORY[0]} <a href='/x'>open link<p>{STORY[1]}</article>": [STORY[0] + " open link", STORY[1]],
     f"<body><article><p>{STORY[0]}</p></article><div>{P}</div></body>": [STORY[0], *STORY],
+    # Names of classes are evidence, not a veto.
+    f"<body><div class='content-header'>{P}</div></body>": STORY,
+    f"<body><div class='content-header'>{P}</div><div class='sidebar'>{LINKS}</div></body>": STORY,
+    "<article class='post related-topic'><p>a</p></article>": ["a"],
+    f"<body><div class='story'>{P}</div><div class='comments'>{P}{P}</div><div id='related'><p>{STORY[0]}</p></div></body>": STORY,
 }
 
 
@@ -208,6 +213,13 @@ def test_ratios_select_on_every_page(page):
     assert html_main.main_text(page).split("\n") == RATIO_PAGES[page]
 
 
+def test_ratios_decide(monkeypatch):
+    """Without the threshold on ratios all candidates would come."""
+    pages = [p for p in RATIO_PAGES if "Read on" in p or "card" in p or "comments" in p]
+    monkeypatch.setattr(html_main, "SHARE", 0.0)
+    assert len(pages) == 3 and all(html_main.main_text(p).split("\n") != RATIO_PAGES[p] for p in pages)
+
+
 def test_main_text():
     for page, expected in PAGES.items():
         assert html_main.main_text(page) == expected
