@@ -81,11 +81,11 @@ def near_duplicates(
                 # A scale that keeps the sums finite; it changes no sign and no cosine.
                 out.append(((v / np.abs(v).max() @ known[dim]) >= 0).reshape(tables, bits) @ (1 << np.arange(bits)))
                 dims.append(dim)
-            yield pd.DataFrame({"label": batch["label"], "dim": dims, "rep": batch["rep"], "tag": batch["tag"], "codes": out})
+            yield pd.DataFrame({"label": batch["label"], "dim": dims, "rep": batch["rep"], "tag": batch["tag"], "each": out, "codes": [c.astype("<u4").tobytes() for c in out]})
 
     # A class is known by its smallest vec_id and, as a vec_id may be repeated, by some of its key.
-    signs = materialize(classes.select("label", "rep", "dim", "vec", tag).mapInPandas(signed, "label long, dim int, rep long, tag int, codes array<int>"))
-    in_tables = signs.select("label", "dim", "rep", "tag", F.posexplode("codes").alias("t", "code"))
+    signs = materialize(classes.select("label", "rep", "dim", "vec", tag).mapInPandas(signed, "label long, dim int, rep long, tag int, each array<int>, codes binary"))
+    in_tables = signs.select("label", "dim", "rep", "tag", F.posexplode("each").alias("t", "code"))
     blocks = in_blocks(in_tables, ["label", "dim", "t", "code"], "rep", block)
     one = classes.select(F.col("rep").alias("w_rep"), tag.alias("w_tag"), "size", "vec")
     whole = one.join(signs.select("rep", "tag", "codes"), (F.col("w_rep") == F.col("rep")) & (F.col("w_tag") == F.col("tag"))).drop("rep", "tag")
@@ -93,7 +93,10 @@ def near_duplicates(
 
     def compared(group: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
         rep, dim = group["rep"], int(group["dim"][0])
-        vec = np.array([expanded(raw, dim) for raw in group["vec"]])
+        small = np.array([len(raw) == 4 * dim for raw in group["vec"]])
+        vec = np.empty((len(rep), dim))
+        for kind, which in (("<f4", small), ("<f8", ~small)):
+            vec[which] = np.frombuffer(b"".join(group["vec"][which]), kind).reshape(-1, dim)
         vec = vec / np.abs(vec).max(axis=1, keepdims=True)
         vec /= np.sqrt((vec * vec).sum(axis=1, keepdims=True))
         t, chunk, a, b = int(group["t"][0]), group["chunk"], group["block_a"][0], group["block_b"][0]
@@ -103,7 +106,7 @@ def near_duplicates(
         if a == b:
             i, j = i[rep[i] < rep[j]], j[rep[i] < rep[j]]
         if t and len(i):
-            codes = np.stack(group["codes"])
+            codes = np.frombuffer(b"".join(group["codes"]), "<u4").reshape(len(rep), -1)
             new = np.ones(len(i), bool)
             for earlier in range(t):
                 new &= codes[i, earlier] != codes[j, earlier]
