@@ -624,3 +624,44 @@ def detail_enrichment(spark, sf_dir):
     records = c.select(k.alias("id"), url.alias("apply_url"), F.when(k % 2 == 0, "2024-09-09").alias("deadline"), F.lit(None).cast("string").alias("grade"))
     details = c.where(k % 3 == 0).select(url.alias("apply_url"), F.lit("<p>Deadline: 2024-05-01</p><p>Grade: P-4</p>").alias("html"))
     return page_source.enrich_from_details(records, details).select("id", "deadline", "grade")
+
+
+# Keys and urls.
+
+
+@query(f"with {JOBS_SQL} select l_orderkey, l_linenumber from lineitem where cast(l_orderkey as varchar) in (select id from jobs where deleted_at is null)")
+def verified_hits(spark, sf_dir):
+    """Hits of an index whose records are stored and not deleted."""
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), "l_orderkey", "l_linenumber")
+    return state.verified(hits, jobs(spark, sf_dir).select("id", "deleted_at"), "id").select("l_orderkey", "l_linenumber")
+
+
+@query(f"with {REVIEWS_SQL} select job_id, arg_max(review_id, (created_at, review_id)) as review_id, arg_max(status, (created_at, review_id)) as status from reviews group by 1")
+def latest_rows(spark, sf_dir):
+    """The newest whole row of each key."""
+    return state.latest(reviews(spark, sf_dir), ["job_id"], [F.desc("created_at"), F.desc("review_id")]).select("job_id", "review_id", "status")
+
+
+@query(f"with {EXTRACTIONS_SQL} select url, min(id) as id, count(*) as n from (select rtrim(split_part(url, '?', 1), '/') as url, id from extractions) group by 1")
+def first_per_url(spark, sf_dir):
+    """The first row of each normalised url, and how many there are."""
+    from tessera.functions import links
+
+    return extractions(spark, sf_dir).groupBy(links.normalize_url(F.col("url")).alias("url")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+
+
+@query(f"with {LOGS_SQL} select event_id, source_id, c_name, l.status from logs l left join customer on c_custkey = source_id and c_mktsegment = 'BUILDING' where found > 90")
+def logs_left_sources(spark, sf_dir):
+    """Logs with their sources, kept where there is none."""
+    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
+    return logs(spark, sf_dir).where("found > 90").join(c, F.col("source_id") == F.col("c_custkey"), "left").select("event_id", "source_id", "c_name", "status")
+
+
+@query(f"with {ENRICHED_SQL}, p as (select id, cast(k % 2 = 0 as integer) as predicted, cast(confidence_overall > 0.5 as integer) as truth from enriched where enriched_at is not null) select count(*) as n, round(avg(cast(predicted = truth as integer)), 6)::double as accuracy from p")
+def scalar_accuracy(spark, sf_dir):
+    """Agreement of a scalar field with the ground truth."""
+    e = enriched(spark, sf_dir).where("enriched_at is not null")
+    truth = e.select("id", (F.col("confidence_overall") > 0.5).cast("int").alias("flag"))
+    guess = e.select("id", (F.col("k") % 2 == 0).cast("int").alias("flag"))
+    out = reports.accuracy(truth, guess, "id", [], ["flag"])
+    return rounded(out.agg(F.count("*").alias("n"), F.avg(F.col("flag_metrics").cast("double")).alias("accuracy")), "accuracy")

@@ -37,17 +37,30 @@ def on_logs(rest: str) -> str:
     return f"with {LOGS_SQL} {rest}"
 
 
-@query(on_jobs(f"""select id, title, org_name, country_iso, level_norm, cast(deadline as varchar) as deadline, coalesce(array_to_string(mission_tags, ','), '') as tags, amount from jobs
+PAGE_SQL = on_jobs(f"""select id, title, org_name, country_iso, level_norm, cast(deadline as varchar) as deadline, coalesce(array_to_string(mission_tags, ','), '') as tags, amount from jobs
     where {VISIBLE} and (contains(lower(title), 'e') or contains(lower(org_name), 'e')) and work_modality = 'remote' and level_norm = 'senior' and list_has_any(mission_tags, ['wash', 'health'])
-    order by last_seen_at desc nulls first, created_at desc nulls first, id limit 20 offset 20"""))
-def search_filtered_page(spark, sf_dir):
-    """A page of a filtered search: text, scalar, flag and array filters, newest first."""
-    request = search.SearchRequest(filters={"level_norm": "Sr.", "work_modality": "WFH", "mission_tags": ["Water", "health"], "donor_context": ["nobody"]}, page=2)
+    order by last_seen_at desc nulls first, created_at desc nulls first, id limit 20 offset """)
+
+
+def _page(spark, sf_dir, page: int) -> DataFrame:
+    request = search.SearchRequest(filters={"level_norm": "Sr.", "work_modality": "WFH", "mission_tags": ["Water", "health"], "donor_context": ["nobody"]}, page=page)
     found = search.visible(jobs(spark, sf_dir), DAY).where(search.text_match("E", ["title", "org_name"]))
     for p in search.predicates(search.canonical_filters(request.filters)):
         found = found.where(p)
-    page = search.paged(found, search.order_columns(request.sort), request.page, request.size)
-    return page.select("id", "title", "org_name", "country_iso", "level_norm", F.col("deadline").cast("string").alias("deadline"), F.coalesce(F.array_join("mission_tags", ","), F.lit("")).alias("tags"), "amount")
+    rows = search.paged(found, search.order_columns(request.sort), request.page, request.size)
+    return rows.select("id", "title", "org_name", "country_iso", "level_norm", F.col("deadline").cast("string").alias("deadline"), F.coalesce(F.array_join("mission_tags", ","), F.lit("")).alias("tags"), "amount")
+
+
+@query(PAGE_SQL + "20")
+def search_filtered_page(spark, sf_dir):
+    """The second page of a filtered search: text, scalar, flag and array filters, newest first."""
+    return _page(spark, sf_dir, 2)
+
+
+@query(PAGE_SQL + "0")
+def search_first_page(spark, sf_dir):
+    """Its first page."""
+    return _page(spark, sf_dir, 1)
 
 
 @query(on_jobs(f"select id, cast(deadline as varchar) as deadline from jobs where {VISIBLE} order by deadline asc nulls last, id limit 50"))

@@ -44,10 +44,10 @@ def normalize_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", links.normalize_url(F.col("url")).alias("normal"), links.plain_url(F.col("url")).alias("plain"))
 
 
-@query(f"select page_id, md5(lower({TITLE} || '|' || url)) as by_url, md5(trim(lower({TITLE}) || '|' || lower({NORM}) || '|', '|')) as canonical, sha256(lower({TITLE}) || '|' || url) as dedupe from pages where {TITLE} <> '' and not contains({TITLE}, '&')")
+@query(f"select page_id, md5(lower({TITLE} || '|' || url)) as by_url, md5(trim(lower({TITLE}) || '|' || lower({NORM}) || '|', '|')) as canonical, sha256(lower({TITLE}) || '|' || url) as dedupe from pages where {TITLE} <> ''")
 def canonical_hash(spark, sf_dir):
     p = table(spark, sf_dir, "pages").withColumn("title", links.meta_title(F.col("html")))
-    p = p.where((F.col("title") != "") & ~F.col("title").contains("&"))
+    p = p.where("title <> ''")
     none = F.lit(None).cast("string")
     t, u = F.col("title"), F.col("url")
     return p.select("page_id", links.title_url_hash(t, u).alias("by_url"), links.canonical_hash(t, u).alias("canonical"), links.dedupe_hash(none, t, none, u).alias("dedupe"))
@@ -60,8 +60,8 @@ def canonical_hash(spark, sf_dir):
         - case when not contains(t, ' ') and t = upper(t) and t <> lower(t) and length(t) < 10 then 2.0 else 0 end - case when contains(t, '@') or t like '%.org' or t like '%.com' then 1.0 else 0 end + case when {sql_any('h', DETAIL_PARTS)} then 1.5 else 0 end) end as score from s)
     select page_id, text, href, cast(score as double) as score, count(*) as n from x where score > 0 group by all""")
 def link_scoring(spark, sf_dir):
-    """Scored links of every page; of the top 500 a page all are kept here."""
-    rows = page_source.link_rows(table(spark, sf_dir, "pages").select("page_id", "html"))
+    """Scored links of every page, without the limit of a page."""
+    rows = page_source.link_rows(table(spark, sf_dir, "pages").select("page_id", "html"), most=None)
     return rows.groupBy("page_id", "text", "href", "score").agg(F.count("*").alias("n"))
 
 
@@ -100,7 +100,7 @@ def scalar_parsers(spark, sf_dir):
 
 
 RECORD = """rec as (select d.doc_id, trim(split_part(text, chr(10), 1)) as title, case when d.doc_id % 5 = 0 then '' when d.doc_id % 5 = 1 then 'ftp://x' else 'https://a.org/' || d.doc_id end as url,
-    case when d.doc_id % 3 = 0 then null else lang end as place, case when d.doc_id % 4 = 0 then null when d.doc_id % 4 = 1 then '2024-01-01' when d.doc_id % 4 = 2 then 'soon' else '2024-12-31' end as deadline, substr(text, 1, 60) as descr, source,
+    case when d.doc_id % 3 = 0 then null else lang end as place, case when d.doc_id % 4 = 0 then null when d.doc_id % 4 = 1 then '2024-01-01' when d.doc_id % 4 = 2 then 'soon' else '2024-12-31' end as deadline, text as descr, source,
     case when d.doc_id % 2 = 0 then 'KE' end as country, d.doc_id % 7 = 0 as remote from documents d)"""
 
 
@@ -108,7 +108,7 @@ def _records(spark, sf_dir) -> DataFrame:
     k = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.trim(F.substring_index("text", "\n", 1)).alias("title"), F.when(k % 5 == 0, "").when(k % 5 == 1, "ftp://x").otherwise(F.concat(F.lit("https://a.org/"), k.cast("string"))).alias("url"),
-        F.when(k % 3 != 0, F.col("lang")).alias("place"), F.when(k % 4 == 0, None).when(k % 4 == 1, "2024-01-01").when(k % 4 == 2, "soon").otherwise("2024-12-31").alias("deadline"), F.substring("text", 1, 60).alias("descr"), "source",
+        F.when(k % 3 != 0, F.col("lang")).alias("place"), F.when(k % 4 == 0, None).when(k % 4 == 1, "2024-01-01").when(k % 4 == 2, "soon").otherwise("2024-12-31").alias("deadline"), F.col("text").alias("descr"), "source",
         F.when(k % 2 == 0, "KE").alias("country"), (k % 7 == 0).alias("remote"),
     )
 

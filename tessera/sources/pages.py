@@ -156,12 +156,13 @@ def table_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(F.col(key).cast("string").alias("k"), "html").mapInPandas(read, "k string, n int, title string, location string, deadline string, apply_url string").withColumnRenamed("k", key)
 
 
-def link_rows(pages: DataFrame, key: str = "page_id", least: float = 0.0, most: int = 500) -> DataFrame:
-    """The links of each page that score above ``least``, best first, at most ``most`` a page: (key, rank, text, href, score)."""
+def link_rows(pages: DataFrame, key: str = "page_id", least: float = 0.0, most: int | None = 500) -> DataFrame:
+    """The links of each page that score above ``least``, best first, at most ``most`` a page if any: (key, rank, text, href, score)."""
     found = pages.select(key, F.posexplode(links.page_links(F.col("html"))).alias("n", "a")).select(key, "n", "a.text", "a.href")
     found = found.withColumn("score", links.link_score(F.col("text"), F.col("href"))).where(F.col("score") > least)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), F.asc("n")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "rank", "text", "href", "score")
+    ranked = found.withColumn("rank", rank)
+    return (ranked if most is None else ranked.where(F.col("rank") <= most)).select(key, "rank", "text", "href", "score")
 
 
 def field_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
