@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import least_by_hash, materialize
 
 #: Labelled rows that the model is fitted on at most, chosen by a hash of doc_id.
 MAX_EXAMPLES = 20_000
@@ -154,7 +154,7 @@ def _as_vector(array: Column) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
     """Statistics and label of a bounded sample of the labelled rows; several labels of one doc_id count as their least."""
     chosen = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(max_examples)
+    chosen = least_by_hash(chosen, "label_id", max_examples)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text(F.col("text")).alias("text"))
     # At most max_examples pairs of numbers are broadcast.
     rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))

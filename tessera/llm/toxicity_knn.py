@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, materialize, slices
+from tessera.llm.common import bounded_batches, least_by_hash, materialize, slices
 
 #: Labelled rows the index may hold (chosen by a hash of doc_id): the bound of what is broadcast.
 MAX_EXAMPLES = 5_000
@@ -195,7 +195,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chosen = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(max_examples)
+    chosen = least_by_hash(chosen, "label_id", max_examples)
     sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     sample = materialize(sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")))
 

@@ -123,6 +123,20 @@ def test_url_rules_and_reputation(spark):
     assert got[0] == got[60] == "block" and {got[i] for i in (5, 6, 7, 8, 10)} == {"allow"}
 
 
+def test_sample_by_hash(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    every = [r.k for r in df.orderBy(F.xxhash64("k"), "k").limit(100).collect()]
+    assert [r.k for r in common.least_by_hash(df, "k", 100).collect()] == every
+    assert common.least_by_hash(df.where("k < 50"), "k", 100).count() == 50 and common.least_by_hash(df.where("false"), "k", 5).count() == 0
+
+
+def test_long_and_null_urls(spark):
+    long = "http://a.com/" + "x" * 200_000
+    rows = [(1, long), (1, long), (None, long), (2, None), (3, "http://" + "a." * 5000 + "com/en/"), (4, "://"), (5, "http://[::1]:80/en/")]
+    got = sorted(((r.page_id, r.host[:9], len(r.path), r.rule, r.verdict) for r in url_reputation.url_filter(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, quality int")).collect()), key=str)
+    assert got == sorted([(1, "a.com", 200_001, None, "allow")] * 2 + [(None, "a.com", 200_001, None, "allow"), (2, "", 0, None, "allow"), (3, "a.a.a.a.a", 4, "com/en/", "block"), (4, "", 0, None, "allow"), (5, "[::1]:80", 4, None, "allow")], key=str)
+
+
 def test_levels_of_hosts(spark):
     hosts = ["a.b.com", "com", "", "x.co.uk", "y.x.co.uk:81", "u:p@a.b.org", "10.0.0.1:80", "[::1]:5", "z.co.info"]
     domain, suffix = url_reputation.levels(F.col("h"))
