@@ -138,7 +138,9 @@ def by_groups(df: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarr
         if rest is not None and len(rest):
             yield from _each(rest, np.array([0, len(rest)]), work)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(grouped, schema)
+    # A fixed number of partitions, since little data may be much work.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(grouped, schema)
 
 
 def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:

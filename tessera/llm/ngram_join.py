@@ -104,20 +104,24 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     shared = materialize(exploded.groupBy("member").agg(F.count("*").alias("n_docs")).where("n_docs > 1").select(F.col("member").alias("shared_member")))
     columns = materialize(exploded.join(shared, F.col("member") == F.col("shared_member")).drop("shared_member"))
 
-    first = _first_partners(columns, percent)
+    homes, first = _first_partners(columns, percent)
     found = _verified(first, rows, n, percent)
     member_of = materialize(components(found).select(F.col("node").alias("c_node"), F.col("component")))
 
-    # What is left of each column: pairs of different components. Columns with one smallest document, as those of a
-    # group of near copies have, are multiplied together, so that a pair leaves a block once with its count.
-    left = materialize(columns.join(member_of, F.col("rep") == F.col("c_node"), "left").select("member", "rep", "size", F.coalesce("component", "rep").alias("component")))
-    mixed = left.groupBy("member").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("anchor")).where("low <> high")
+    # What is left of each column: pairs of different components. Columns with one smallest hub, as those of a group of
+    # near copies have, are multiplied together, so that their pairs are counted and discarded in the block.
+    left = columns.join(member_of, F.col("rep") == F.col("c_node"), "left").join(homes, F.col("rep") == F.col("h_rep"), "left")
+    left = materialize(left.select("member", "rep", "size", F.coalesce("component", "rep").alias("component"), F.coalesce("home", "rep").alias("home")))
+    mixed = left.groupBy("member").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("home").alias("anchor")).where("low <> high")
     mixed = materialize(mixed.select(F.col("member").alias("m_member"), "anchor"))
-    blocks = materialize(in_blocks(left.join(mixed, F.col("member") == F.col("m_member")).drop("m_member"), ["anchor"], "rep", BLOCK))
+    open_columns = materialize(left.join(mixed, F.col("member") == F.col("m_member")).drop("m_member", "home"))
+    totals = materialize(open_columns.groupBy("rep", "size").agg(F.count("*").alias("total")).select(F.col("rep").alias("t_rep"), F.col("size").alias("t_size"), "total"))
+    counted_columns = open_columns.join(totals, (F.col("rep") == F.col("t_rep")) & (F.col("size") == F.col("t_size"))).drop("t_rep", "t_size")
+    blocks = materialize(in_blocks(materialize(counted_columns), ["anchor"], "rep", BLOCK))
     met = by_groups(blocks, ["anchor", "block_a", "block_b"], lambda group: block_product(group, percent), "a long, b long, size_a long, size_b long, met long")
     met = met.groupBy("a", "b", "size_a", "size_b").agg(F.sum("met").alias("met")).where(_enough(F.col("size_a"), F.col("size_b"), F.col("met"), percent))
     pairs = materialize(met.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    discard(columns, left, mixed, blocks, shared)
+    discard(columns, homes, left, mixed, open_columns, totals, blocks, shared)
     more = _verified(pairs, rows, n, percent)
     known = member_of.select(F.col("c_node").alias("a"), F.col("component").alias("b"))
     member_of_all = components(known.unionByName(more))
@@ -132,24 +136,28 @@ def set_digest(members: np.ndarray) -> bytes | None:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None
 
 
-def _first_partners(columns: DataFrame, percent: int) -> DataFrame:
-    """For each document of ``columns(rep, size, member)`` at most one other, a < b, which is likely linked with it.
+def _first_partners(columns: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(h_rep, home) and pairs a < b for the documents of ``columns(rep, size, member)``.
 
-    In each column the document with the greatest share of shared columns is the hub; a document's partner is the hub
-    it meets most often. What is not found here is found by the product.
+    In each column the document with the greatest share of shared columns is the hub; a document's home is the hub it
+    meets most often. The pairs are those of documents and homes that are likely linked; what is not found here is
+    found by the product.
     """
     weight = columns.groupBy("rep").agg(F.count("*").alias("n_shared"), F.first("size").alias("size"))
     weight = materialize(weight.select(F.col("rep").alias("w_rep"), (F.col("n_shared") / F.col("size")).alias("weight")))
     weighed = materialize(columns.join(weight, F.col("rep") == F.col("w_rep")).select("rep", "size", "member", "weight"))
     hub = F.max(F.struct("weight", (-F.col("rep")).alias("minus"), F.col("size").alias("hub_size"))).alias("hub")
     hubs = materialize(weighed.groupBy("member").agg(hub).select(F.col("member").alias("h_member"), "hub"))
-    met = weighed.join(hubs, F.col("member") == F.col("h_member")).where((F.col("rep") != -F.col("hub.minus")) & _sizes_fit(F.col("size"), F.col("hub.hub_size"), percent))
-    met = met.groupBy("rep", "size", F.col("hub.minus").alias("minus"), F.col("hub.hub_size").alias("hub_size")).agg(F.count("*").alias("met"))
-    met = met.where(_enough(F.col("size"), F.col("hub_size"), F.col("met"), percent))
-    best = met.groupBy("rep").agg(F.max(F.struct("met", "minus")).alias("best"))
-    out = materialize(best.select(F.least("rep", -F.col("best.minus")).alias("a"), F.greatest("rep", -F.col("best.minus")).alias("b")).distinct())
-    discard(weight, weighed, hubs)
-    return out
+    met = weighed.join(hubs, F.col("member") == F.col("h_member")).groupBy("rep", "size", F.col("hub.minus").alias("minus"), F.col("hub.hub_size").alias("hub_size")).agg(F.count("*").alias("met"))
+    met = materialize(met)
+    other = F.col("rep") != -F.col("minus")
+    likely = other & _sizes_fit(F.col("size"), F.col("hub_size"), percent) & _enough(F.col("size"), F.col("hub_size"), F.col("met"), percent)
+    best = met.groupBy("rep").agg(F.max(F.struct("met", "minus")).alias("best"), F.max(F.when(likely, F.struct("met", "minus"))).alias("pair"))
+    best = materialize(best.select(F.col("rep").alias("h_rep"), (-F.col("best.minus")).alias("home"), (-F.col("pair.minus")).alias("partner")))
+    pairs = best.where("partner is not null").select(F.least("h_rep", "partner").alias("a"), F.greatest("h_rep", "partner").alias("b")).distinct()
+    pairs = materialize(pairs)
+    discard(weight, weighed, hubs, met)
+    return best.select("h_rep", "home"), pairs
 
 
 def _sizes_fit(size_a: Column, size_b: Column, percent: int) -> Column:
@@ -169,14 +177,16 @@ def _enough(size_a: Column, size_b: Column, met: Column, percent: int) -> Column
 def block_product(group: dict[str, np.ndarray], percent: int) -> dict[str, np.ndarray] | None:
     """Overlap counts of a block: of each pair of one chunk and the other, of different components and sizes that fit.
 
-    ``group`` has the entries of the block: member, rep, size, component, chunk. Columns with many documents are
-    multiplied densely, some rows at a time; of the others the pairs are listed.
+    ``group`` has the entries of the block: member, rep, size, component, total (columns of the document in all blocks)
+    and chunk. A pair is discarded where its count and what the columns elsewhere can add are too few. Columns with
+    many documents are multiplied densely, some rows at a time; of the others the pairs are listed.
     """
     members, column = np.unique(group["member"], return_inverse=True)
     keys = np.stack([group["rep"], group["size"]], axis=1)
     docs, first, row = np.unique(keys, axis=0, return_index=True, return_inverse=True)
     row = row.ravel()
     component, chunk = group["component"][first], group["chunk"][first]
+    elsewhere = group["total"][first] - np.bincount(row, minlength=len(docs))
     a, b = group["block_a"][0], group["block_b"][0]
     left, right = np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)
     if not len(left) or not len(right):
@@ -195,7 +205,9 @@ def block_product(group: dict[str, np.ndarray], percent: int) -> dict[str, np.nd
         end = min(start + ROWS, len(docs))
         count = dense[start:end] @ dense.T
         np.add.at(count, (short_i[begin[k] : begin[k + 1]] - start, short_j[begin[k] : begin[k + 1]]), 1)
-        fit = 100 * np.minimum(docs[start:end, 1, None], docs[:, 1]) >= percent * np.maximum(docs[start:end, 1, None], docs[:, 1])
+        size, least, most = docs[start:end, 1, None], np.minimum(docs[start:end, 1, None], docs[:, 1]), np.maximum(docs[start:end, 1, None], docs[:, 1])
+        reach = count + np.minimum(elsewhere[start:end, None], elsewhere) - (-percent * most // 100) - 1
+        fit = (100 * least >= percent * most) & ((100 + percent) * reach >= percent * (size + docs[:, 1]))
         sides = (chunk[start:end, None] == a) & (chunk == b)
         if a == b:
             sides &= docs[start:end, 0, None] < docs[:, 0]

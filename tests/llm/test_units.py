@@ -76,10 +76,11 @@ def test_block_product_counts(n_docs, n_columns, seed, two):
     rng = np.random.default_rng(seed)
     held = rng.random((n_docs, n_columns)) < rng.uniform(0.05, 0.9)
     rep, member = np.nonzero(held)
-    size, component, chunk = rng.integers(8, 14, n_docs), rng.integers(0, 4, n_docs), rng.integers(0, 2, n_docs) if two else np.zeros(n_docs, int)
+    extra = rng.integers(0, 3, n_docs)
+    size, component, chunk = rng.integers(20, 60, n_docs), rng.integers(0, 4, n_docs), rng.integers(0, 2, n_docs) if two else np.zeros(n_docs, int)
     if not len(rep):
         return
-    group = {"member": member, "rep": rep, "size": size[rep], "component": component[rep], "chunk": chunk[rep], "block_a": np.zeros(len(rep), int), "block_b": np.full(len(rep), int(two))}
+    group = {"member": member, "rep": rep, "size": size[rep], "component": component[rep], "total": held.sum(axis=1)[rep] + extra[rep], "chunk": chunk[rep], "block_a": np.zeros(len(rep), int), "block_b": np.full(len(rep), int(two))}
     saved = ngram_join.LONG_COLUMN, ngram_join.ROWS
     ngram_join.LONG_COLUMN, ngram_join.ROWS = 6, 7
     out = ngram_join.block_product(group, 80)
@@ -89,7 +90,8 @@ def test_block_product_counts(n_docs, n_columns, seed, two):
     for a in range(n_docs):
         for b in range(a + 1, n_docs):
             met = int((held[a] & held[b]).sum())
-            if met and component[a] != component[b] and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]) and (chunk[a] != chunk[b] if two else True):
+            reach = met + min(extra[a], extra[b]) + -(-80 * max(size[a], size[b]) // 100) - 1
+            if met and 180 * reach >= 80 * (size[a] + size[b]) and component[a] != component[b] and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]) and (chunk[a] != chunk[b] if two else True):
                 expected[a, b] = (size[a], size[b], met)
     assert got == expected
 
