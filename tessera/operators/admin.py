@@ -229,3 +229,42 @@ def site_link_score(href: Column, text: Column, title: Column, base_url: Column,
     score += F.when(has_any(low, SITE_DETAIL), 30).otherwise(0) + F.when(has_any(words, SITE_WORDS), 20).otherwise(0) - F.when(has_any(low, SITE_LISTING), 100).otherwise(0)
     same = (path(href) == path(base_url)) | (path(href) == F.rtrim(path(base_url), F.lit("/")))
     return score - F.when(same, 50).otherwise(0) + F.when(words.contains(F.substring(F.lower(title), 1, 20)), 15).otherwise(0)
+
+
+def overview(logs: DataFrame, ts: str, source: str, status: str, as_of: str, windows: dict[str, int]) -> DataFrame:
+    """For each trailing window of days: runs, distinct sources, and runs by status as a map."""
+    t, at = F.col(ts), F.lit(as_of).cast("timestamp")
+    inside = F.explode(F.array_compact(F.array(*[F.when(since(t, as_of, d) & (t < at), F.lit(n)) for n, d in windows.items()])))
+    rows = logs.withColumn("period", inside)
+    by_status = rows.groupBy("period", status).agg(F.count("*").alias("k")).groupBy("period").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(status, "k")))).alias("by_status"), F.sum("k").alias("n"))
+    sources = rows.groupBy("period", source).agg(F.lit(1)).groupBy("period").agg(F.count("*").alias("sources"))
+    return by_status.join(sources, "period")
+
+
+def source_analytics(logs: DataFrame, key: str, order: list[Column], good: Column, amount: str, last: int = 20) -> DataFrame:
+    """Success rate of each source's last runs and its lifetime number, least, greatest and mean of an amount."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    rows = logs.withColumn("_n", rank).withColumn("_good", good)
+    recent = F.col("_n") <= last
+    out = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(amount).alias("least"), F.max(amount).alias("most"), F.avg(amount).alias("mean"), F.count_if(recent & F.col("_good")).alias("ok"), F.count_if(recent).alias("n_last"))
+    return out.withColumn("rate", share(F.col("ok") * 100, F.col("n_last"))).drop("ok")
+
+
+def source_coverage(logs: DataFrame, key: str, url: str, status: str, found: str, stored: str, least: int) -> DataFrame:
+    """Distinct urls, statuses and extractions of each source with at least ``least`` rows, and its mismatch, null where
+    nothing was found (A20). Distinct numbers are counted apart, so that nothing fans out."""
+    base = logs.groupBy(key).agg(F.count("*").alias("n"), F.sum(found).alias("found"), F.sum(stored).alias("stored")).where(F.col("n") >= least)
+    for name, c in (("urls", url), ("statuses", status)):
+        kinds = logs.groupBy(key, c).agg(F.lit(1)).groupBy(F.col(key).alias("_k")).agg(F.count("*").alias(name))
+        base = base.join(kinds, F.col(key) == F.col("_k")).drop("_k")
+    return base.withColumn("mismatch", F.try_divide((F.col("found") - F.col("stored")) * 100.0, F.col("found"))).orderBy(F.col("mismatch").desc_nulls_last(), key)
+
+
+def normalization_report(rows: DataFrame, field: str, raw: Column, done: Column, top: int = 10) -> DataFrame:
+    """(field, value, n): how many raw values a normalisation keeps and loses, then the most frequent lost ones."""
+    lost = F.array_except(F.transform(raw, lambda x: F.lower(F.trim(x))), done)
+    values = rows.select(F.explode(lost).alias("value"))
+    counts = rows.agg(F.coalesce(F.sum(F.size(done)), F.lit(0)).alias("normalized"), F.coalesce(F.sum(F.coalesce(F.size(lost), F.lit(0))), F.lit(0)).alias("unknown"))
+    totals = counts.select(F.explode(F.array(F.struct(F.lit("(normalized)").alias("value"), F.col("normalized").alias("n")), F.struct(F.lit("(unknown)").alias("value"), F.col("unknown").alias("n")))).alias("t")).select("t.*")
+    most = values.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(top)
+    return totals.unionByName(most).select(F.lit(field).alias("field"), "value", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -12,6 +13,7 @@ from tessera.functions import constants as C
 from tessera.functions import normalize, quality
 from tessera.operators import admin, reports, search, state
 from tessera.plans.views import AS_OF, JOBS_AS_OF, JOBS_SQL, LOGS_SQL, jobs, logs, table
+from tessera.session import shared_dir
 from tessera.sources import feeds
 from tessera.sources import pages as page_source
 
@@ -665,3 +667,73 @@ def scalar_accuracy(spark, sf_dir):
     guess = e.select("id", (F.col("k") % 2 == 0).cast("int").alias("flag"))
     out = reports.accuracy(truth, guess, "id", [], ["flag"])
     return rounded(out.agg(F.count("*").alias("n"), F.avg(F.col("flag_metrics").cast("double")).alias("accuracy")), "accuracy")
+
+
+# More reports.
+
+
+@query(f"""with {LOGS_SQL}, w as (select '7d' as period, * from logs where ran_at >= timestamp '{AS_OF}' - interval 7 day and ran_at < timestamp '{AS_OF}' union all select '30d', * from logs where ran_at >= timestamp '{AS_OF}' - interval 30 day and ran_at < timestamp '{AS_OF}')
+    select period, count(*) as n, count(distinct source_id) as sources, count(case when status = 'ok' then 1 end) as n_ok, count(case when status = 'fail' then 1 end) as n_failed from w group by 1""")
+def overview_of_sources(spark, sf_dir):
+    """Runs, distinct sources and statuses of two windows."""
+    out = admin.overview(logs(spark, sf_dir), "ran_at", "source_id", "status", AS_OF, {"7d": 7, "30d": 30})
+    return out.select("period", "n", "sources", F.col("by_status")["ok"].alias("n_ok"), F.col("by_status")["fail"].alias("n_failed"))
+
+
+@query(f"""with {LOGS_SQL}, x as (select *, row_number() over (partition by source_id order by ran_at desc, event_id) as k from logs)
+    select source_id, count(*) as n, min(found) as least, max(found) as most, round(avg(found), 6) as mean, count(case when k <= 20 then 1 end) as n_last, round(100.0 * count(case when k <= 20 and status = 'ok' then 1 end) / count(case when k <= 20 then 1 end), 6)::double as rate from x group by 1""")
+def source_analytics(spark, sf_dir):
+    """The last 20 runs of every source and its lifetime figures."""
+    return rounded(admin.source_analytics(logs(spark, sf_dir), "source_id", [F.desc("ran_at"), F.asc("event_id")], F.col("status") == "ok", "found"), "mean", "rate")
+
+
+@query(f"""with {EXTRACTIONS_SQL}, w as (select * from extractions where created_at >= timestamp '{AS_OF}' - interval 200 hour),
+    s as (select count(case when status = 'OK' then 1 end) as ok, count(case when status = 'PARTIAL' then 1 end) as partial, count(case when status = 'EMPTY' then 1 end) as empty, count(case when status = 'DB_FAIL' then 1 end) as db_fail,
+        cast(coalesce(sum(found), 0) as bigint) as extracted, cast(coalesce(sum(stored), 0) as bigint) as inserted from w)
+    select *, round(coalesce(100.0 * (extracted - inserted) / nullif(extracted, 0), 0), 6)::double as mismatch, case when coalesce(100.0 * (extracted - inserted) / nullif(extracted, 0), 0) > 10 then 'critical' when coalesce(100.0 * (extracted - inserted) / nullif(extracted, 0), 0) > 5 then 'warning' else 'healthy' end as health from s""")
+def coverage_status(spark, sf_dir):
+    """Statuses and stored numbers of a window, read from JSON, with a health label."""
+    e = extractions(spark, sf_dir).withColumn("extracted_fields", F.to_json(F.struct(F.col("found").alias("job_count"), F.col("stored").alias("inserted_count"))))
+    return rounded(reports.coverage_status(e, AS_OF, 200), "mismatch")
+
+
+@query(f"""with {EXTRACTIONS_SQL} select source_id, count(*) as n, cast(sum(found) as bigint) as found, cast(sum(stored) as bigint) as stored, count(distinct url) as urls, count(distinct status) as statuses,
+    round(100.0 * (sum(found) - sum(stored)) / nullif(sum(found), 0), 6)::double as mismatch from extractions group by 1 having count(*) >= 50""")
+def coverage_per_source(spark, sf_dir):
+    """Coverage of the sources with enough rows."""
+    return rounded(admin.source_coverage(extractions(spark, sf_dir), "source_id", "url", "status", "found", "stored", 50), "mismatch")
+
+
+@query("""with w as (select list_distinct(list_transform(string_split(case doc_id % 3 when 0 then 'WASH,gold' when 1 then 'health,tin,Gold' else 'youth' end, ','), lambda x: lower(trim(x)))) as v from documents), u as (select unnest(v) as value from w)
+    select 'tags' as field, '(normalized)' as value, count(*) as n from u where value in ('wash', 'health', 'youth') union all select 'tags', '(unknown)', count(*) from u where value not in ('wash', 'health', 'youth')
+    union all select 'tags', value, count(*) from u where value not in ('wash', 'health', 'youth') group by value""")
+def normalization_report(spark, sf_dir):
+    """What the normalisation of tags keeps and loses, with the most frequent lost values."""
+    k = F.col("doc_id") % 3
+    d = table(spark, sf_dir, "documents").select(F.split(F.when(k == 0, "WASH,gold").when(k == 1, "health,tin,Gold").otherwise("youth"), ",").alias("raw"))
+    return admin.normalization_report(d, "tags", F.col("raw"), normalize.tags(F.col("raw")))
+
+
+@query(f"""with {ENRICHED_SQL} select id, cast(30 * cast(coalesce(list_has_any(impact_domain, ['Health']), false) as integer) + 20 * cast(experience_level is not null and experience_level like 'Officer%' as integer) + 10 * cast(source_id % 2 = 0 as integer) as double) as score,
+    array_to_string(list_filter([case when list_has_any(impact_domain, ['Health']) then 'Matches Impact: Health' end, case when experience_level like 'Officer%' then 'Experience: ' || experience_level end, case when source_id % 2 = 0 then 'Location: Rome' end], lambda x: x is not null), '; ') as reasons from enriched""")
+def match_score_reasons(spark, sf_dir):
+    """Score and reasons of every record for one wish."""
+    cells = {"impact_domain": F.col("impact_domain"), "functional_role": F.array().cast("array<string>"), "experience_level": F.col("experience_level"), "location_raw": F.when(F.col("source_id") % 2 == 0, "Rome"), "country": F.lit(None).cast("string"), "work_modality": F.lit(None).cast("string")}
+    m = search.match_score(cells, {"impact_domain": ["Health"], "experience_level": "officer / associate", "location": "rome", "is_remote": True})
+    return enriched(spark, sf_dir).select("id", m["score"].alias("score"), F.array_join(m["reasons"], "; ").alias("reasons"))
+
+
+# Files, written to the shared folder first.
+
+
+def _written(df: DataFrame, kind: str, **options) -> str:
+    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    df.write.format(kind).options(**options).save(path)
+    return path
+
+
+@query("select cast(doc_id as varchar) as doc_id, cast(quality as varchar) as label from labels")
+def label_file(spark, sf_dir):
+    """Labels of a CSV file with a header."""
+    l = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return feeds.label_file(spark, _written(l, "csv", header=True))

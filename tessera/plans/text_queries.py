@@ -83,6 +83,14 @@ def contact_extract(spark, sf_dir):
     return d.where(F.size("emails") > 0).select("doc_id", F.array_join(F.array_sort("emails"), ",").alias("emails"))
 
 
+@query("""with f as (select doc_id, regexp_extract_all(text, '[+]?[0-9 \\t\\n\\r\\f\\-()]{10,}')[:10] as f from documents), t as (select doc_id, list_sort(list_distinct(list_filter(list_transform(f, lambda p: trim(regexp_replace(p, '[ \\t\\n\\r\\f]+', ' ', 'g'))), lambda p: length(p) >= 10))) as phones from f)
+    select doc_id, array_to_string(phones, ',') as phones from t where len(phones) > 0""")
+def phone_extract(spark, sf_dir):
+    """Distinct phone numbers among the first ten found."""
+    d = table(spark, sf_dir, "documents").withColumn("phones", links.phones(F.col("text")))
+    return d.where(F.size("phones") > 0).select("doc_id", F.array_join(F.array_sort("phones"), ",").alias("phones"))
+
+
 @query("""with s as (select doc_id, substr(regexp_extract(lower(text), '([0-9]+)', 1), 1, 6) as d, doc_id % 6 as k from documents where regexp_matches(text, '[0-9]')),
     t as (select doc_id, k, case k when 0 then d || ' months' when 1 then d || ' yr' when 2 then '3-' || d || ' month' when 3 then 'Yes' when 4 then '$' || d || ' - $99 per hour' else d || ' EUR monthly' end as x, d from s)
     select doc_id, x, cast(case k when 0 then try_cast(d as integer) when 1 then try_cast(d as integer) * 12 when 2 then try_cast(d as integer) end as integer) as months,
@@ -140,6 +148,12 @@ def quality_batch(spark, sf_dir):
     return s.groupBy("q.grade").agg(F.count("*").alias("n"), F.round(F.avg("q.score"), 6).alias("mean"), F.count_if("q.needs_review").alias("n_review"))
 
 
+@query(SCORE_SQL + "select grade, count(*) as n, min(score) as least, max(score) as most from g group by 1")
+def quality_grades(spark, sf_dir):
+    """Least and greatest score of each grade."""
+    return _scored(spark, sf_dir).groupBy("q.grade").agg(F.count("*").alias("n"), F.round(F.min("q.score"), 3).alias("least"), F.round(F.max("q.score"), 3).alias("most"))
+
+
 @query(f"""with {RECORD} select doc_id, case when title = '' then 'Missing required field: title' when url = '' then 'Missing required field: apply_url' when length(title) < 5 then 'Title too short (minimum 5 characters): ' || title when url like 'ftp%' then 'Invalid URL scheme' end as error from rec""")
 def validation_errors(spark, sf_dir):
     return _records(spark, sf_dir).select("doc_id", quality.upsert_error(F.col("title"), F.col("url")).alias("error"))

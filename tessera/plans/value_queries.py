@@ -314,6 +314,19 @@ def infer_fields(spark, sf_dir):
     return d.select("doc_id", repair.infer_location(F.col("descr"), F.col("url"), F.col("org")).alias("place"), F.date_format(repair.infer_deadline(F.col("descr"), F.col("title"), F.col("url"), DAY), "yyyy-MM-dd").alias("due"))
 
 
+BROKEN = {"title": one_of(["Programme  Officer", "Cook"]), "place": one_of(["Rome", None], 2), "descr": one_of(["Work in Geneva", None], 4)}
+
+
+@query(dealt(**BROKEN) + """select doc_id, regexp_replace(title, '\\s+', ' ', 'g') as title, coalesce(place, case when descr is not null then 'Geneva, Switzerland' end) as place, case when doc_id % 3 = 0 then '2024-08-01' else '2024-07-15' end as due,
+    array_to_string(list_filter([case when place is null and descr is not null then 'location inferred' end, case when doc_id % 3 <> 0 then 'deadline inferred' end, case when title like '%  %' then 'title cleaned' end], lambda x: x is not null), '; ') as repairs from d""")
+def repair_records(spark, sf_dir):
+    """Whole records repaired, with what was done."""
+    d = documents(spark, sf_dir, **BROKEN)
+    due = F.when(F.col("doc_id") % 3 == 0, F.lit("2024-08-01")).cast("date")
+    r = repair.repair({"title": F.col("title"), "location_raw": F.col("place"), "deadline": due, "description": F.col("descr"), "apply_url": F.lit("https://x.org/1"), "org_name": F.lit(None).cast("string")}, DAY)
+    return d.select("doc_id", r.alias("r")).select("doc_id", "r.title", F.col("r.location_raw").alias("place"), F.date_format("r.deadline", "yyyy-MM-dd").alias("due"), F.array_join("r.repairs", "; ").alias("repairs"))
+
+
 LEVELLED = {
     "title": one_of(["Intern", "Chief of Staff", "Programme Officer", "Technical Advisor", "Programme P-4", "Driver G 5", "Cook", "Country Director D-1", None, ""]), "label": one_of([None, "Officer / Associate", "none", None, "Head of Unit / Director"], 10),
     "org_type": one_of(["un", "ngo"], 50),

@@ -102,6 +102,14 @@ def test_feeds(spark, tmp_path):
     assert {r.host: (r.disallow, r.crawl_delay_ms) for r in feeds.robots(files).collect()} == {"a.org": (["/x"], 1500), "b.org": ([], None)}
 
 
+def test_stored_pages(spark, tmp_path):
+    for d, text in (("a", "<p>one\ntwo</p>"), ("b/c", "")):
+        (tmp_path / d).mkdir(parents=True)
+        (tmp_path / d / "x.html").write_text(text)
+    got = {r.path.rsplit("/", 2)[1]: r.html for r in feeds.stored_pages(spark, str(tmp_path)).collect()}
+    assert got["a"] == "<p>one\ntwo</p>" and set(got) <= {"a", "c"}
+
+
 PAGE = """<html><head><title>Job</title><script type="application/ld+json">{"@graph": [{"@type": "JobPosting", "title": "Nurse", "hiringOrganization": {"name": "Org"},
 "jobLocation": {"address": {"addressLocality": "Nairobi", "addressCountry": "KE"}}, "datePosted": "2024-01-01", "validThrough": "2024-02-01", "url": "https://o/1"}]}</script></head>
 <body><h1>Nurse position: vacancy</h1><dl><dt>Location:</dt><dd>Kisumu</dd><dt>Closing date</dt><dd>2024-02-02</dd></dl><table><tr><th>Job title</th><th>Duty station</th><th>Deadline</th></tr>
