@@ -129,9 +129,9 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
     pieces = rows.mapInPandas(cut, "d1 long, d2 int, doc_id long, place long")
     first = pieces.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-    first = materialize(first.select(F.col("d1").alias("f1"), F.col("d2").alias("f2"), "first_doc"))
+    first = materialize(first.select(F.col("d1").alias("f1"), F.col("d2").alias("f2"), "first_doc"), compact=True)
     repeats = pieces.join(first, (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2"))).where("doc_id <> first_doc or place % 2 = 0")
-    repeats = materialize(repeats.select("doc_id", "place", "first_doc"))
+    repeats = materialize(repeats.select("doc_id", "place", "first_doc"), compact=True)
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: np.ndarray | None = None
@@ -198,7 +198,7 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     each by its own spans. Names of other columns cannot clash; an empty table stays empty.
     """
     spans = repeated_spans(docs, least_words).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("span_start", "span_end")).alias("spans"))
-    spans = materialize(spans.select(F.col("doc_id").alias("span_doc"), "tag", "spans").groupBy("span_doc").agg(F.collect_list(F.struct("tag", "spans")).alias("by_tag")))
+    spans = materialize(spans.select(F.col("doc_id").alias("span_doc"), "tag", "spans").groupBy("span_doc").agg(F.collect_list(F.struct("tag", "spans")).alias("by_tag")), compact=True)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     joined = docs.select(F.col("doc_id").cast("long").alias("join_id"), row).join(spans, F.col("join_id") == F.col("span_doc"), "left")
 

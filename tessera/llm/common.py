@@ -24,12 +24,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Files of a compact table for each core of the cluster.
+FILES_PER_CORE = 3
+
+
+def materialize(df: DataFrame, compact: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, which cuts its lineage.
 
-    The table outlives lost executors. Files stay until the owner of the folder clears it.
+    The table outlives lost executors. Files stay until the owner of the folder clears it. ``compact`` is for what
+    comes from a shuffle and is small beside its input: partitions are written together, a few files for each core.
     """
     spark = df.sparkSession
+    if compact:
+        df = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -65,7 +72,7 @@ def components(edges: DataFrame) -> DataFrame:
     def step(pairs: DataFrame, large: bool) -> DataFrame:
         if large:
             pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(pairs.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("low")))
+        least = materialize(pairs.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("low")), compact=True)
         joined = pairs.join(least, F.col("a") == F.col("node"))
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -80,11 +87,11 @@ def components(edges: DataFrame) -> DataFrame:
         return open_ends.agg(F.count("*")).first()[0] == 0
 
     ends = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    pairs = materialize(ends.distinct())
+    pairs = materialize(ends.distinct(), compact=True)
     while not stars(pairs):
-        half = materialize(step(pairs, True))
+        half = materialize(step(pairs, True), compact=True)
         discard(pairs)
-        pairs = materialize(step(half, False))
+        pairs = materialize(step(half, False), compact=True)
         discard(half)
     low = pairs.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(low)
@@ -112,7 +119,7 @@ def in_blocks(df: DataFrame, keys: list[str], by: str, size: int) -> DataFrame:
     both blocks. Groups of one row, which have no pairs, are left out. The group sizes are written out first, so that
     the join with them can be split where a group is hot.
     """
-    sizes = materialize(df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1"))
+    sizes = materialize(df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1"), compact=True)
     side = sizes.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.ceil(F.col("n_rows") / size).cast("int").alias("n_chunks"))
     match = [F.col(k) == F.col(f"key_{i}") for i, k in enumerate(keys)]
     rows = df.join(side, match).drop(*[f"key_{i}" for i in range(len(keys))])

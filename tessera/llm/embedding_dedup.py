@@ -66,7 +66,7 @@ def near_duplicates(
 
     packed_rows = rows.mapInPandas(packed, "vec_id long, label long, key binary, vec binary, dim int")
     classes = packed_rows.where("key is not null and label is not null and vec_id is not null").groupBy("label", "key")
-    classes = materialize(classes.agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vec").alias("vec"), F.first("dim").alias("dim")))
+    classes = materialize(classes.agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vec").alias("vec"), F.first("dim").alias("dim")), compact=True)
 
     tag = F.conv(F.substring(F.hex("key"), 1, 7), 16, 10).cast("int").alias("tag")
 
@@ -89,7 +89,7 @@ def near_duplicates(
     blocks = in_blocks(in_tables, ["label", "dim", "t", "code"], "rep", block)
     one = classes.select(F.col("rep").alias("w_rep"), tag.alias("w_tag"), "size", "vec")
     whole = one.join(signs.select("rep", "tag", "codes"), (F.col("w_rep") == F.col("rep")) & (F.col("w_tag") == F.col("tag"))).drop("rep", "tag")
-    blocks = blocks.join(materialize(whole), (F.col("rep") == F.col("w_rep")) & (F.col("tag") == F.col("w_tag"))).drop("w_rep", "w_tag", "tag")
+    blocks = blocks.join(materialize(whole, compact=True), (F.col("rep") == F.col("w_rep")) & (F.col("tag") == F.col("w_tag"))).drop("w_rep", "w_tag", "tag")
 
     def compared(group: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
         rep, dim = group["rep"], int(group["dim"][0])
@@ -122,12 +122,12 @@ def near_duplicates(
         return {"rep": rep[hit], "links": links[hit].astype(np.int64), "root": root[hit]}
 
     keys = ["label", "dim", "t", "code", "block_a", "block_b"]
-    found = materialize(by_groups(blocks, keys, compared, "rep long, links long, root long"))
+    found = materialize(by_groups(blocks, keys, compared, "rep long, links long, root long"), compact=True)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "l_rep")
     nodes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = classes.select(F.col("label").alias("c_label"), F.col("key").alias("c_key"), "rep", "size")
     known = known.join(counts, F.col("rep") == F.col("l_rep"), "left").join(nodes, F.col("rep") == F.col("node"), "left")
-    known = materialize(known.select("c_label", "c_key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")))
+    known = materialize(known.select("c_label", "c_key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), compact=True)
     out = packed_rows.select("vec_id", "label", "key").join(known, (F.col("label") == F.col("c_label")) & (F.col("key") == F.col("c_key")), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -99,34 +99,35 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
     sets = materialize(rows.mapInPandas(first_members, "doc_id long, n_shingles long, digest binary, members array<long>"))
     groups = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("members").alias("members"))
-    groups = materialize(groups)
+    groups = materialize(groups, compact=True)
     exploded = groups.select("rep", "size", F.explode("members").alias("member"))
-    shared = materialize(exploded.groupBy("member").agg(F.count("*").alias("n_docs")).where("n_docs > 1").select(F.col("member").alias("shared_member")))
-    columns = materialize(exploded.join(shared, F.col("member") == F.col("shared_member")).drop("shared_member"))
+    shared = materialize(exploded.groupBy("member").agg(F.count("*").alias("n_docs")).where("n_docs > 1").select(F.col("member").alias("shared_member")), compact=True)
+    columns = materialize(exploded.join(shared, F.col("member") == F.col("shared_member")).drop("shared_member"), compact=True)
 
     homes, first = _first_partners(columns, percent)
     found = _verified(first, rows, n, percent)
-    member_of = materialize(components(found).select(F.col("node").alias("c_node"), F.col("component")))
+    member_of = materialize(components(found).select(F.col("node").alias("c_node"), F.col("component")), compact=True)
 
     # What is left of each column: pairs of different components. Columns with one smallest hub, as those of a group of
     # near copies have, are multiplied together, so that their pairs are counted and discarded in the block.
     left = columns.join(member_of, F.col("rep") == F.col("c_node"), "left").join(homes, F.col("rep") == F.col("h_rep"), "left")
-    left = materialize(left.select("member", "rep", "size", F.coalesce("component", "rep").alias("component"), F.coalesce("home", "rep").alias("home")))
+    left = materialize(left.select("member", "rep", "size", F.coalesce("component", "rep").alias("component"), F.coalesce("home", "rep").alias("home")), compact=True)
     mixed = left.groupBy("member").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("home").alias("anchor")).where("low <> high")
-    mixed = materialize(mixed.select(F.col("member").alias("m_member"), "anchor"))
-    open_columns = materialize(left.join(mixed, F.col("member") == F.col("m_member")).drop("m_member", "home"))
-    totals = materialize(open_columns.groupBy("rep", "size").agg(F.count("*").alias("total")).select(F.col("rep").alias("t_rep"), F.col("size").alias("t_size"), "total"))
+    mixed = materialize(mixed.select(F.col("member").alias("m_member"), "anchor"), compact=True)
+    open_columns = materialize(left.join(mixed, F.col("member") == F.col("m_member")).drop("m_member", "home"), compact=True)
+    totals = open_columns.groupBy("rep", "size").agg(F.count("*").alias("total")).select(F.col("rep").alias("t_rep"), F.col("size").alias("t_size"), "total")
     counted_columns = open_columns.join(totals, (F.col("rep") == F.col("t_rep")) & (F.col("size") == F.col("t_size"))).drop("t_rep", "t_size")
-    blocks = materialize(in_blocks(materialize(counted_columns), ["anchor"], "rep", BLOCK))
+    counted_columns = materialize(counted_columns, compact=True)
+    blocks = in_blocks(counted_columns, ["anchor"], "rep", BLOCK)
     met = by_groups(blocks, ["anchor", "block_a", "block_b"], lambda group: block_product(group, percent), "a long, b long, size_a long, size_b long, met long")
     met = met.groupBy("a", "b", "size_a", "size_b").agg(F.sum("met").alias("met")).where(_enough(F.col("size_a"), F.col("size_b"), F.col("met"), percent))
-    pairs = materialize(met.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    discard(columns, homes, left, mixed, open_columns, totals, blocks, shared)
+    pairs = materialize(met.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), compact=True)
+    discard(columns, homes, left, mixed, open_columns, counted_columns, shared)
     more = _verified(pairs, rows, n, percent)
     known = member_of.select(F.col("c_node").alias("a"), F.col("component").alias("b"))
     member_of_all = components(known.unionByName(more))
     by_digest = groups.select(F.col("digest").alias("g_digest"), "rep").join(member_of_all, F.col("rep") == F.col("node"), "left")
-    by_digest = materialize(by_digest.select("g_digest", F.coalesce("component", "rep").alias("component")))
+    by_digest = materialize(by_digest.select("g_digest", F.coalesce("component", "rep").alias("component")), compact=True)
     discard(groups, first, found, member_of, pairs, more)
     out = sets.select("doc_id", "n_shingles", "digest").join(by_digest, F.col("digest") == F.col("g_digest"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -144,19 +145,18 @@ def _first_partners(columns: DataFrame, percent: int) -> tuple[DataFrame, DataFr
     found by the product.
     """
     weight = columns.groupBy("rep").agg(F.count("*").alias("n_shared"), F.first("size").alias("size"))
-    weight = materialize(weight.select(F.col("rep").alias("w_rep"), (F.col("n_shared") / F.col("size")).alias("weight")))
-    weighed = materialize(columns.join(weight, F.col("rep") == F.col("w_rep")).select("rep", "size", "member", "weight"))
+    weight = weight.select(F.col("rep").alias("w_rep"), (F.col("n_shared") / F.col("size")).alias("weight"))
+    weighed = materialize(columns.join(weight, F.col("rep") == F.col("w_rep")).select("rep", "size", "member", "weight"), compact=True)
     hub = F.max(F.struct("weight", (-F.col("rep")).alias("minus"), F.col("size").alias("hub_size"))).alias("hub")
-    hubs = materialize(weighed.groupBy("member").agg(hub).select(F.col("member").alias("h_member"), "hub"))
+    hubs = materialize(weighed.groupBy("member").agg(hub).select(F.col("member").alias("h_member"), "hub"), compact=True)
     met = weighed.join(hubs, F.col("member") == F.col("h_member")).groupBy("rep", "size", F.col("hub.minus").alias("minus"), F.col("hub.hub_size").alias("hub_size")).agg(F.count("*").alias("met"))
-    met = materialize(met)
     other = F.col("rep") != -F.col("minus")
     likely = other & _sizes_fit(F.col("size"), F.col("hub_size"), percent) & _enough(F.col("size"), F.col("hub_size"), F.col("met"), percent)
     best = met.groupBy("rep").agg(F.max(F.struct("met", "minus")).alias("best"), F.max(F.when(likely, F.struct("met", "minus"))).alias("pair"))
-    best = materialize(best.select(F.col("rep").alias("h_rep"), (-F.col("best.minus")).alias("home"), (-F.col("pair.minus")).alias("partner")))
+    best = materialize(best.select(F.col("rep").alias("h_rep"), (-F.col("best.minus")).alias("home"), (-F.col("pair.minus")).alias("partner")), compact=True)
     pairs = best.where("partner is not null").select(F.least("h_rep", "partner").alias("a"), F.greatest("h_rep", "partner").alias("b")).distinct()
-    pairs = materialize(pairs)
-    discard(weight, weighed, hubs, met)
+    pairs = materialize(pairs, compact=True)
+    discard(weighed, hubs)
     return best.select("h_rep", "home"), pairs
 
 
@@ -256,7 +256,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     some = rows.where("doc_id is not null").where(listed(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")))
     once = some.mapInPandas(whole, "id long, digest binary, members array<long>").where("digest is not null")
-    return materialize(once.groupBy("id", "digest").agg(F.first("members").alias("members")).select("id", "members"))
+    return materialize(once.groupBy("id", "digest").agg(F.first("members").alias("members")).select("id", "members"), compact=True)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -267,6 +267,6 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFr
     full = pairs.select("a", "b").join(right, F.col("b") == F.col("id_b")).join(left, F.col("a") == F.col("id_a"))
     size_a, size_b, both = F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b"))
     linked_pairs = full.select("a", "b", size_a.alias("size_a"), size_b.alias("size_b"), both.alias("both")).where((100 + percent) * F.col("both") >= percent * (F.col("size_a") + F.col("size_b")))
-    out = materialize(linked_pairs.select("a", "b").distinct())
+    out = materialize(linked_pairs.select("a", "b").distinct(), compact=True)
     discard(sets)
     return out

@@ -64,11 +64,11 @@ def tree(places: DataFrame, range_bytes: int = RANGE_BYTES, fan_out: int = FAN_O
         return F.sha2(F.array_join(of, ","), 256)
 
     leaf = F.transform(F.array_sort(F.collect_list(F.struct("offset", "length", "digest"))), lambda r: F.concat_ws(":", r["offset"], r["length"], r["digest"]))
-    nodes = [materialize(places.groupBy("volume", F.floor(F.col("offset") / range_bytes).cast("long").alias("node")).agg(joined(leaf).alias("digest")))]
+    nodes = [materialize(places.groupBy("volume", F.floor(F.col("offset") / range_bytes).cast("long").alias("node")).agg(joined(leaf).alias("digest")), compact=True)]
     for level in range(1, levels + 1):
         up = F.lit(0).cast("long") if level == levels else F.floor(F.col("node") / fan_out).cast("long")
         below = F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda r: F.concat_ws(":", r["node"], r["digest"]))
-        nodes.append(materialize(nodes[-1].groupBy("volume", up.alias("up")).agg(joined(below).alias("digest")).withColumnRenamed("up", "node")))
+        nodes.append(materialize(nodes[-1].groupBy("volume", up.alias("up")).agg(joined(below).alias("digest")).withColumnRenamed("up", "node"), compact=True))
     return nodes
 
 
@@ -84,7 +84,7 @@ def audit(replica_a: DataFrame, replica_b: DataFrame, range_bytes: int = RANGE_B
     of nodes that differ, down to the records, so an intact volume adds nothing below its root. Replicas may hold a
     record more than once: as many are matched as both hold. Two empty replicas give no rows.
     """
-    places = {k: materialize(df.select("volume", "page_id", "offset", "length", "digest")) for k, df in (("a", replica_a), ("b", replica_b))}
+    places = {k: materialize(df.select("volume", "page_id", "offset", "length", "digest"), compact=True) for k, df in (("a", replica_a), ("b", replica_b))}
     trees: dict[str, list[DataFrame]] = {}
     for k, df in places.items():
         trees[k] = tree(df, range_bytes, fan_out, levels)
@@ -96,7 +96,7 @@ def audit(replica_a: DataFrame, replica_b: DataFrame, range_bytes: int = RANGE_B
             if wrong is not None:
                 nodes = nodes.join(wrong, (F.col("volume") == F.col("w_volume")) & (parent == F.col("w_node")), "left_semi")
             sides.append(nodes)
-        return materialize(sides[0].join(sides[1], ["volume", "node"], "full").withColumn("same", F.col("digest_a").eqNullSafe(F.col("digest_b"))))
+        return materialize(sides[0].join(sides[1], ["volume", "node"], "full").withColumn("same", F.col("digest_a").eqNullSafe(F.col("digest_b"))), compact=True)
 
     roots = both(levels, None, None)
     seen, looked = roots, None
