@@ -84,9 +84,10 @@ def daily(logs: DataFrame, ts: str, good: Column) -> DataFrame:
 
 
 def distribution(df: DataFrame, key: str) -> DataFrame:
-    """Counts with their percentage of the whole. The groups, not the rows, are gathered for the sum."""
+    """Counts with their percentage of the whole, which is one row joined to each group."""
     n = df.groupBy(key).agg(F.count("*").alias("n"))
-    return n.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    total = F.broadcast(df.agg(F.count("*").alias("_total")))
+    return n.join(total).withColumn("percent", F.col("n") * 100.0 / F.col("_total")).drop("_total")
 
 
 def last_n(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
