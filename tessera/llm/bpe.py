@@ -207,19 +207,21 @@ class WordBpe:
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        known = self.known.get
         for part in self.cuts.split(text or "") if self.cuts else [text or ""]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            for piece in self._pieces(self._lower(part)):
-                ids = known(piece)
-                out += self._ids(piece) if ids is None else ids
+            pieces = self._pieces(self._lower(part))
+            # Most pieces are in the newer generation; it may become the older one meanwhile, and is right then too.
+            for piece, ids in zip(pieces, map(self.known.new.get, pieces), strict=True):
+                if ids is None and (ids := self.known.get(piece)) is None:
+                    ids = self._ids(piece)
+                out += ids
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder, so tokens are joined by spaces as they stand in the vocabulary."""
-        return " ".join([self.tokens[i] for i in ids])
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 _LOADED: dict[str, WordBpe] = {}
