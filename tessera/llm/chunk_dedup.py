@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessera.llm.common import bounded_batches, materialize, slices
+from tessera.llm.common import bounded_batches, discard, materialize, member_filter, slices
 
 #: Bytes that the rolling hash sees; bits of it that are 0 at a cut (32 bytes between cuts on average); longest chunk.
 SEEN, CUT_BITS, LONGEST = 16, 5, 256
@@ -115,6 +115,11 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     each other; of several texts with one doc_id each is its own, told apart by ``tag`` (a hash of the text), and they
     are no repeats of each other. A null doc_id is left out. Other columns are ignored; an empty table gives no rows.
     """
+    return _runs(_repeats(docs), least_words)
+
+
+def _repeats(docs: DataFrame) -> DataFrame:
+    """The chunks that stand elsewhere before: doc_id, place, first_doc; a written table."""
     rows = docs.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounded_batches(docs.sparkSession)
 
@@ -132,6 +137,12 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     first = materialize(first.select(F.col("d1").alias("f1"), F.col("d2").alias("f2"), "first_doc"), compact=True)
     repeats = pieces.join(first, (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2"))).where("doc_id <> first_doc or place % 2 = 0")
     repeats = materialize(repeats.select("doc_id", "place", "first_doc"), compact=True)
+    discard(first)
+    return repeats
+
+
+def _runs(repeats: DataFrame, least_words: int) -> DataFrame:
+    """Neighbouring repeats joined to spans."""
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: np.ndarray | None = None
@@ -197,10 +208,15 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     those with a null doc_id, a null or an empty text unchanged, repeated rows alike, several texts with one doc_id
     each by its own spans. Names of other columns cannot clash; an empty table stays empty.
     """
-    spans = repeated_spans(docs, least_words).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("span_start", "span_end")).alias("spans"))
+    repeats = _repeats(docs)
+    spans = _runs(repeats, least_words).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("span_start", "span_end")).alias("spans"))
     spans = materialize(spans.select(F.col("doc_id").alias("span_doc"), "tag", "spans").groupBy("span_doc").agg(F.collect_list(F.struct("tag", "spans")).alias("by_tag")), compact=True)
+    discard(repeats)
+    # Only documents that may have spans are shuffled.
+    may_have = F.coalesce(member_filter(spans, "span_doc")(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))) & F.col("doc_id").isNotNull(), F.lit(False))
+    rest = docs.where(~may_have)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    joined = docs.select(F.col("doc_id").cast("long").alias("join_id"), row).join(spans, F.col("join_id") == F.col("span_doc"), "left")
+    joined = docs.where(may_have).select(F.col("doc_id").cast("long").alias("join_id"), row).join(spans, F.col("join_id") == F.col("span_doc"), "left")
 
     @F.pandas_udf(StringType())
     def cut_text(text: pd.Series, by_tag: pd.Series) -> pd.Series:
@@ -210,7 +226,9 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     new = cut_text.asNondeterministic()(F.col("row.text").cast("string"), F.col("by_tag"))
     joined = joined.withColumn("new_text", new).where(F.col("by_tag").isNull() | ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"\S") | F.col("new_text").rlike(r"\S"))
     named = {"text": F.col("new_text"), "n_chars": F.coalesce(F.length("new_text"), F.lit(0)).cast("long")}
-    return joined.select(*[named[c].alias(c) if c in named else F.col(f"row.`{c}`") for c in docs.columns])
+    cut = joined.select(*[named[c].alias(c) if c in named else F.col(f"row.`{c}`") for c in docs.columns])
+    plain = {"text": F.col("text").cast("string"), "n_chars": F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long")}
+    return cut.unionByName(rest.select(*[plain[c].alias(c) if c in plain else F.col(f"`{c}`") for c in docs.columns]))
 
 
 def _without_of(text: str, by_tag: list[dict]) -> str:

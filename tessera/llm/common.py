@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tessera.session import shared_dir
 
@@ -53,6 +54,32 @@ def least_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(h, key).limit(n)
 
 
+#: Bits of the filters that keep rows out of a shuffle.
+FILTER_BITS = 1 << 22
+
+
+def member_filter(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """Whether an id may be among ``ids``: false only where it is not.
+
+    A bitmap of FILTER_BITS hashed ids, a fixed size, passes the driver and is broadcast. It spares a shuffle most rows
+    while it is not full, and nothing when it is; what it lets pass has to be joined.
+    """
+
+    def place(of: Column) -> Column:
+        return F.pmod(F.xxhash64(of.cast("long")), F.lit(FILTER_BITS)).cast("int")
+
+    bitmap = np.zeros(FILTER_BITS, bool)
+    bitmap[ids.select(place(F.col(column)).alias("place")).distinct().toPandas()["place"]] = True
+    bits = ids.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+    @F.pandas_udf(BooleanType())
+    def listed(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((bits.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    return lambda of: listed(place(of))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by :func:`materialize` of which nothing that is still to be computed reads."""
     for df in tables:

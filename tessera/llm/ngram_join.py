@@ -10,17 +10,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from tessera.llm.common import bounded_batches, by_groups, components, discard, in_blocks, materialize, slices
+from tessera.llm.common import bounded_batches, by_groups, components, discard, in_blocks, materialize, member_filter, slices
 
 #: Counters of the frequency sketch that orders n-grams from rare to common (its size is the bound of what is broadcast).
 COUNTERS = 1 << 18
 #: Entries of the incidence matrix that one chunk of a block of the product holds; documents from which a column counts
 #: as long; rows that are multiplied at once.
 BLOCK, LONG_COLUMN, ROWS = 16_384, 64, 256
-#: Bits of the filter that keeps unneeded texts out of a shuffle.
-FILTER_BITS = 1 << 22
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -128,8 +125,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     member_of_all = components(known.unionByName(more))
     by_digest = groups.select(F.col("digest").alias("g_digest"), "rep").join(member_of_all, F.col("rep") == F.col("node"), "left")
     by_digest = materialize(by_digest.select("g_digest", F.coalesce("component", "rep").alias("component")), compact=True)
-    discard(groups, first, found, member_of, pairs, more)
-    out = sets.select("doc_id", "n_shingles", "digest").join(by_digest, F.col("digest") == F.col("g_digest"), "left")
+    # Of the sets only what the result needs stays.
+    ids = materialize(sets.select("doc_id", "n_shingles", "digest"))
+    discard(sets, groups, first, found, member_of, pairs, more)
+    out = ids.join(by_digest, F.col("digest") == F.col("g_digest"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -237,24 +236,16 @@ def _pairs_of(column: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """Whole sets (id, members) of at least the ids ``wanted(id)``, one row for each of an id's different sets.
 
-    A bitmap of FILTER_BITS hashed ids, a fixed size, spares most other texts the work.
+    A bitmap of hashed ids spares most other texts the work.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("place")
-    bitmap = np.zeros(FILTER_BITS, bool)
-    bitmap[wanted.select(place).distinct().toPandas()["place"]] = True
-    bits = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-
-    @F.pandas_udf(BooleanType())
-    def listed(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((bits.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+    listed = member_filter(wanted, "id")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
             found = [shingles(t, n) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["doc_id"], "digest": [set_digest(s) for s in found], "members": [s.view(np.int64) for s in found]})
 
-    some = rows.where("doc_id is not null").where(listed(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")))
+    some = rows.where("doc_id is not null").where(listed(F.col("doc_id")))
     once = some.mapInPandas(whole, "id long, digest binary, members array<long>").where("digest is not null")
     return materialize(once.groupBy("id", "digest").agg(F.first("members").alias("members")).select("id", "members"), compact=True)
 
