@@ -232,15 +232,18 @@ def test_decontamination_of_common_edited_copies(spark):
 
 
 def held_out_figures(spark, name, column, sought):
-    """Recall and precision of the label ``sought`` on held-out rows, mean squared error of the score, and that of a constant."""
+    """Recall and precision of the label ``sought`` on held-out rows, mean squared error of the score and that of a
+    constant, and how far the mean score of five equal ranges of scores is from the share of 1 there."""
     sf = DATA.replace("0.001", "0.1")
-    out = queries()[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col(column).alias("y")), "doc_id").where("held_out")
+    out = queries()[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col(column).alias("y")), "doc_id").where("held_out").cache()
     right = F.count_if((F.col("predicted") == sought) & (F.col("y") == sought))
     row = out.agg(
         F.count_if((F.col("score") < 0) | (F.col("score") > 1) | F.col("score").isNull()).alias("odd"), (right / F.count_if(F.col("y") == sought)).alias("recall"),
         (right / F.count_if(F.col("predicted") == sought)).alias("precision"), F.avg(F.pow(F.col("score") - F.col("y"), 2)).alias("error"), F.var_pop("y").alias("constant"),
     ).first()
-    assert row.odd == 0
+    ranges = out.groupBy(F.floor(F.col("score") * 5)).agg(F.count("*").alias("n"), F.abs(F.avg("score") - F.avg("y")).alias("gap"))
+    off = ranges.agg(F.sum(F.col("n") * F.col("gap")) / F.sum("n")).first()[0]
+    assert row.odd == 0 and off < 0.05
     return row
 
 
