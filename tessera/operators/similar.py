@@ -56,7 +56,9 @@ def similar_to_newest(df: DataFrame, key: str, title: Column, description: Colum
                 bound = TITLE * most_ratio(tc, t_counts) + DESCRIPTION * most_ratio(dc, d_counts)
                 for k in np.flatnonzero(bound >= least - 1e-9).tolist():
                     b, bt, bd = others[k]
-                    if b != i and (s := TITLE * ratio(t, bt) + DESCRIPTION * ratio(d, bd)) >= least:
+                    if b == i or (of_d := DESCRIPTION * ratio(d, bd)) + TITLE < least:
+                        continue
+                    if (s := TITLE * ratio(t, bt) + of_d) >= least:
                         out.append((i, b, s))
             yield pd.DataFrame(out, columns=["a", "b", "similarity"])
 
