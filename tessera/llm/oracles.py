@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.llm import merkle_manifest as merkle
+from tessera.llm import source_mix as mixed
 from tessera.llm import url_reputation as url
 from tessera.llm import warc_fixity as warc
 
@@ -136,5 +138,113 @@ select p.page_id, p.host, p.path, {rule.replace('host', 'p.host').replace('path'
 from parts p join judged j on j.host = p.host"""
 
 
+def op11() -> str:
+    def number(*of: str) -> str:
+        return f"cast('0x' || substr(md5(concat_ws(':', '{mixed.SEED}', {', '.join(of)})), 1, 15) as bigint)"
+
+    b, prime = mixed.BLOCK_WORDS, mixed.PRIME
+    sql = f"""
+with words as (
+    select doc_id, source, cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), '-' || coalesce(text, ''))), 1, 8)) as bigint) as spread, md5(coalesce(text, '')) as digest,
+        cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size
+    from documents
+),
+sizes as (select source, cast(sum(size) as bigint) as source_size from words group by source),
+ranked as (select *, row_number() over (order by source nulls last) - 1 as source_no from sizes),
+weighed as (select *, [{', '.join(map(str, mixed.WEIGHTS))}][source_no % {len(mixed.WEIGHTS)} + 1] as weight, {float(mixed.MOST)} * source_size as most from ranked),
+level as (
+    select *, cast(({mixed.SHARE} * sum(source_size) over () - coalesce(sum(most) over (order by most / weight, source_no rows between unbounded preceding and 1 preceding), 0)) as double)
+        / cast((sum(weight) over () - coalesce(sum(weight) over (order by most / weight, source_no rows between unbounded preceding and 1 preceding), 0)) as double) as level
+    from weighed
+),
+share as (select level as share from level where most >= level * weight order by most / weight, source_no limit 1),
+source as (
+    select source, source_no, source_size, case when source_size = 0 then 0.0 else least(most, (select share from share) * weight) end as target, cast(ceil(source_size / {b}) as bigint) as n_blocks from level
+),
+ranges as (select *, cast(case when source_size = 0 then 0 else round(target * n_blocks / source_size) end as bigint) as quota from source),
+-- Which shard drew a slot changes nothing here: once the draws are settled, a source's slots are those below its quota.
+picks as (select source_no, i, i // n_blocks as epoch, i % n_blocks as x, n_blocks as n from (select source_no, n_blocks, unnest(range(quota)) as i from ranges)),
+keys as (
+    select source_no, epoch, r, {number("'k'", "'source'", "source_no", "epoch", "r")} % n_blocks as k, {number("'a'", "'source'", "source_no", "epoch", "r")} % {prime} as a, {number("'b'", "'source'", "source_no", "epoch", "r")} % {prime} as b
+    from ranges, range({mixed.MOST}) e(epoch), range({mixed.ROUNDS}) t(r) where n_blocks > 0
+),
+p0 as (select source_no, i, epoch, n, x from picks)"""
+    for r in range(mixed.ROUNDS):
+        other = "(k.k + n - x) % n"
+        sql += f""",
+p{r + 1} as (
+    select p.source_no, i, p.epoch, n, case when (greatest(x, {other}) % {prime} * a + b) % {prime} % 2 = 1 then {other} else x end as x
+    from p{r} p join keys k on k.source_no = p.source_no and k.epoch = p.epoch and k.r = {r}
+)"""
+    sql += f""",
+times as (select source_no, x as block, count(*) as times from p{mixed.ROUNDS} group by 1, 2),
+placed as (
+    select doc_id, size, r.*, coalesce(sum(size) over (partition by r.source_no order by spread, doc_id nulls first, size, digest rows between unbounded preceding and 1 preceding), 0) as first, row_number() over () as row
+    from words w join ranges r on r.source is not distinct from w.source
+),
+pieces as (select *, least(first + size, (block + 1) * {b}) - greatest(first, block * {b}) as words from (select row, source_no, first, size, unnest(range(cast(first // {b} as bigint), cast((first + size - 1) // {b} + 1 as bigint))) as block from placed where size > 0)),
+got as (select row, sum(words * times) as taken from pieces join times using (source_no, block) group by row)
+select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken from placed left join got using (row)"""
+    return sql
+
+
+def op13() -> str:
+    def sealed(of: str) -> str:
+        return f"case when {of} is null then '-' else strlen(cast({of} as varchar)) || ':' || {of} end"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(sealed(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    # The lowest bit of crc32 of the decimal id, byte by byte and bit by bit.
+    bits = "list_reduce(range(8), lambda c, _: xor(c >> 1, (c & 1) * 3988292384), {})"
+    crc = "xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint)), lambda acc, x: " + bits.format("xor(acc, x)") + ", cast(4294967295 as bigint)), 4294967295)"
+    f, most = merkle.FAN_OUT, 26
+    sql = f"""
+with leaves as materialized (
+    select doc_id, source, {leaf("text")} as digest, case when {crc} % 2 = 0 then {leaf("replace(text, chr(10), '')")} end as altered from documents
+),
+ranked as materialized (select *, dense_rank() over (order by source nulls first) - 1 as tree, row_number() over (partition by source order by doc_id nulls first, digest) - 1 as place, count(*) over (partition by source) as width from leaves),
+l0 as materialized (select tree, place, width, digest from ranked)"""
+
+    def levels(name: str, first: int) -> str:
+        return "".join(
+            f""",
+{name}{k} as materialized (
+    select tree, place // {f} as place, (any_value(width) + {f - 1}) // {f} as width, sha256(string_agg(digest, '' order by place)) as digest
+    from {name}{k - 1} where width > 1 group by tree, place // {f}
+)"""
+            for k in range(first, most + 1)
+        )
+
+    def proofs(name: str, start: str) -> str:
+        out = f""",
+{name}p{most} as materialized (select n.tree, n.place, s.subroot, s.proof from {name}{most} n join {start} s using (tree) where n.width = 1)"""
+        for k in range(most - 1, -1, -1):
+            out += f""",
+{name}p{k} as materialized (
+    select n.tree, n.place, s.subroot, s.proof from {name}{k} n join {start} s using (tree) where n.width = 1
+    union all
+    select n.tree, n.place, u.subroot, [{{'before': coalesce((select string_agg(x.digest, '' order by x.place) from {name}{k} x where x.tree = n.tree and x.place // {f} = n.place // {f} and x.place < n.place), ''),
+        'after': coalesce((select string_agg(x.digest, '' order by x.place) from {name}{k} x where x.tree = n.tree and x.place // {f} = n.place // {f} and x.place > n.place), '')}}] || u.proof
+    from {name}{k} n join {name}p{k + 1} u on u.tree = n.tree and u.place = n.place // {f} where n.width > 1
+)"""
+        return out
+
+    sql += levels("l", 1)
+    sql += ", subroots as materialized (" + " union all ".join(f"select tree, digest from l{k} where width = 1" for k in range(most + 1)) + ")"
+    sql += ", t0 as materialized (select cast(0 as bigint) as tree, tree as place, count(*) over () as width, digest from subroots)" + levels("t", 1)
+    sql += ", root as materialized (" + " union all ".join(f"select tree, digest from t{k} where width = 1" for k in range(most + 1)) + ")"
+    sql += ", top as (select tree, digest as subroot, cast([] as struct(\"before\" varchar, \"after\" varchar)[]) as proof from root)" + proofs("t", "top")
+    sql += ", over_tree as materialized (select p.place as tree, t0.digest as subroot, p.proof from tp0 p join t0 on t0.place = p.place)" + proofs("l", "over_tree")
+    sql += f""",
+made as (
+    select r.doc_id, r.digest as leaf, p.subroot, (select digest from root) as root, sha256(array_to_string(list_transform(p.proof, lambda s: s.before || s.after), '')) as proof_sha256,
+        list_reduce(list_transform(p.proof, lambda s: [s.before, s.after]), lambda acc, s: [sha256(s[1] || acc[1] || s[2])], [coalesce(altered, r.digest)])[1] as folded_root
+    from ranked r join lp0 p on p.tree = r.tree and p.place = r.place
+)
+select *, folded_root = root as verified from made"""
+    return sql
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_fixity": op1(), "op2_embedding_dedup": OP2, "op3_ngram_join": OP3, "op5_url_filter": op5()}
+    return {"op1_warc_fixity": op1(), "op2_embedding_dedup": OP2, "op3_ngram_join": OP3, "op5_url_filter": op5(), "op11_source_mix": op11(), "op13_merkle_manifest": op13()}
