@@ -14,7 +14,7 @@ from tessera.functions import normalize, quality
 from tessera.operators import admin, reports, search, state
 from tessera.plans.views import AS_OF, JOBS_AS_OF, JOBS_SQL, LOGS_SQL, jobs, logs, table
 from tessera.session import shared_dir
-from tessera.sources import feeds
+from tessera.sources import feeds, nodes
 from tessera.sources import pages as page_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -737,3 +737,48 @@ def label_file(spark, sf_dir):
     """Labels of a CSV file with a header."""
     l = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return feeds.label_file(spark, _written(l, "csv", header=True))
+
+
+# Pages as tables of nodes.
+
+
+@query("""with li as (select page_id, url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2)) as title, unnest(range(cast(len(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>')) as bigint))) as n from pages)
+    select page_id, n, title, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || href as apply_url from li where len(title) >= 5""")
+def page_div_records(spark, sf_dir):
+    """Records in divs and lists of the crawled pages, here lists of links that are told by their shape alone."""
+    found = nodes.div_records(nodes.page_trees(table(spark, sf_dir, "pages")))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), F.col("n").cast("long").alias("n"), "title", "apply_url")
+
+
+@query("""select page_id, len(regexp_extract_all(html, '<li>')) as n_items, len(regexp_extract_all(html, '<a ')) as n_links, len(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '<p>')) as n_paragraphs,
+    case when len(regexp_extract_all(html, '<li>')) > 0 then 1 else 0 end as n_item_shapes, case when contains(html, '<li>') then 3 end as item_level from pages""")
+def page_node_counts(spark, sf_dir):
+    """Items, links and paragraphs of each crawled page, how many shapes its items have and how deep they stand."""
+    rows = nodes.node_rows(nodes.page_trees(table(spark, sf_dir, "pages")))
+    out = rows.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(
+        F.count_if(F.col("tag") == "li").alias("n_items"), F.count_if(F.col("tag") == "a").alias("n_links"), F.count_if(F.col("tag") == "p").alias("n_paragraphs"),
+        F.count_distinct(F.when(F.col("tag") == "li", F.col("shape"))).alias("n_item_shapes"), F.max(F.when(F.col("tag") == "li", F.col("level") - 1)).alias("item_level"),
+    )
+    return out
+
+
+@query("""with kinds as (
+    select page_id, 'crawled' as kind, html from pages union all select page_id, 'linked', '<a href="x">' || coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') || '</a>' from pages union all
+    select page_id, 'tabled', '<table><tr><td>1</td></tr><tr><td>2</td></tr><tr><td>' || page_id || '</td></tr></table>' || html from pages union all
+    select page_id, 'marked', '<script type="application/ld+json">{}</script>' || html from pages union all select page_id, 'plain', regexp_replace(html, '<[^>]*>', ' ', 'g') from pages
+),
+n as (select page_id, kind, lower(html) as h from kinds),
+c as (select page_id, kind, contains(h, 'application/ld+json') as ld, len(regexp_extract_all(h, '<table')) as tables, len(regexp_extract_all(h, '<tr')) as trs, len(regexp_extract_all(h, '<li')) as lis, len(regexp_extract_all(h, '<a ')) as links from n),
+s as (select page_id, kind, case when ld then 0.95 else 0 end as j, case when tables > 0 and trs >= 3 then least(0.9, 0.5 + trs * 0.02) else 0 end as t, case when lis >= 3 then least(0.7, 0.3 + lis * 0.01) else 0 end as l, case when links > 0 then least(0.5, 0.2 + links * 0.01) else 0 end as a from c)
+select page_id, kind, case greatest(j, t, l, a, 0.1) when j then 'json_ld' when t then 'table' when l then 'list' when a then 'links' else 'generic' end as strategy, round(cast(greatest(j, t, l, a, 0.1) as double), 4) as confidence from s""")
+def page_strategies(spark, sf_dir):
+    """The way of extraction that each crawled page suggests: as it is, as a link, with a table, with JSON-LD, as plain text."""
+    p, html = table(spark, sf_dir, "pages"), F.col("html")
+    kinds = {
+        "crawled": html, "linked": F.concat(F.lit('<a href="x">'), F.coalesce(F.regexp_extract(html, "<title>([^<]*)</title>", 1), F.lit("")), F.lit("</a>")),
+        "tabled": F.concat(F.lit("<table><tr><td>1</td></tr><tr><td>2</td></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td></tr></table>"), html),
+        "marked": F.concat(F.lit('<script type="application/ld+json">{}</script>'), html), "plain": F.regexp_replace(html, "<[^>]*>", " "),
+    }
+    rows = p.select("page_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("html")) for k, h in kinds.items()])).alias("x")).select("page_id", "x.*")
+    s = page_source.strategy(F.col("html"))
+    return rows.select("page_id", "kind", s["strategy"].alias("strategy"), F.round(s["confidence"], 4).alias("confidence"))
