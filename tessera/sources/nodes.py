@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -94,8 +95,13 @@ class Nodes(HTMLParser):
 def read_page(html: str | None) -> tuple[str, list[dict]]:
     """Text and nodes of a page. Shapes are digests of a node's tag and its children's shapes, equal neighbours once."""
     p = Nodes()
-    p.feed(html or "")
-    p.close()
+    # What follows the last end of a tag holds no tag, so the parser does not look there for ends again and again.
+    whole, _, rest = (html or "").rpartition(">")
+    if whole:
+        p.feed(whole + ">")
+        p.close()
+    if rest:
+        p.handle_data(unescape(rest))
     p._close(0)
     text, nodes = "".join(p.parts), p.nodes
     children: list[list[int]] = [[] for _ in nodes]

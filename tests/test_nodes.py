@@ -75,7 +75,7 @@ def test_no_shuffle(spark):
 
 
 def test_malformed_and_deep_pages():
-    for html, tag in [("<a " * 20_000 + '"', None), ("<div>" * 20_000 + "x", "div"), ("<li>" * 20_000, "li"), ("</p>" * 20_000, None), ("<p>" * 20_000, "p"), ("<b><li>" * 5000, "li")]:
+    for html, tag in [("<a " * 20_000 + '"', None), ("<a " * 20_000 + '">', "a"), ("<!--" * 20_000 + ">", None), ("<" * 20_000 + ">", None), ("<div>" * 20_000 + "x", "div"), ("<li>" * 20_000, "li"), ("</p>" * 20_000, None), ("<p>" * 20_000, "p"), ("<b><li>" * 5000, "li")]:
         began = time.perf_counter()
         _, got = nodes.read_page(html)
-        assert time.perf_counter() - began < 20 and (tag is None or sum(n["tag"] == tag for n in got) == html.count(f"<{tag}>"))
+        assert time.perf_counter() - began < 5 and (tag is None or sum(n["tag"] == tag for n in got) == max(1, html.count(f"<{tag}>")))
