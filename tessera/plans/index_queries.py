@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 #: First line, source, the rest and language of a document as the texts of the classes A to D.
-PARTS_SQL = """parts as (
+PARTS_SQL = r"""parts as (
     select doc_id, 'A' as class, 1 as part, split_part(coalesce(text, ''), chr(10), 1) as t from documents union all
     select doc_id, 'B', 2, coalesce(source, '') from documents union all
     select doc_id, 'C', 3, substr(coalesce(text, ''), len(split_part(coalesce(text, ''), chr(10), 1)) + 1) from documents union all
@@ -36,7 +36,7 @@ PARTS_SQL = """parts as (
 ),
 tokens as (select doc_id, class, part, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) as word, generate_subscripts(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+'), 1) as i from parts),
 placed as (select doc_id, class, word, row_number() over (partition by doc_id order by part, i) as position from tokens),
-kept as (select * from placed where word not in (""" + ", ".join(f"'{w}'" for w in STOP_WORDS) + """)),
+kept as (select * from placed where word not in (""" + ", ".join(f"'{w}'" for w in STOP_WORDS) + r""")),
 vocabulary as (select distinct word from kept union select distinct unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) from benchmark),
 """ + stem_ctes("vocabulary") + """,
 lexemes as (select doc_id, class, position, stem from kept join stems using (word))"""

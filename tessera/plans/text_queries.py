@@ -13,7 +13,7 @@ from tessera.functions.constants import BLOCKED_LINKS, DETAIL_PARTS, LINK_WORDS,
 from tessera.operators import ml, reports, search, similar
 from tessera.plans.views import table
 from tessera.sources import pages as page_source
-from tessera.streaming import monitors
+from tessera.streaming import monitors, ordered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -273,6 +273,30 @@ def stateful_buckets(spark, sf_dir):
     return out.groupBy("key").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
 
 
+def calls(spark, sf_dir):
+    """The events as calls to eight services, 500 times as fast as they came, so that minutes hold many."""
+    s = monitors.events(spark, f"{sf_dir}/events.parquet", watermark=None)
+    at = F.lit(1.7e9) + (F.col("ts").cast("double") - 1.7e9) / 500
+    return s.select((F.col("user_id") % 8).alias("service"), "event_type", at.cast("timestamp").alias("ts")).withWatermark("ts", "30 seconds")
+
+
+@query()
+def breaker_changes(spark, sf_dir):
+    """When each service's breaker opens, is tried and closes: 300 seconds, 10 calls, a tenth, 60 seconds.
+
+    Minutes that the watermark has not passed at the end stay open. A test compares with a loop over the events.
+    """
+    out = ordered.timed_breaker(calls(spark, sf_dir), "service", "ts", F.col("event_type") == "error")
+    return monitors.run_once(out, rocksdb=True)
+
+
+@query()
+def bucket_passes(spark, sf_dir):
+    """Which calls of each service a token bucket lets pass, in order of event time (T4). A test compares with a loop."""
+    out = monitors.run_once(ordered.timed_bucket(calls(spark, sf_dir), "service", "ts", 3.0, 0.02), rocksdb=True)
+    return out.groupBy("key").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
+
+
 @query("select user_id, count(*) as n, cast(sum(case when event_type = 'error' then 1 else 0 end) as bigint) as n_failed from events group by 1")
 def stream_upserts(spark, sf_dir):
     """Counters per source kept by upserts of micro-batches; equal to the batch result (T5)."""

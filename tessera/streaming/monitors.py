@@ -22,8 +22,8 @@ from tessera.session import shared_dir
 BREAKER = {"window_s": 300, "least_calls": 10, "share": 0.10, "reset_s": 60}
 
 
-def events(spark: SparkSession, path: str, ts: str = "ts", watermark: str = "1 hour", per_trigger: int | None = None) -> DataFrame:
-    """A stream of a Parquet folder whose ``ts`` becomes a timestamp under a watermark."""
+def events(spark: SparkSession, path: str, ts: str = "ts", watermark: str | None = "1 hour", per_trigger: int | None = None) -> DataFrame:
+    """A stream of a Parquet folder whose ``ts`` becomes a timestamp, under a watermark if one is given."""
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
     if per_trigger:
@@ -31,7 +31,8 @@ def events(spark: SparkSession, path: str, ts: str = "ts", watermark: str = "1 h
     folder, _, name = path.rstrip("/").rpartition("/")
     # A stream reads folders; of a single file it reads the folder, filtered by name.
     stream = reader.option("pathGlobFilter", name).parquet(folder) if _is_file(spark, path) else reader.parquet(path)
-    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return stream.withWatermark(ts, watermark) if watermark else stream
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
