@@ -227,3 +227,40 @@ def test_main_text():
         assert html_main.main_text(page) == expected
     assert html_main.main_text(None) == ""
     assert html_main.main_text("<article>" + "<p>word word</p>" * 20000) == "\n".join(["word word"] * 20000)
+
+
+LONG = "<p>" + "A long paragraph with many words, and commas, that says a lot about the matter at hand. " * 3 + "</p>"
+PARTS = {
+    "<ul>" + "".join(f"<li>{w}</li>" for w in "Salt Pepper Oil Vinegar Sugar Flour Eggs Water".split()) + "</ul>": "Salt Pepper Oil Vinegar Sugar Flour Eggs Water".split(),
+    "<table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in [("Year", "Count")] + [(2000 + i, 13000 + i) for i in range(6)]) + "</table>": ["Year", "Count"] + [str(x) for i in range(6) for x in (2000 + i, 13000 + i)],
+    "<dl>" + "".join(f"<dt>T{i}</dt><dd>D{i}</dd>" for i in range(4)) + "</dl>": [x for i in range(4) for x in (f"T{i}", f"D{i}")],
+    "<ul>" + "".join(f'<li><a href="/r{i}">Reference {i}</a></li>' for i in range(6)) + "</ul>": [f"Reference {i}" for i in range(6)],
+}
+AROUND = ["<body><nav><a href=x>Menu</a></nav><article>%s</article><div class=comments><p>A comment, too.</p></div></body>", "<body><nav><a href=x>Menu</a></nav><div>%s</div><div><a href=a>Other</a> <a href=b>More</a></div></body>", "<body><main>%s</main><footer>f</footer></body>", "<body><ul><li><a href=m>Menu</a></ul>%s<footer>f</footer></body>"]
+
+
+@pytest.mark.parametrize("part", PARTS)
+def test_content_comes_whole(part):
+    paragraph = " ".join(LONG[3:-4].split())
+    for around in AROUND:
+        assert html_main.main_text(around % (LONG + part + LONG)).split("\n") == [paragraph, *PARTS[part], paragraph]
+        # At the end of what is no article, a list of links may be a menu.
+        if "href" not in part or "article" in around:
+            assert html_main.main_text(around % (LONG + LONG + part)).split("\n") == [paragraph, paragraph, *PARTS[part]]
+
+
+def test_pages_that_leave_tags_out():
+    assert html_main.main_text("<html><head><title>t</title><meta charset=x><p>Story goes here, and on.</p></html>") == "Story goes here, and on."
+    assert html_main.main_text("<title>t</title><style>p{}</style>Just text, no tags.") == "Just text, no tags."
+    assert html_main.main_text('<p>Before it, text.<svg><path d="x"><p>After the svg, more text.') == "Before it, text.\nAfter the svg, more text."
+    assert html_main.main_text('<p>One "quote, and < or <3 signs.</p><p title="x>Two, with a quote left open.</p>') == 'One "quote, and < or <3 signs.\nTwo, with a quote left open.'
+
+
+def test_a_megabyte_of_broken_tags_takes_seconds():
+    import time
+
+    # Each is about a megabyte; what took seconds for 24 kB before is linear.
+    for page in ("<a " * 333_000 + '"', "<a \"'>" * 170_000, "<div>x" * 170_000, "<li>x" * 200_000, "</b>" * 250_000, "<svg>" * 200_000, "<!--" * 250_000, "<" * 1_000_000, "<p><b>" * 160_000, "<td><table>" * 90_000):
+        began = time.perf_counter()
+        html_main.main_text(page)
+        assert time.perf_counter() - began < 15
