@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, by_groups, components, in_blocks, local_roots, materialize
+from tessera.llm.common import FILES_PER_CORE, bounded_batches, by_groups, components, in_blocks, local_roots, materialize
 
-#: Signs per table and tables: two vectors of cosine 0.98 agree in one sign with probability 0.936, in all 12 signs of
-#: a table with 0.453, and so meet in none of 24 tables with probability 5e-7.
-BITS, TABLES, SEED = 12, 24, 20
+#: Least signs per table, vectors of one label that a bucket has on average beyond that, and the probability with which
+#: two vectors at the least cosine meet in no table. At cosine 0.98 they agree in one sign with probability 0.936, in
+#: all 12 signs of a table with 0.453, and so meet in none of 24 tables with 5e-7.
+BITS, BUCKET, MISS, SEED = 12, 16, 6e-7, 20
 #: Vectors of one bucket that a block holds.
 BLOCK = 1024
 
@@ -23,6 +25,13 @@ def planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
 
 
+def signs_and_tables(n: int, least: float) -> tuple[int, int]:
+    """Signs per table for ``n`` vectors of one label, so that pairs in buckets grow in proportion to them, and the tables that miss no more than MISS."""
+    bits = min(31, max(BITS, math.ceil(math.log2(max(1, n) / BUCKET))))
+    meet = (1 - math.acos(min(1.0, least)) / math.pi) ** bits
+    return bits, 1 if meet >= 1 else math.ceil(math.log(MISS) / math.log(1 - meet))
+
+
 def compact(v: np.ndarray) -> bytes:
     """The bytes of a vector, as 32-bit floats where these are equal."""
     with np.errstate(over="ignore"):
@@ -35,7 +44,7 @@ def expanded(raw: bytes, dim: int) -> np.ndarray:
 
 
 def near_duplicates(
-    vectors: DataFrame, least: float = 0.98, bits: int = BITS, tables: int = TABLES, block: int = BLOCK, seed: int = SEED
+    vectors: DataFrame, least: float = 0.98, bits: int | None = None, tables: int | None = None, block: int = BLOCK, seed: int = SEED
 ) -> DataFrame:
     """Links vectors of one label whose cosine (in double precision) is ``least`` or more.
 
@@ -46,10 +55,12 @@ def near_duplicates(
     compared whole, in blocks of bounded size, to which each vector is sent once, as 32-bit floats where that loses
     nothing. A pair that meets in several tables is counted in the first only. Within a block a matrix product finds
     the links, and only counts and one edge to the smallest member of each local component leave it. Two vectors of
-    cosine c agree in one sign with probability p = 1 - acos(c) / pi, so a link is missed with (1 - p^bits)^tables.
+    cosine c agree in one sign with probability p = 1 - acos(c) / pi, so a link is missed with (1 - p^bits)^tables;
+    without ``bits`` and ``tables`` both come from the number of vectors (:func:`signs_and_tables`).
 
-    Repeated vec_ids count as vectors each and are one node; a null vec_id links with nothing; other columns are
-    ignored; an empty table gives no rows.
+    Rows that repeat a vec_id are vectors each, with links of their own, and one node: what one of them reaches, the
+    others reach. A row with a repeated vec_id that has no valid vector or label links with nothing. A null vec_id
+    links with nothing; other columns are ignored; an empty table gives no rows.
     """
     bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -66,9 +77,12 @@ def near_duplicates(
 
     packed_rows = rows.mapInPandas(packed, "vec_id long, label long, key binary, vec binary, dim int")
     classes = packed_rows.where("key is not null and label is not null and vec_id is not null").groupBy("label", "key")
-    classes = materialize(classes.agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vec").alias("vec"), F.first("dim").alias("dim")), compact=True)
-
-    tag = F.conv(F.substring(F.hex("key"), 1, 7), 16, 10).cast("int").alias("tag")
+    classes = classes.agg(F.min("vec_id").alias("low"), F.count("*").alias("size"), F.first("vec").alias("vec"), F.first("dim").alias("dim"))
+    # Numbers of the classes: any that differ, fixed by being written.
+    classes = materialize(classes.coalesce(FILES_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism).withColumn("rep", F.monotonically_increasing_id()))
+    if bits is None or tables is None:
+        most = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        bits, tables = signs_and_tables(most, least)
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, np.ndarray] = {}
@@ -81,15 +95,13 @@ def near_duplicates(
                 # A scale that keeps the sums finite; it changes no sign and no cosine.
                 out.append(((v / np.abs(v).max() @ known[dim]) >= 0).reshape(tables, bits) @ (1 << np.arange(bits)))
                 dims.append(dim)
-            yield pd.DataFrame({"label": batch["label"], "dim": dims, "rep": batch["rep"], "tag": batch["tag"], "each": out, "codes": [c.astype("<u4").tobytes() for c in out]})
+            yield pd.DataFrame({"label": batch["label"], "dim": dims, "rep": batch["rep"], "each": out, "codes": [c.astype("<u4").tobytes() for c in out]})
 
-    # A class is known by its smallest vec_id and, as a vec_id may be repeated, by some of its key.
-    signs = materialize(classes.select("label", "rep", "dim", "vec", tag).mapInPandas(signed, "label long, dim int, rep long, tag int, each array<int>, codes binary"))
-    in_tables = signs.select("label", "dim", "rep", "tag", F.posexplode("each").alias("t", "code"))
+    signs = materialize(classes.select("label", "rep", "dim", "vec").mapInPandas(signed, "label long, dim int, rep long, each array<int>, codes binary"))
+    in_tables = signs.select("label", "dim", "rep", F.posexplode("each").alias("t", "code"))
     blocks = in_blocks(in_tables, ["label", "dim", "t", "code"], "rep", block)
-    one = classes.select(F.col("rep").alias("w_rep"), tag.alias("w_tag"), "size", "vec")
-    whole = one.join(signs.select("rep", "tag", "codes"), (F.col("w_rep") == F.col("rep")) & (F.col("w_tag") == F.col("tag"))).drop("rep", "tag")
-    blocks = blocks.join(materialize(whole, compact=True), (F.col("rep") == F.col("w_rep")) & (F.col("tag") == F.col("w_tag"))).drop("w_rep", "w_tag", "tag")
+    whole = classes.select(F.col("rep").alias("w_rep"), "size", "vec").join(signs.select("rep", "codes"), F.col("w_rep") == F.col("rep")).drop("rep")
+    blocks = blocks.join(materialize(whole, compact=True), F.col("rep") == F.col("w_rep")).drop("w_rep")
 
     def compared(group: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
         rep, dim = group["rep"], int(group["dim"][0])
@@ -124,10 +136,16 @@ def near_duplicates(
     keys = ["label", "dim", "t", "code", "block_a", "block_b"]
     found = materialize(by_groups(blocks, keys, compared, "rep long, links long, root long"), compact=True)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "l_rep")
-    nodes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = classes.select(F.col("label").alias("c_label"), F.col("key").alias("c_key"), "rep", "size")
-    known = known.join(counts, F.col("rep") == F.col("l_rep"), "left").join(nodes, F.col("rep") == F.col("node"), "left")
-    known = materialize(known.select("c_label", "c_key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), compact=True)
-    out = packed_rows.select("vec_id", "label", "key").join(known, (F.col("label") == F.col("c_label")) & (F.col("key") == F.col("c_key")), "left")
+    of = classes.select(F.col("label").alias("c_label"), F.col("key").alias("c_key"), F.col("rep").alias("c_rep"))
+    members = packed_rows.select("vec_id", "label", "key").join(of, (F.col("label") == F.col("c_label")) & (F.col("key") == F.col("c_key")), "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("c_rep")).alias("rep"))
+    members = materialize(members, compact=True)
+    # Classes that share a vec_id are joined as well.
+    shared = members.where("rep is not null").groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+    shared = members.select(F.col("vec_id").alias("m_id"), F.col("rep").alias("m_rep")).join(shared, F.col("m_id") == F.col("vec_id")).where("m_rep <> a").select("a", F.col("m_rep").alias("b"))
+    nodes = materialize(components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(shared)), compact=True)
+    lows = classes.select("rep", "low").join(nodes, F.col("rep") == F.col("node")).groupBy(F.col("component").alias("of_component")).agg(F.min("low").alias("component_low"))
+    known = classes.select("rep", "low", "size").join(counts, F.col("rep") == F.col("l_rep"), "left").join(nodes, F.col("rep") == F.col("node"), "left").join(lows, F.col("component") == F.col("of_component"), "left")
+    known = materialize(known.select(F.col("rep").alias("k_rep"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_low", "low").alias("component")), compact=True)
+    out = members.join(known, F.col("rep") == F.col("k_rep"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

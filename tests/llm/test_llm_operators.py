@@ -70,6 +70,28 @@ def test_embeddings_against_all_pairs(spark):
         assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()} == expected
 
 
+def test_repeated_vec_ids_are_vectors_each(spark):
+    x, near, far = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 1.0, 0.0]
+    near_far = [0.0, 1.0, 0.02]
+    cases = [
+        ([(1, x), (1, near)], [(1, 1, 1), (1, 1, 1)]),
+        ([(1, x), (1, near), (2, x), (2, near)], [(1, 3, 1), (1, 3, 1), (2, 3, 1), (2, 3, 1)]),
+        ([(1, x), (1, far), (2, near)], [(1, 0, 1), (1, 1, 1), (2, 1, 1)]),
+        # What one vector of an id reaches, the other reaches.
+        ([(5, x), (5, far), (3, near), (4, near_far)], [(3, 1, 3), (4, 1, 3), (5, 1, 3), (5, 1, 3)]),
+        ([(1, x), (5, x), (5, far), (7, far)], [(1, 1, 1), (5, 1, 1), (5, 1, 1), (7, 1, 1)]),
+    ]
+    for rows, expected in cases:
+        df = spark.createDataFrame([(i, 0, v) for i, v in rows], "vec_id long, label int, embedding array<double>")
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()) == expected
+
+
+def test_signs_grow_with_the_vectors():
+    assert embedding_dedup.signs_and_tables(0, 0.98) == embedding_dedup.signs_and_tables(50_000, 0.98) == (12, 24)
+    bits, tables = embedding_dedup.signs_and_tables(10**9, 0.98)
+    assert 16 * 2**bits >= 10**9 and (1 - (1 - math.acos(0.98) / math.pi) ** bits) ** tables <= embedding_dedup.MISS and bits * tables < 2500
+
+
 def test_fixity_finds_what_was_done(spark):
     pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * (i * 37 % 900)) for i in range(3000)] + [(None, None, None)] * 3 + [(None, "u", "long " * 50_000)], "page_id long, url string, html string")
     records = warc_fixity.warc_records(pages)
