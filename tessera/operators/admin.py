@@ -157,6 +157,25 @@ def accuracy_rate(logs: DataFrame, ts: str, good: Column, as_of: str, days: int,
     return out.withColumn("rate", share(F.col("n_good") * 100, F.col("n"))).withColumn("passed", F.col("rate") >= least)
 
 
+def duplicate_urls(jobs: DataFrame, url: str, title: str, most: int | None = None) -> DataFrame:
+    """(url, n, titles): the urls, without query, fragment and last slash, that several records have, and their titles.
+
+    Titles are cut to 100 letters, Unknown where there is none, and sorted; a title that repeats is listed as often.
+    ``most`` keeps that many titles of each url, the first in order, which are found before any list is made.
+    """
+    plain = F.substring_index(F.substring_index(F.rtrim(F.trim(url), F.lit("/")), "#", 1), "?", 1)
+    rows = jobs.select(plain.alias("url"), F.substring(F.coalesce(F.col(title), F.lit("Unknown")), 1, 100).alias("title")).where("url <> ''")
+    # Equal titles are counted first, so that a url with very many records is as many rows as it has titles.
+    counted = rows.groupBy("url", "title").agg(F.count("*").alias("k"))
+    n = counted.groupBy(F.col("url").alias("n_url")).agg(F.sum("k").alias("n")).where("n > 1")
+    if most is not None:
+        counted = counted.withColumn("_r", F.row_number().over(Window.partitionBy("url").orderBy("title"))).where(F.col("_r") <= most)
+    listed = counted.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("title", "k"))).alias("t"))
+    titles = F.flatten(F.transform("t", lambda x: F.array_repeat(x["title"], x["k"].cast("int"))))
+    out = listed.join(n, F.col("url") == F.col("n_url"))
+    return out.select("url", "n", (titles if most is None else F.slice(titles, 1, most)).alias("titles"))
+
+
 def log_rows(events: DataFrame, message: str, most: int = 500, keep: tuple[str, ...] = ()) -> DataFrame:
     """Log entries to append: the message cut to ``most`` letters, with a mark where it was longer."""
     cut = F.when(F.length(message) > most, F.concat(F.substring(message, 1, most), F.lit("..."))).otherwise(F.col(message))

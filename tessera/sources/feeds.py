@@ -43,6 +43,48 @@ def rss_items(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.trim("title").alias("title"), F.trim("link").alias("apply_url"), F.trim("description").alias("description_snippet")).where("title <> '' and apply_url <> ''")
 
 
+FEED = (
+    "channel struct<item:array<struct<title:string,link:string,description:string,pubDate:string,guid:string,location:string>>>, item array<struct<title:string,link:string,description:string,pubDate:string,guid:string,location:string>>, "
+    "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,summary:string,content:string,updated:string,published:string,id:string,location:string>>, bad string"
+)
+
+
+def feed_items(documents: DataFrame, column: str) -> DataFrame:
+    """The items of feeds in a text column: the columns of ``documents``, position, title, apply_url, description_snippet, location_raw, posted.
+
+    RSS items stand in a channel or beside it, Atom entries in a feed; prefixes of names are ignored. An Atom entry's
+    link is the first that is not to something else of the entry; an item without a link takes its id where that is an
+    address. Items without a title or an address are left out; the snippet is the description's first 500 letters. Null
+    and empty texts, and feeds that are no XML, which :func:`broken_feeds` lists, have no items.
+    """
+    x = _feed(documents, column)
+    rss = F.transform(F.concat(*[F.coalesce(F.col(c), F.array()) for c in ("_feed.channel.item", "_feed.item")]), lambda i: F.struct(i["title"].alias("title"), F.coalesce(_filled(i["link"]), F.when(i["guid"].rlike("^https?://"), i["guid"])).alias("link"), i["description"].alias("description"), i["location"].alias("location"), i["pubDate"].alias("posted")))
+
+    def entry(e: Column) -> Column:
+        own = F.filter(e["link"], lambda a: F.coalesce(a["_rel"], F.lit("alternate")) == "alternate")
+        link = F.coalesce(_filled(F.get(own, F.lit(0))["_href"]), F.when(e["id"].rlike("^https?://"), e["id"]))
+        return F.struct(e["title"].alias("title"), link.alias("link"), F.coalesce(_filled(e["summary"]), e["content"]).alias("description"), e["location"].alias("location"), F.coalesce(e["published"], e["updated"]).alias("posted"))
+
+    items = F.concat(rss, F.transform(F.coalesce("_feed.entry", F.array()), entry))
+    rows = x.select(*documents.columns, F.posexplode(items).alias("position", "i"))
+    rows = rows.select(*documents.columns, "position", F.trim("i.title").alias("title"), F.trim("i.link").alias("apply_url"), F.substring(F.trim("i.description"), 1, 500).alias("description_snippet"), F.trim("i.location").alias("location_raw"), F.trim("i.posted").alias("posted"))
+    return rows.where("title <> '' and apply_url <> ''")
+
+
+def _filled(text: Column) -> Column:
+    return F.when(F.trim(text) != "", text)
+
+
+def _feed(documents: DataFrame, column: str) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "ignoreNamespace": "true"}
+    return documents.withColumn("_feed", F.from_xml(F.when(F.trim(column) != "", F.trim(column)), FEED, options))
+
+
+def broken_feeds(documents: DataFrame, column: str) -> DataFrame:
+    """The feeds that are no XML, to be kept aside."""
+    return _feed(documents, column).where("_feed.bad is not null").drop("_feed")
+
+
 def json_items(documents: DataFrame, column: str, base_url: Column | None = None) -> DataFrame:
     """Records of JSON documents: the list is at the root or under one of the known names; fields by any of their names.
 
