@@ -14,7 +14,7 @@ from tessera.functions import normalize, quality
 from tessera.operators import admin, reports, search, state
 from tessera.plans.views import AS_OF, JOBS_AS_OF, JOBS_SQL, LOGS_SQL, jobs, logs, table
 from tessera.session import shared_dir
-from tessera.sources import feeds, nodes
+from tessera.sources import feeds, nodes, plugins
 from tessera.sources import pages as page_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -782,3 +782,21 @@ def page_strategies(spark, sf_dir):
     rows = p.select("page_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("html")) for k, h in kinds.items()])).alias("x")).select("page_id", "x.*")
     s = page_source.strategy(F.col("html"))
     return rows.select("page_id", "kind", s["strategy"].alias("strategy"), F.round(s["confidence"], 4).alias("confidence"))
+
+
+@query("""with p as (select page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) as host, case page_id % 6 when 0 then 'undp' when 1 then 'unesco' when 2 then 'unicef' when 3 then 'amnesty' when 4 then 'save_the_children' else 'generic' end as plugin, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as t,
+        regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2) as words from pages)
+    select page_id, plugin, 0 as n, 'Senior Officer ' || page_id as title, host || case when page_id % 6 = 0 then '/view/' || (10000 + page_id) else '/job/' || page_id end as apply_url, 'Rome' as location, '2024-05-01' as deadline from p""")
+def site_plugin_records(spark, sf_dir):
+    """Crawled pages with a posting in the form of each site, read by that site's plugin through a lateral join."""
+    k, n = F.col("page_id") % 6, F.col("page_id").cast("string")
+    officer = F.concat(F.lit("Senior Officer "), n)
+    rows = F.concat(F.lit("<table><tr><td>Job Title "), officer, F.lit("\n</td><td><a href='/jobs'>list</a><a href='/view/"), (F.col("page_id") + 10000).cast("string"), F.lit("'>open</a></td><td>Location: Rome\nApply by: 2024-05-01\n</td></tr></table>"))
+    table_ = F.concat(F.lit("<table><thead><tr><th>Title</th><th>Duty station</th><th>Deadline</th></tr></thead><tr><td><a href='/job/"), n, F.lit("'>"), officer, F.lit("</a></td><td>Rome</td><td>2024-05-01</td></tr></table>"))
+    card = F.concat(F.lit("<div class='job-card'><h3>"), officer, F.lit("</h3><a href='/job/"), n, F.lit("'>Read</a>\nLocation: Rome\nDeadline: 2024-05-01\n</div>"))
+    two = F.concat(card, F.lit("<div class='job-card'><h3>Follow us and search</h3><a href='/x'>x</a></div>"))
+    # The site whose articles are containers gets no article, so that its next way is tried.
+    html = F.when(k == 0, F.concat(rows, F.col("html"))).when(k == 1, F.concat(table_, F.col("html"))).when(k == 2, F.concat(card, F.regexp_replace("html", "</?article>", ""))).when(k.isin(3, 4), F.concat(two, F.col("html"))).otherwise(F.concat(table_, F.col("html")))
+    names = F.element_at(F.array(*[F.lit(x) for x in ("undp", "unesco", "unicef", "amnesty", "save_the_children", "generic")]), (k + 1).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"), names.alias("wanted"))
+    return plugins.site_records(spark, pages, preferred="wanted").select("page_id", "plugin", "n", "title", "apply_url", "location", "deadline")
