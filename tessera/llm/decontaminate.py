@@ -45,6 +45,33 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, at
 
 
+def aligned_from(item: np.ndarray, passage: np.ndarray) -> int:
+    """Where in ``passage`` the best alignment begins that ends with it, or a share of it that has the best score.
+
+    The cells of the same rows carry where their alignment began: that of the match or mismatch before them first, then
+    of the gap in the passage, then of the gap in the item.
+    """
+    n = len(passage)
+    steps, places = np.arange(n + 1) * -GAP, np.arange(n + 1)
+    row, begin = np.zeros(n + 1, np.int64), places.copy()
+    best, found = 0, 0
+    for word in item:
+        both = np.zeros(n + 1, np.int64)
+        both[1:] = row[:-1] + np.where(passage == word, MATCH, MISMATCH)
+        over = row + GAP
+        over[0] = 0
+        new = np.maximum(np.maximum(both, over), 0)
+        start = np.where(new == 0, places, np.where((both == new) & (places > 0), np.r_[0, begin[:-1]], begin))
+        # Along the row a gap comes from the last cell whose own score it continues.
+        raised = new + steps
+        top = np.maximum.accumulate(raised)
+        source = np.maximum.accumulate(np.where(raised == top, places, 0))
+        row, begin = top - steps, start[source]
+        if (most := int(row.max())) > best:
+            best, found = most, int(begin[int(row.argmax())])
+    return found
+
+
 class Seeds:
     """The n-grams of a block of benchmark items, looked up in a text by binary search."""
 
@@ -87,62 +114,63 @@ class Seeds:
         hit = self.keys_all[found] == keys[places]
         return words, places[hit], found[hit]
 
-    def rare(self, counts: np.ndarray, n_docs: int, share: float) -> np.ndarray:
-        """The seeds that at most a share of the documents hold, for callers who accept to miss copies held by more.
-
-        ``contaminated`` uses all seeds.
-        """
-        return counts <= share * n_docs
-
     def shared(self, i: int, words: np.ndarray) -> int:
         """How many words of item ``i``, each as often as it stands there, are among ``words``: no alignment matches more."""
         own, counts = self.own[i]
         at = np.searchsorted(own, words).clip(max=len(own) - 1)
         return int(np.minimum(np.bincount(at[own[at] == words], minlength=len(own)), counts).sum())
 
-    def copies(self, text: str | None, use: np.ndarray | None, least: float) -> list[tuple[int, float, int, int]]:
-        """(item id, score, first word, last word + 1) of the best copy of each item that the text holds.
+    def copies(self, text: str | None, held: np.ndarray | None, least: float) -> list[tuple[int, float, int, int]]:
+        """(item id, score, first word, last word + 1) of the best copy of each item that the text holds, the first of equal ones.
 
-        Only seeds of ``use`` count, all where that is None. An alignment of m matches scores at most MATCH * m, so
-        where too few of the words around the seeds are the item's it is not made.
+        ``held`` says how many documents hold each seed. The words around the rarest seeds are aligned first. An
+        alignment of m matches scores at most MATCH * m, so where too few of the words around the others are the item's
+        to reach ``least``, or what is found already, none is made: common seeds cost next to nothing and lose nothing.
         """
         words, places, seeds = self.find(text)
-        near: dict[int, list[int]] = {}
-        for p, s in zip(places.tolist(), seeds.tolist(), strict=True):
-            if use is None or use[s]:
-                for i in self.owners[s]:
-                    near.setdefault(i, []).append(p)
+        near: dict[int, list[tuple[int, int]]] = {}
+        rarity = held[seeds].tolist() if held is not None else [0] * len(seeds)
+        for p, s, n in zip(places.tolist(), seeds.tolist(), rarity, strict=True):
+            for i in self.owners[s]:
+                near.setdefault(i, []).append((p, n))
         out = []
         for i, at in near.items():
             item, best = self.items[i], (0.0, 0, 0)
             reach = 2 * len(item)
-            start = at[0]
-            for k, p in enumerate(at):
-                if k + 1 == len(at) or at[k + 1] - p > reach:
-                    low, high = max(0, start - reach), min(len(words), p + reach + self.n)
-                    if self.shared(i, words[low:high]) >= least * len(item):
-                        score, end = align(item, words[low:high])
-                        if score / (MATCH * len(item)) > best[0]:
-                            best = (score / (MATCH * len(item)), max(low, low + end - len(item)), low + end)
+            windows, start, rarest = [], at[0][0], at[0][1]
+            for k, (p, n) in enumerate(at):
+                rarest = min(rarest, n)
+                if k + 1 == len(at) or at[k + 1][0] - p > reach:
+                    windows.append((rarest, max(0, start - reach), min(len(words), p + reach + self.n)))
                     if k + 1 < len(at):
-                        start = at[k + 1]
+                        start, rarest = at[k + 1]
+            for _, low, high in sorted(windows):
+                most = self.shared(i, words[low:high]) / len(item)
+                if most < least or (most, -low) < (best[0], -best[1]):
+                    continue
+                score, end = align(item, words[low:high])
+                share = score / (MATCH * len(item))
+                if (share, -low) > (best[0], -best[1]):
+                    best = (share, low, low + end)
             if best[0] >= least:
-                out.append((self.ids[i], *best))
+                out.append((self.ids[i], best[0], best[1] + aligned_from(item, words[best[1] : best[2]]), best[2]))
         return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, items: int = ITEMS) -> DataFrame:
     """Documents that hold a copy, paraphrased or edited, of a benchmark item: doc_id, item_id, score, start, end.
 
-    Words are runs of letters, digits and underscores in lower case. Where a document holds any n-gram of an item,
-    however common, the item is aligned with the words around it, so no result depends on the other documents. A copy
-    of which no SEED_WORDS words in a row are left is not found.
-    ``score`` is the alignment's share of the item's greatest score (1 for a verbatim copy), ``start`` and ``end``
-    count words. Documents are never shuffled: only blocks of about ``items`` benchmark items are sent to them, and documents are read once
-    for each block.
+    Words are runs of letters, digits and underscores in lower case. Documents that hold an n-gram of an item are joined
+    to it, rare n-grams first: how many documents hold each is counted before. Common ones are followed too wherever
+    the words around them could still score enough, so no result depends on the other documents. A copy of which no
+    SEED_WORDS words in a row are left is not found.
+    ``score`` is the alignment's share of the item's greatest score (1 for a verbatim copy), ``start`` and ``end`` are
+    its first word and the one after its last; of equal alignments of an item the first in the text is reported.
+    Documents are never shuffled: only blocks of about ``items`` benchmark items are sent to them, and documents are
+    read twice for each block, once for the counts, of which there is one for each n-gram of the block.
 
     Items without words and null ids are left out; null and empty texts match nothing; repeated rows and repeated items
-    give a row each; other columns are ignored.
+    give a row each; other columns are ignored. A very long text is aligned only around its seeds, one window at a time.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -162,10 +190,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
 def _against(spark, rows: DataFrame, seeds: Seeds, least: float, schema: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(seeds)
 
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = shared.value
+        counts = np.zeros(len(index.keys_all), np.int64)
+        for batch in slices(batches):
+            for text in batch["text"]:
+                counts[np.unique(index.find(text)[2])] += 1
+        held = np.flatnonzero(counts)
+        yield pd.DataFrame({"seed": held, "n": counts[held]})
+
+    counts = np.zeros(len(seeds.keys_all), np.int64)
+    found = rows.select("text").mapInPandas(counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
+    counts[found["seed"].to_numpy(np.int64)] = found["n"]
+    held = spark.sparkContext.broadcast(counts)
+
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for batch in slices(batches):
-            found = [(d, *c) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for c in index.copies(t, None, least)]
-            yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "start", "end"])
+            rows_ = [(d, *c) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for c in index.copies(t, held.value, least)]
+            yield pd.DataFrame(rows_, columns=["doc_id", "item_id", "score", "start", "end"])
 
     return rows.mapInPandas(aligned, schema)

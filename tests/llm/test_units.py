@@ -140,7 +140,7 @@ def test_seeds_find_edited_copies():
     words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(900)]
     items = [(i, " ".join(rng.sample(words, 30))) for i in range(20)]
     seeds = decontaminate.Seeds(items)
-    use = seeds.rare(np.zeros(len(seeds.keys_all), np.int64), 100, 1e-3)
+    use = np.array([rng.randrange(50) for _ in seeds.keys_all])
     for i, text in items:
         copy = text.split()
         for k in range(4, 30, 6):
@@ -264,3 +264,51 @@ def test_a_megabyte_of_broken_tags_takes_seconds():
         began = time.perf_counter()
         html_main.main_text(page)
         assert time.perf_counter() - began < 15
+
+
+def plain_span(item, passage):
+    """First best alignment by a table of scores, traced back: match or mismatch first, then a gap in the passage, then in the item."""
+    m, n = len(item), len(passage)
+    h = [[0] * (n + 1) for _ in range(m + 1)]
+    for i in range(1, m + 1):
+        for j in range(1, n + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (2 if item[i - 1] == passage[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+    best = max(max(r) for r in h)
+    if not best:
+        return 0, 0, 0
+    i, j = next((i, j) for i in range(m + 1) for j in range(n + 1) if h[i][j] == best)
+    end = j
+    while h[i][j]:
+        if h[i][j] == h[i - 1][j - 1] + (2 if item[i - 1] == passage[j - 1] else -1):
+            i, j = i - 1, j - 1
+        elif h[i][j] == h[i - 1][j] - 1:
+            i -= 1
+        else:
+            j -= 1
+    return best, j, end
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=8), st.lists(st.integers(0, 3), min_size=1, max_size=14))
+def test_spans_equal_a_traceback(item, passage):
+    item, passage = np.array(item), np.array(passage)
+    score, end = decontaminate.align(item, passage)
+    best, start, stop = plain_span(item.tolist(), passage.tolist())
+    assert (score, end) == (best, stop) and (not best or decontaminate.aligned_from(item, passage[:end]) == start)
+
+
+def test_copies_give_the_span_of_the_copy():
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
+    item = rng.sample(words[:200], 15)
+    seeds = decontaminate.Seeds([(7, " ".join(item))])
+    plain = rng.choices(words[200:], k=40)
+    text = plain[:10] + item[:10] + plain[10:]
+    for held in (None, np.zeros(len(seeds.keys_all), np.int64), np.arange(len(seeds.keys_all))):
+        # Ten words of the item, then all of it with words put in between.
+        assert seeds.copies(" ".join(text), held, 0.5) == [(7, 20 / 30, 10, 20)]
+        edited = plain[:10] + item[:5] + ["new", "ones"] + item[5:] + plain[10:]
+        assert seeds.copies(" ".join(edited), held, 0.5) == [(7, 28 / 30, 10, 27)]
+        # Of two equal copies the first, whichever's seeds are rarer.
+        assert seeds.copies(" ".join(text + plain + item[:10]), held, 0.5) == [(7, 20 / 30, 10, 20)]
+        assert seeds.copies(" ".join(text + plain * 3 + item), held, 0.5)[0][1:] == (1.0, len(text) + 120, len(text) + 135)
