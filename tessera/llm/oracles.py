@@ -113,7 +113,13 @@ from roots r left join sizes z on z.volume = r.volume left join compared c on c.
 
 
 def op5() -> str:
-    w, z = url.PRIOR_WEIGHT, url.Z
+    z, low, high = url.Z, 1 / (1 + url.MOST_WEIGHT), 1 / (1 + url.LEAST_WEIGHT)
+
+    def weight(b: str, n: str, m: str) -> str:
+        b, n = f"cast({b} as double)", f"cast({n} as double)"
+        full = f"sum({n} * ({n} - 1) * {m} * (1 - {m}))"
+        return f"case when coalesce({full}, 0) <= 0 then {url.PRIOR_WEIGHT} else 1 / least(greatest(sum(({b} - {n} * {m}) * ({b} - {n} * {m}) - {n} * {m} * (1 - {m})) / {full}, {low!r}), {high!r}) - 1 end"
+
     fits = sorted(url.RULES, key=lambda r: -len(r[1] + r[2]))
     cond = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in fits]
     rule = "case " + " ".join(f"{c} then '{h}{p}'" for c, (_, h, p) in zip(cond, fits, strict=True)) + " end"
@@ -130,11 +136,17 @@ counted as (select host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9
 hosts as (select host, case when {address} then name else array_to_string({labels}[-2 - {two}:], '.') end as domain,
     case when {address} then '' else array_to_string({labels}[-1 - {two}:], '.') end as suffix, n_bad, n_pages from counted),
 top as (select (coalesce(sum(n_bad), 0) + 1) / (coalesce(sum(n_pages), 0) + 20) as m from hosts),
-suffixes as (select suffix, ({w} * (select m from top) + sum(n_bad)) / ({w} + sum(n_pages)) as m from hosts group by suffix),
-domains as (select h.domain, sum(n_pages) as d_pages, ({w} * any_value(s.m) + sum(n_bad)) / ({w} + sum(n_pages)) as m from hosts h join suffixes s on s.suffix = h.suffix group by h.domain),
-beta as (select host, n_pages, d_pages, {w} * m + n_bad as a, {w} * (1 - m) + n_pages - n_bad as b from hosts h join domains d on d.domain = h.domain),
-judged as (select host, n_pages, d_pages, a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as bad_low from beta)
-select p.page_id, p.host, p.path, {rule.replace('host', 'p.host').replace('path', 'p.path')} as rule, {verdict.replace('host', 'p.host').replace('path', 'p.path')} as verdict, j.n_pages as n_labelled
+suffix_sums as (select suffix, sum(n_bad) as b, sum(n_pages) as n, (select m from top) as m from hosts group by suffix),
+suffix_weight as (select {weight("b", "n", "m")} as w from suffix_sums),
+suffixes as (select suffix, (w * m + b) / (w + n) as m from suffix_sums, suffix_weight),
+domain_sums as (select h.domain, any_value(s.m) as m, sum(n_bad) as b, sum(n_pages) as n from hosts h join suffixes s on s.suffix = h.suffix group by h.domain),
+domain_weight as (select {weight("b", "n", "m")} as w from domain_sums),
+domains as (select domain, n as d_pages, (w * m + b) / (w + n) as m from domain_sums, domain_weight),
+host_sums as (select host, n_pages, d_pages, n_bad, m from hosts h join domains d on d.domain = h.domain),
+host_weight as (select {weight("n_bad", "n_pages", "m")} as w from host_sums),
+beta as (select host, n_pages, d_pages, w * m + n_bad as a, w * (1 - m) + n_pages - n_bad as b from host_sums, host_weight),
+judged as (select host, n_pages, d_pages, a / (a + b) as bad_share, a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as bad_low from beta)
+select p.page_id, p.host, p.path, {rule.replace('host', 'p.host').replace('path', 'p.path')} as rule, {verdict.replace('host', 'p.host').replace('path', 'p.path')} as verdict, round(j.bad_share, 6) as bad_share, round(j.bad_low, 6) as bad_low, j.n_pages as n_labelled
 from parts p join judged j on j.host = p.host"""
 
 

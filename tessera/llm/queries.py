@@ -49,7 +49,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_reputation.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("bad_share", 6).alias("bad_share"), F.round("bad_low", 6).alias("bad_low"), "n_labelled")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: How many labelled pages a prior counts for at each level below the whole corpus.
-PRIOR_WEIGHT = 8.0
+#: How many labelled pages a prior counts for at a level where nothing can be learned of it, and the least and most.
+PRIOR_WEIGHT, LEAST_WEIGHT, MOST_WEIGHT = 8.0, 0.5, 1000.0
 #: A host is blocked when its share of bad pages lies above this with the confidence of Z normal deviations.
 BAD_SHARE, Z = 0.2, 1.2815515655446004
 #: Labels that form a suffix together with a country's two letters, as in co.uk.
@@ -68,38 +68,59 @@ def two_labels(second_level: tuple[str, ...]) -> str:
     return r"(?:^|\.)(?:" + "|".join(second_level) + r")\.[a-z][a-z]$"
 
 
-def reputation(hosts: DataFrame, prior_weight: float = PRIOR_WEIGHT, z: float = Z) -> DataFrame:
+def spread(bad: Column, n: Column, mean: Column) -> tuple[Column, Column]:
+    """Excess of the outcomes' squared deviations over those of independent pages, and what a correlation of 1 would make of it."""
+    return F.sum((bad - n * mean) * (bad - n * mean) - n * mean * (1 - mean)), F.sum(n * (n - 1) * mean * (1 - mean))
+
+
+def prior_weight(groups: DataFrame, bad: str, n: str, mean: Column) -> float:
+    """The pages that a prior counts for, by moments: with prior means m the outcomes of groups of n pages have variance
+    n m (1 - m) (1 + (n - 1) r), r = 1 / (weight + 1). Groups that differ much have a weak prior, alike ones a strong one.
+
+    Without a group of two labelled pages or more it is PRIOR_WEIGHT; it stays between LEAST_WEIGHT and MOST_WEIGHT.
+    """
+    above, full = groups.agg(*spread(F.col(bad).cast("double"), F.col(n).cast("double"), mean)).first()
+    if not full or full <= 0:
+        return PRIOR_WEIGHT
+    return 1 / min(max(above / full, 1 / (1 + MOST_WEIGHT)), 1 / (1 + LEAST_WEIGHT)) - 1
+
+
+def reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     """Shrinks labelled outcomes from the corpus to suffix, registered domain and host.
 
     ``hosts(host, domain, suffix, n_bad, n_pages)`` has one row per host. At each level a beta-binomial posterior mean
     becomes the prior mean of the next: with prior mean m and weight w, n pages of which b are bad give
-    alpha = w m + b, beta = w (1 - m) + n - b. Returns per host the posterior ``bad_share`` and its lower bound
-    ``bad_low`` (mean less z standard deviations), and the labelled pages of the host and of its domain. The corpus
-    mean is (bad + 1) / (pages + 20), which is 1/20 where nothing is labelled.
+    alpha = w m + b, beta = w (1 - m) + n - b. The weights come from the spread between the suffixes, between the
+    domains of a suffix and between the hosts of a domain (:func:`prior_weight`). Returns per host the posterior
+    ``bad_share`` and its lower bound ``bad_low`` (mean less z standard deviations), and the labelled pages of the host
+    and of its domain. The corpus mean is (bad + 1) / (pages + 20), which is 1/20 where nothing is labelled.
     """
-    w = F.lit(float(prior_weight))
-    total = hosts.agg(F.sum("n_bad").alias("t_bad"), F.sum("n_pages").alias("t_pages"))
-    top = total.select(((F.coalesce("t_bad", F.lit(0)) + 1) / (F.coalesce("t_pages", F.lit(0)) + 20)).alias("m_all"))
-    domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n_bad").alias("d_bad"), F.sum("n_pages").alias("d_pages")))
-    suffixes = domains.groupBy("suffix").agg(F.sum("d_bad").alias("s_bad"), F.sum("d_pages").alias("s_pages"))
-    # One row: the join with it neither shuffles nor multiplies rows.
-    suffixes = suffixes.join(F.broadcast(top)).select(F.col("suffix").alias("s_key"), ((w * F.col("m_all") + F.col("s_bad")) / (w + F.col("s_pages"))).alias("m_suffix"))
-    suffixes = materialize(suffixes)
-    domains = domains.join(suffixes, F.col("suffix").eqNullSafe(F.col("s_key")))
-    domains = materialize(domains.select(F.col("domain").alias("d_key"), "d_pages", ((w * F.col("m_suffix") + F.col("d_bad")) / (w + F.col("d_pages"))).alias("m_domain")))
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n_bad").alias("d_bad"), F.sum("n_pages").alias("d_pages")), compact=True)
+    suffixes = materialize(domains.groupBy("suffix").agg(F.sum("d_bad").alias("s_bad"), F.sum("d_pages").alias("s_pages")), compact=True)
+    bad, pages = suffixes.agg(F.coalesce(F.sum("s_bad"), F.lit(0)), F.coalesce(F.sum("s_pages"), F.lit(0))).first()
+
+    def mean_of(groups: DataFrame, bad: str, n: str, prior: Column) -> Column:
+        w = prior_weight(groups, bad, n, prior)
+        return (w * prior + F.col(bad)) / (w + F.col(n))
+
+    top = F.lit((bad + 1) / (pages + 20))
+    suffixes = suffixes.select(F.col("suffix").alias("s_key"), mean_of(suffixes, "s_bad", "s_pages", top).alias("m_suffix"))
+    domains = materialize(domains.join(suffixes, F.col("suffix").eqNullSafe(F.col("s_key"))).drop("s_key"), compact=True)
+    domains = domains.select(F.col("domain").alias("d_key"), "d_pages", mean_of(domains, "d_bad", "d_pages", F.col("m_suffix")).alias("m_domain"))
+    known = materialize(hosts.join(domains, F.col("domain") == F.col("d_key")), compact=True)
+    w = prior_weight(known, "n_bad", "n_pages", F.col("m_domain"))
     alpha, beta = w * F.col("m_domain") + F.col("n_bad"), w * (1 - F.col("m_domain")) + F.col("n_pages") - F.col("n_bad")
     share = alpha / (alpha + beta)
     deviation = F.sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1)))
-    return hosts.join(domains, F.col("domain") == F.col("d_key")).select(
-        F.col("host"), share.alias("bad_share"), (share - z * deviation).alias("bad_low"), F.col("n_pages").alias("n_labelled"), F.col("d_pages").alias("n_domain")
-    )
+    return known.select(F.col("host"), share.alias("bad_share"), (share - z * deviation).alias("bad_low"), F.col("n_pages").alias("n_labelled"), F.col("d_pages").alias("n_domain"))
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, bad_share: float = BAD_SHARE, prior_weight: float = PRIOR_WEIGHT, z: float = Z) -> DataFrame:
-    """Judges every page by its url: page_id, host, path, rule, verdict, bad_low, n_labelled.
+def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, bad_share: float = BAD_SHARE, z: float = Z) -> DataFrame:
+    """Judges every page by its url: page_id, host, path, rule, verdict, bad_share, bad_low, n_labelled.
 
     A page's outcome is the label of the document that the number in the path names (``/en/25`` is doc_id 25): bad
-    when quality is 0, good when it is 1, unlabelled else. The longest rule that fits decides; where none does, the
+    when quality is 0, good when it is 1, unlabelled else. The longest rule that fits decides, of equally long ones the first
+    of the list; where none does, the
     page is blocked if the lower posterior bound of its host's share of bad pages exceeds ``bad_share`` and its host or
     registered domain has a labelled page, else allowed: prior outcomes of other domains alone block nothing.
     A null url or one without ``://`` has host and path empty, forms one host '' and is judged like any other.
@@ -115,9 +136,9 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, bad_share: floa
     domain, suffix = levels(F.col("host"))
     hosts = seen.groupBy("host").agg(F.count_if(F.col("quality") == 0).alias("n_bad"), F.count("quality").alias("n_pages"))
     hosts = materialize(hosts.withColumns({"domain": domain, "suffix": suffix}))
-    judged = materialize(reputation(hosts, prior_weight, z))
+    judged = materialize(reputation(hosts, z))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     by_host = F.when((F.col("bad_low") > bad_share) & (F.col("n_domain") > 0), "block").otherwise("allow")
     return parts.join(judged.withColumnRenamed("host", "judged_host"), F.col("host") == F.col("judged_host"), "left").select(
-        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), "bad_low", "n_labelled"
+        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), "bad_share", "bad_low", "n_labelled"
     )

@@ -515,3 +515,20 @@ def test_bpe_query_equals_the_library(spark, duck):
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         decoded = library.decode(ids, skip_special_tokens=False)
         assert got[r.doc_id] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_strength_of_priors_is_learned(spark):
+    def weight(rows):
+        df = spark.createDataFrame(rows, "b long, n long, m double")
+        return url_reputation.prior_weight(df, "b", "n", F.col("m"))
+
+    rng = np.random.default_rng(1)
+    alike = [(int(rng.binomial(40, 0.3)), 40, 0.3) for _ in range(400)]
+    apart = [(40 if i % 10 < 3 else 0, 40, 0.3) for i in range(400)]
+    true = [(int(rng.binomial(40, p)), 40, 0.3) for p in rng.beta(6, 14, 2000)]
+    assert weight(apart) == pytest.approx(url_reputation.LEAST_WEIGHT) and weight(alike) > 100 and 14 < weight(true) < 28
+    assert weight([(1, 1, 0.5), (0, 0, 0.5)]) == weight([]) == url_reputation.PRIOR_WEIGHT and weight([(0, 9, 0.0)]) == url_reputation.PRIOR_WEIGHT
+    # The same outcomes of one host count for more or less as its siblings are apart or alike.
+    hosts = [(f"{k}.d.com", "d.com", "com", b, n) for k, (b, n) in enumerate([(6, 10)] + [(0, 40), (40, 40)] * 10)], [(f"{k}.d.com", "d.com", "com", b, n) for k, (b, n) in enumerate([(6, 10)] + [(20, 40)] * 20)]
+    apart, alike = ({r.host: r for r in url_reputation.reputation(spark.createDataFrame(h, "host string, domain string, suffix string, n_bad long, n_pages long")).collect()} for h in hosts)
+    assert apart["0.d.com"].bad_share == pytest.approx(0.6, abs=0.02) and alike["0.d.com"].bad_share == pytest.approx(0.5, abs=0.02) and apart["2.d.com"].bad_low > 0.9 > 0.02 > apart["1.d.com"].bad_share
