@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, slices
+from tessera.llm.common import bounded_batches, materialize, slices
 
 #: Words of a seed. A benchmark of more items than ITEMS, or more letters than LETTERS, is taken in blocks of so many on
 #: average: the bound of what is broadcast.
@@ -120,41 +120,58 @@ class Seeds:
         at = np.searchsorted(own, words).clip(max=len(own) - 1)
         return int(np.minimum(np.bincount(at[own[at] == words], minlength=len(own)), counts).sum())
 
-    def copies(self, text: str | None, held: np.ndarray | None, least: float) -> list[tuple[int, float, int, int]]:
-        """(item id, score, first word, last word + 1) of the best copy of each item that the text holds, the first of equal ones.
+    def windows(self, i: int, at: list[tuple[int, int]], n_words: int) -> list[tuple[int, int, int]]:
+        """(least rarity, first word, last word + 1) of the stretches around an item's seeds, given as places and rarities in order."""
+        reach = 2 * len(self.items[i])
+        out, start, rarest = [], at[0][0], at[0][1]
+        for k, (p, n) in enumerate(at):
+            rarest = min(rarest, n)
+            if k + 1 == len(at) or at[k + 1][0] - p > reach:
+                out.append((rarest, max(0, start - reach), min(n_words, p + reach + self.n)))
+                if k + 1 < len(at):
+                    start, rarest = at[k + 1]
+        return out
+
+    def candidates(self, words: np.ndarray, places: np.ndarray, seeds: np.ndarray, least: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, first word, words from there on, places of its seeds among them, seeds) of the items that a text may hold a copy of.
 
-        ``held`` says how many documents hold each seed. The words around the rarest seeds are aligned first. An
-        alignment of m matches scores at most MATCH * m, so where too few of the words around the others are the item's
-        to reach ``least``, or what is found already, none is made: common seeds cost next to nothing and lose nothing.
+        An alignment of m matches scores at most MATCH * m, so an item is none where too few of the words around its
+        seeds are its own; the words are those from the first stretch around seeds that may do to the last.
         """
-        words, places, seeds = self.find(text)
         near: dict[int, list[tuple[int, int]]] = {}
-        rarity = held[seeds].tolist() if held is not None else [0] * len(seeds)
-        for p, s, n in zip(places.tolist(), seeds.tolist(), rarity, strict=True):
+        for p, s in zip(places.tolist(), seeds.tolist(), strict=True):
             for i in self.owners[s]:
-                near.setdefault(i, []).append((p, n))
-        out = []
+                near.setdefault(i, []).append((p, s))
         for i, at in near.items():
-            item, best = self.items[i], (0.0, 0, 0)
-            reach = 2 * len(item)
-            windows, start, rarest = [], at[0][0], at[0][1]
-            for k, (p, n) in enumerate(at):
-                rarest = min(rarest, n)
-                if k + 1 == len(at) or at[k + 1][0] - p > reach:
-                    windows.append((rarest, max(0, start - reach), min(len(words), p + reach + self.n)))
-                    if k + 1 < len(at):
-                        start, rarest = at[k + 1]
-            for _, low, high in sorted(windows):
-                most = self.shared(i, words[low:high]) / len(item)
-                if most < least or (most, -low) < (best[0], -best[1]):
-                    continue
-                score, end = align(item, words[low:high])
-                share = score / (MATCH * len(item))
-                if (share, -low) > (best[0], -best[1]):
-                    best = (share, low, low + end)
-            if best[0] >= least:
-                out.append((self.ids[i], best[0], best[1] + aligned_from(item, words[best[1] : best[2]]), best[2]))
-        return out
+            good = [(low, high) for _, low, high in self.windows(i, at, len(words)) if self.shared(i, words[low:high]) >= least * len(self.items[i])]
+            if good:
+                low, high = good[0][0], good[-1][1]
+                held = np.array([(p - low, s) for p, s in at if low <= p < high], np.int64)
+                yield i, low, words[low:high], held[:, 0], held[:, 1]
+
+    def best(self, i: int, first: int, words: np.ndarray, places: np.ndarray, rarity: np.ndarray, least: float) -> tuple[int, float, int, int] | None:
+        """(item id, score, first word, last word + 1) of the best copy of a candidate, the first of equal ones.
+
+        The words around the rarest seeds are aligned first; those around others only where they could still score
+        more, so that common seeds cost next to nothing and lose nothing.
+        """
+        item, best = self.items[i], (0.0, 0, 0)
+        for _, low, high in sorted(self.windows(i, list(zip(places.tolist(), rarity.tolist(), strict=True)), len(words))):
+            most = self.shared(i, words[low:high]) / len(item)
+            if most < least or (most, -low) < (best[0], -best[1]):
+                continue
+            score, end = align(item, words[low:high])
+            share = score / (MATCH * len(item))
+            if (share, -low) > (best[0], -best[1]):
+                best = (share, low, low + end)
+        if best[0] < least:
+            return None
+        return self.ids[i], best[0], first + best[1] + aligned_from(item, words[best[1] : best[2]]), first + best[2]
+
+    def copies(self, text: str | None, held: np.ndarray | None, least: float) -> list[tuple[int, float, int, int]]:
+        """The best copies of one text, where ``held`` says how many documents hold each seed."""
+        found = self.candidates(*self.find(text), least)
+        return [b for i, low, words, places, seeds in found if (b := self.best(i, low, words, places, seeds * 0 if held is None else held[seeds], least))]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, items: int = ITEMS) -> DataFrame:
@@ -167,7 +184,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     ``score`` is the alignment's share of the item's greatest score (1 for a verbatim copy), ``start`` and ``end`` are
     its first word and the one after its last; of equal alignments of an item the first in the text is reported.
     Documents are never shuffled: only blocks of about ``items`` benchmark items are sent to them, and documents are
-    read twice for each block, once for the counts, of which there is one for each n-gram of the block.
+    read once for each block. What may be a copy is written out with the words around it, and aligned once the counts,
+    of which there is one for each n-gram of the block, are known.
 
     Items without words and null ids are left out; null and empty texts match nothing; repeated rows and repeated items
     give a row each; other columns are ignored. A very long text is aligned only around its seeds, one window at a time.
@@ -190,24 +208,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
 def _against(spark, rows: DataFrame, seeds: Seeds, least: float, schema: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(seeds)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         counts = np.zeros(len(index.keys_all), np.int64)
+        names = ["doc_id", "item", "first", "words", "places", "seeds"]
         for batch in slices(batches):
-            for text in batch["text"]:
-                counts[np.unique(index.find(text)[2])] += 1
+            out = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                found = index.find(text)
+                counts[np.unique(found[2])] += 1
+                out += [(doc, *c) for c in index.candidates(*found, least)]
+            yield pd.DataFrame(out, columns=names)
         held = np.flatnonzero(counts)
-        yield pd.DataFrame({"seed": held, "n": counts[held]})
+        # How many of the task's documents hold each seed goes out beside its candidates.
+        yield pd.DataFrame([(None, -1, 0, [], counts[held], held)], columns=names)
 
+    found = materialize(rows.mapInPandas(searched, "doc_id long, item int, first long, words array<long>, places array<long>, seeds array<long>"))
+    pairs = found.where("item < 0").select(F.explode(F.arrays_zip("seeds", "places")).alias("x"))
+    totals = pairs.groupBy(F.col("x.seeds").alias("seed")).agg(F.sum("x.places").alias("n")).toPandas()
     counts = np.zeros(len(seeds.keys_all), np.int64)
-    found = rows.select("text").mapInPandas(counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
-    counts[found["seed"].to_numpy(np.int64)] = found["n"]
+    counts[totals["seed"].to_numpy(np.int64)] = totals["n"]
     held = spark.sparkContext.broadcast(counts)
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for batch in slices(batches):
-            rows_ = [(d, *c) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for c in index.copies(t, held.value, least)]
+            rows_ = []
+            for doc, i, first, words, places, own in zip(*[batch[c] for c in ("doc_id", "item", "first", "words", "places", "seeds")], strict=True):
+                if best := index.best(i, first, words, places, held.value[own], least):
+                    rows_.append((doc, *best))
             yield pd.DataFrame(rows_, columns=["doc_id", "item_id", "score", "start", "end"])
 
-    return rows.mapInPandas(aligned, schema)
+    return found.where("item >= 0").mapInPandas(aligned, schema)
