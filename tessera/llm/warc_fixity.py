@@ -52,9 +52,11 @@ def manifest(records: DataFrame) -> DataFrame:
     return hashed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
-def tree(places: DataFrame, range_bytes: int = RANGE_BYTES, fan_out: int = FAN_OUT, levels: int = LEVELS) -> list[DataFrame]:
+def tree(places: DataFrame, range_bytes: int = RANGE_BYTES, fan_out: int = FAN_OUT, levels: int = LEVELS, by: tuple[str, ...] = ("volume",)) -> list[DataFrame]:
     """Nodes of each volume's hash tree, lowest level first: (volume, node, digest); the last level is the root.
 
+    ``by`` names what makes a tree; with the replica's column before the volume, several are built at once.
+
     A lowest node hashes offset, length and digest of the records that begin in its range of offsets, in order; a node
     above hashes number and digest of the nodes below it, in order. A record's bytes bound what a range holds. Each
     level is written out before the next is made of it.
@@ -64,11 +66,11 @@ def tree(places: DataFrame, range_bytes: int = RANGE_BYTES, fan_out: int = FAN_O
         return F.sha2(F.array_join(of, ","), 256)
 
     leaf = F.transform(F.array_sort(F.collect_list(F.struct("offset", "length", "digest"))), lambda r: F.concat_ws(":", r["offset"], r["length"], r["digest"]))
-    nodes = [materialize(places.groupBy("volume", F.floor(F.col("offset") / range_bytes).cast("long").alias("node")).agg(joined(leaf).alias("digest")), compact=True)]
+    nodes = [materialize(places.groupBy(*by, F.floor(F.col("offset") / range_bytes).cast("long").alias("node")).agg(joined(leaf).alias("digest")), compact=True)]
     for level in range(1, levels + 1):
         up = F.lit(0).cast("long") if level == levels else F.floor(F.col("node") / fan_out).cast("long")
         below = F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda r: F.concat_ws(":", r["node"], r["digest"]))
-        nodes.append(materialize(nodes[-1].groupBy("volume", up.alias("up")).agg(joined(below).alias("digest")).withColumnRenamed("up", "node"), compact=True))
+        nodes.append(materialize(nodes[-1].groupBy(*by, up.alias("up")).agg(joined(below).alias("digest")).withColumnRenamed("up", "node"), compact=True))
     return nodes
 
 
@@ -84,19 +86,17 @@ def audit(replica_a: DataFrame, replica_b: DataFrame, range_bytes: int = RANGE_B
     of nodes that differ, down to the records, so an intact volume adds nothing below its root. Replicas may hold a
     record more than once: as many are matched as both hold. Two empty replicas give no rows.
     """
-    places = {k: materialize(df.select("volume", "page_id", "offset", "length", "digest"), compact=True) for k, df in (("a", replica_a), ("b", replica_b))}
-    trees: dict[str, list[DataFrame]] = {}
-    for k, df in places.items():
-        trees[k] = tree(df, range_bytes, fan_out, levels)
+    columns = ["volume", "page_id", "offset", "length", "digest"]
+    places = replica_a.select(*columns, F.lit("a").alias("replica")).unionByName(replica_b.select(*columns, F.lit("b").alias("replica")))
+    places = materialize(places, compact=True)
+    trees = tree(places, range_bytes, fan_out, levels, ("replica", "volume"))
 
     def both(level: int, wrong: DataFrame | None, parent: Column | None) -> DataFrame:
-        sides = []
-        for k in "ab":
-            nodes = trees[k][level].select("volume", "node", F.col("digest").alias(f"digest_{k}"))
-            if wrong is not None:
-                nodes = nodes.join(wrong, (F.col("volume") == F.col("w_volume")) & (parent == F.col("w_node")), "left_semi")
-            sides.append(nodes)
-        return materialize(sides[0].join(sides[1], ["volume", "node"], "full").withColumn("same", F.col("digest_a").eqNullSafe(F.col("digest_b"))), compact=True)
+        nodes = trees[level].select("replica", "volume", "node", "digest")
+        if wrong is not None:
+            nodes = nodes.join(wrong, (F.col("volume") == F.col("w_volume")) & (parent == F.col("w_node")), "left_semi")
+        sides = [F.max(F.when(F.col("replica") == k, F.col("digest"))).alias(f"digest_{k}") for k in "ab"]
+        return materialize(nodes.groupBy("volume", "node").agg(*sides).withColumn("same", F.col("digest_a").eqNullSafe(F.col("digest_b"))), compact=True)
 
     roots = both(levels, None, None)
     seen, looked = roots, None
@@ -107,12 +107,10 @@ def audit(replica_a: DataFrame, replica_b: DataFrame, range_bytes: int = RANGE_B
         looked = here if looked is None else looked.unionByName(here)
     wrong = seen.where("not same").select(F.col("volume").alias("w_volume"), F.col("node").alias("w_node"))
 
-    def suspects(k: str) -> DataFrame:
-        here = F.floor(F.col("offset") / range_bytes).cast("long")
-        return places[k].join(wrong, (F.col("volume") == F.col("w_volume")) & (here == F.col("w_node")), "left_semi")
-
+    here = F.floor(F.col("offset") / range_bytes).cast("long")
+    suspects = places.join(wrong, (F.col("volume") == F.col("w_volume")) & (here == F.col("w_node")), "left_semi")
     keys = ["volume", "page_id", "length", "digest"]
-    held = suspects("a").withColumn("side", F.lit(1)).unionByName(suspects("b").withColumn("side", F.lit(-1)))
+    held = suspects.withColumn("side", F.when(F.col("replica") == "a", 1).otherwise(-1))
     # As many copies of a record as both replicas hold at one offset cancel out first, then those at any offset.
     at = held.groupBy(*keys, "offset").agg(F.sum("side").alias("more")).where("more <> 0")
     of = at.groupBy(*keys).agg(F.sum("more").alias("more"), F.sum(F.greatest("more", F.lit(0))).alias("only_a"))
@@ -121,7 +119,7 @@ def audit(replica_a: DataFrame, replica_b: DataFrame, range_bytes: int = RANGE_B
         F.sum(F.col("only_a") - F.greatest("more", F.lit(0))).alias("n_shifted"),
     )
     compared = looked.groupBy("volume").agg(F.count("*").alias("n_compared"))
-    sizes = places["a"].groupBy("volume").agg(F.count("*").alias("n_records"), F.sum("length").alias("n_bytes"))
+    sizes = places.where("replica = 'a'").groupBy("volume").agg(F.count("*").alias("n_records"), F.sum("length").alias("n_bytes"))
     out = roots.select("volume", F.col("digest_a").alias("root_a"), F.col("digest_b").alias("root_b"), F.col("same").alias("intact"))
     out = out.join(sizes, "volume", "left").join(compared, "volume", "left").join(found, "volume", "left")
     return out.select(
