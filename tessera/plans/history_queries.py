@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import constants as C
 from tessera.operators import admin, audit, coverage
-from tessera.plans.views import AS_OF, table
+from tessera.plans.views import AS_OF, JOBS_SQL, jobs, table
 from tessera.session import shared_dir
 from tessera.sources import feeds
 from tessera.streaming import monitors, snapshots
@@ -195,3 +196,39 @@ def failure_runs(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("g", F.sum((F.col("event_type") != "error").cast("int")).over(by)).where("event_type = 'error'")
     runs = e.groupBy(F.col("user_id").alias("source_id"), "g").agg(F.count("*").alias("run"))
     return runs.groupBy("source_id").agg(F.max("run").alias("longest"), F.count("*").alias("n_runs"), F.count_if(F.col("run") >= 2).alias("n_alarms"))
+
+
+@query("select page_id, md5(html || chr(10)) as digest from pages where html is not null")
+def stored_page_files(spark, sf_dir):
+    """Pages kept as files of their own and read back whole by path."""
+    folder = _folder(spark)
+    pages = table(spark, sf_dir, "pages").where("html is not null").select("page_id", F.col("html").alias("value"))
+    # One file for each page, written a few thousand at a time by a task.
+    pages.write.partitionBy("page_id").text(f"{folder}/html")
+    back = feeds.stored_pages(spark, f"{folder}/html")
+    return back.select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long").alias("page_id"), F.md5("html").alias("digest"))
+
+
+@query(f"with {JOBS_SQL}, known as (select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in C.COUNTRIES.items()) + ") t(code, name)), levels as (select unnest([" + ", ".join(f"'{x}'" for x in C.LEVELS) + "]) as key)\n"
+       "select coalesce(name, '(unknown)') as country, level_norm, count(*) as n, level_norm in (select key from levels) as known_level from jobs left join known on code = country_iso group by all")
+def lookup_countries(spark, sf_dir):
+    """Records by the name that the lookup table has for their country, and whether their level is in its table."""
+    tables = feeds.lookups(spark)
+    j = jobs(spark, sf_dir).join(tables["countries"], F.col("country_iso") == F.col("code"), "left")
+    j = j.join(tables["levels"], F.col("level_norm") == F.col("key"), "left")
+    known = F.when(F.col("level_norm").isNotNull(), F.col("key").isNotNull())
+    return j.groupBy(F.coalesce("name", F.lit("(unknown)")).alias("country"), "level_norm", known.alias("known_level")).agg(F.count("*").alias("n"))
+
+
+@query("""with old as (select c_custkey as k, c_name as title, case when c_custkey % 11 = 0 then '2024-01-01' end as deleted_at from customer where c_custkey % 3 <> 0),
+    new as (select c_custkey as k, case when c_custkey % 7 = 0 then null when c_custkey % 2 = 0 then c_name else c_name || '!' end as title from customer where c_custkey % 4 <> 1)
+    select coalesce(old.k, new.k) as k, coalesce(new.title, old.title) as title, deleted_at, case when new.k is null then 'kept' when old.k is null then 'inserted' when coalesce(new.title, old.title) is distinct from old.title then 'updated' else 'skipped' end as outcome from old full join new on old.k = new.k""")
+def feed_upserts(spark, sf_dir):
+    """What a feed's items leave of the stored records: no value is lost to a null, and what was deleted stays so (K2)."""
+    from tessera.operators import state
+
+    k, name = F.col("c_custkey"), F.col("c_name")
+    c = table(spark, sf_dir, "customer")
+    old = c.where(k % 3 != 0).select(k.alias("k"), name.alias("title"), F.when(k % 11 == 0, "2024-01-01").alias("deleted_at"))
+    new = c.where(k % 4 != 1).select(k.alias("k"), F.when(k % 7 == 0, None).when(k % 2 == 0, name).otherwise(F.concat(name, F.lit("!"))).alias("title"))
+    return state.upsert(old, new, ["k"], revive=False)
