@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, materialize
 
-#: Nodes that one node of the next level holds.
-FAN_OUT = 3
+#: Nodes that one node of the next level holds; levels after which proofs are written out.
+FAN_OUT, WRITTEN = 3, 4
 
 
 def sealed(of: Column) -> Column:
@@ -84,6 +84,7 @@ def push(levels: list[DataFrame], inherited: DataFrame, keep: list[str]) -> Data
 
     ``inherited`` (tree, subroot, proof) is what each tree's root starts with. From the top down, children join their
     parents and put their own siblings before the proof of the parent, so that nothing but a node's ancestors is read.
+    Every WRITTEN levels the proofs so far, of ever fewer nodes than rows, are written out, which keeps plans short.
     """
 
     def at_root(level: DataFrame) -> DataFrame:
@@ -91,7 +92,10 @@ def push(levels: list[DataFrame], inherited: DataFrame, keep: list[str]) -> Data
         return roots.join(inherited.select(F.col("tree").alias("of"), "subroot", "proof"), F.col("tree") == F.col("of")).drop("of")
 
     down = at_root(levels[-1])
-    for level in levels[-2::-1]:
+    for k in range(len(levels) - 2, -1, -1):
+        level = levels[k]
+        if (len(levels) - 2 - k) % WRITTEN == WRITTEN - 1:
+            down = materialize(down, compact=True)
         parents = down.select(F.col("tree").alias("of"), F.col("place").alias("up"), F.col("children").alias("nodes"), "subroot", F.col("proof").alias("rest"))
         joined = level.where("width > 1").join(parents, (F.col("tree") == F.col("of")) & (F.floor(F.col("place") / FAN_OUT).cast("long") == F.col("up")))
         mine = F.pmod(F.col("place"), F.lit(FAN_OUT)).cast("int")
