@@ -34,7 +34,7 @@ PARTS_SQL = r"""parts as (
     select doc_id, 'C', 3, substr(coalesce(text, ''), len(split_part(coalesce(text, ''), chr(10), 1)) + 1) from documents union all
     select doc_id, 'D', 4, coalesce(lang, '') from documents
 ),
-tokens as (select doc_id, class, part, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) as word, generate_subscripts(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+'), 1) as i from parts),
+tokens as (select doc_id, class, part, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) as word, generate_subscripts(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'), 1) as i from parts),
 placed as (select doc_id, class, word, row_number() over (partition by doc_id order by part, i) as position from tokens),
 kept as (select * from placed where word not in (""" + ", ".join(f"'{w}'" for w in STOP_WORDS) + r""")),
 vocabulary as (select distinct word from kept union select distinct unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) from benchmark),
