@@ -408,10 +408,10 @@ def link_validation_stats(spark, sf_dir):
     return reports.link_stats(j, v, AS_OF).drop("recent").withColumn("percent", F.round("percent", 6))
 
 
-@query("select user_id as source_id, cast(min(least(seen, 5)) as integer) as low, max(run) as longest from (select user_id, event_id, count(*) over (partition by user_id, g order by ts, event_id) as run, 5 as seen, et from (select user_id, event_id, ts, event_type as et, sum(case when event_type <> 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id) as g from events) where et = 'error') group by 1")
+@query("select user_id as source_id, max(run) as longest from (select user_id, event_id, count(*) over (partition by user_id, g order by ts, event_id) as run, et from (select user_id, event_id, ts, event_type as et, sum(case when event_type <> 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id) as g from events) where et = 'error') group by 1")
 def consecutive_failures(spark, sf_dir):
     """Longest run of failures per source: a counter that each success resets."""
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").withColumn("g", F.sum(F.when(F.col("event_type") != "error", 1).otherwise(0)).over(by)).where("event_type = 'error'")
     run = F.count("*").over(Window.partitionBy("user_id", "g").orderBy("ts", "event_id"))
-    return e.withColumn("run", run).groupBy(F.col("user_id").alias("source_id")).agg(F.lit(5).alias("low"), F.max("run").alias("longest"))
+    return e.withColumn("run", run).groupBy(F.col("user_id").alias("source_id")).agg(F.max("run").alias("longest"))

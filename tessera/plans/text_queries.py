@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import constants as C
 from tessera.functions import links, normalize, quality, repair
 from tessera.functions.cells import any_of, share
 from tessera.functions.constants import BLOCKED_LINKS, DETAIL_PARTS, LINK_WORDS, PAGE_WORDS
@@ -195,16 +196,26 @@ def best_field_by_confidence(spark, sf_dir):
     return best.select(F.col("page_id").cast("long").alias("page_id"), F.col("value").alias("title"), "stage", "confidence")
 
 
-@query("""with c as (select conv_id, turn, lower(text) as x from conversations where role = 'user')
-    select conv_id, turn, contains(x, 'remote') or contains(x, 'work from home') or contains(x, 'wfh') or contains(x, 'telecommute') as is_remote,
-    case when contains(x, 'it') or contains(x, 'digital') then true else false end as says_it from c""")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _first_two(table_: dict) -> str:
+    found = "list_filter([" + ", ".join(f"case when contains(x, {_quoted(k)}) then {_quoted(v)} end" for k, v in table_.items()) + "], lambda v: v is not null)"
+    return f"concat_ws(',', {found}[1], list_filter({found}, lambda v: v <> {found}[1])[1])"
+
+
+def _first_of(pairs: list) -> str:
+    return "case " + " ".join(f"when {' or '.join(f'contains(x, {_quoted(w)})' for w in words)} then {_quoted(v)}" for words, v in pairs) + " else '' end"
+
+
+@query(f"""with c as (select conv_id, turn, lower(text) as x from conversations where role = 'user')
+    select conv_id, turn, coalesce({sql_any('x', C.REMOTE_WORDS)}, false) as is_remote, {_first_of(C.QUERY_LEVELS)} as level, {_first_two(C.QUERY_DOMAINS)} as domains, {_first_two(C.QUERY_ROLES)} as roles, {_first_of([([c], c.title()) for c in C.QUERY_COUNTRIES])} as location from c""")
 def plain_queries(spark, sf_dir):
     """Filters guessed from the users' turns. Substrings match inside words, as 'it' does."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     out = search.parse_queries(c.select("conv_id", "turn", "text"), "text")
-    from tessera.functions.cells import has_any
-
-    return out.select("conv_id", "turn", "is_remote", has_any(F.lower("text"), ["it", "digital"]).alias("says_it"))
+    return out.select("conv_id", "turn", "is_remote", F.col("experience_level").alias("level"), F.array_join("impact_domain", ",").alias("domains"), F.array_join("functional_role", ",").alias("roles"), "location")
 
 
 @query()
