@@ -144,6 +144,8 @@ def near_duplicates(
     shared = members.select(F.col("vec_id").alias("m_id"), F.col("rep").alias("m_rep")).join(shared, F.col("m_id") == F.col("vec_id")).where("m_rep <> a").select("a", F.col("m_rep").alias("b"))
     nodes = materialize(components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(shared)), compact=True)
     lows = classes.select("rep", "low").join(nodes, F.col("rep") == F.col("node")).groupBy(F.col("component").alias("of_component")).agg(F.min("low").alias("component_low"))
+    # Written, its size is known before the join: small, it is sent to the classes; large, the join can be split where a component is.
+    lows = materialize(lows, compact=True)
     known = classes.select("rep", "low", "size").join(counts, F.col("rep") == F.col("l_rep"), "left").join(nodes, F.col("rep") == F.col("node"), "left").join(lows, F.col("component") == F.col("of_component"), "left")
     known = materialize(known.select(F.col("rep").alias("k_rep"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_low", "low").alias("component")), compact=True)
     out = members.join(known, F.col("rep") == F.col("k_rep"), "left")
