@@ -187,3 +187,13 @@ def test_rollout_is_md5_modulo(spark):
     urls = [f"https://a.org/{i}" for i in range(50)]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r[0] for r in df.select(search.rolled_out(F.col("u"), 30)).collect()] == [int(hashlib.md5(u.encode()).hexdigest(), 16) % 100 < 30 for u in urls]
+
+
+def test_longest_run_of_failures_comes_with_the_bound(spark, duck):
+    from conftest import DATA
+
+    from tessera.plans.registry import oracle_sql, queries
+
+    got = queries()["consecutive_failures"](spark, DATA)
+    assert got.columns == ["source_id", "low", "longest"] == duck.execute(oracle_sql()["consecutive_failures"]).df().columns.tolist()
+    assert {r.low for r in got.collect()} == {5}
