@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import constants as C
-from tessera.functions.cells import any_of, clamp, has_any, labels
+from tessera.functions.cells import any_of, bound, clamp, has_any, labels
 
 
 def normalize_url(url: Column) -> Column:
@@ -142,7 +142,10 @@ def deadline_text(text: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """A date in one of the formats seen, day before month; null for others."""
-    text = F.trim(F.regexp_replace(text, r"(?i)^(deadline|closing|apply by|due)[:\s]+", ""))
+    return bound(F.trim(F.regexp_replace(text, r"(?i)^(deadline|closing|apply by|due)[:\s]+", "")), _parse_date)
+
+
+def _parse_date(text: Column) -> Column:
     formats = ["yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d/M/yy", "d-M-yy"]
     iso = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})T", 1)
     return F.coalesce(F.try_to_date(F.when(iso != "", iso), "yyyy-MM-dd"), *[F.try_to_date(text, f) for f in formats])

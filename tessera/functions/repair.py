@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import constants as C
-from tessera.functions.cells import any_of, blank, clamp, clean, has_any, labels, lookup
+from tessera.functions.cells import any_of, blank, bound, clamp, clean, has_any, labels, lookup
 from tessera.functions.links import parse_date
 
 
@@ -19,41 +19,49 @@ def without_fragments(text: Column) -> Column:
 
 
 def is_place(text: Column) -> Column:
-    low, n = F.lower(text), F.length(text)
-    found = has_any(low, list(C.PLACES)) | any_of(text.rlike(p) for p in C.PLACE_PATTERNS) | (~has_any(low, C.NOT_PLACES) & (n <= 100))
-    return F.coalesce((n >= 3) & found, F.lit(False))
+    def test(x: Column) -> Column:
+        n = F.length(x["text"])
+        found = has_any(x["low"], list(C.PLACES)) | any_of(x["text"].rlike(p) for p in C.PLACE_PATTERNS) | (~has_any(x["low"], C.NOT_PLACES) & (n <= 100))
+        return F.coalesce((n >= 3) & found, F.lit(False))
+
+    return bound(text, lambda t: bound(F.struct(t.alias("text"), F.lower(t).alias("low")), test))
 
 
 def repair_location(location: Column, title: Column) -> Column:
     """struct(repaired, value, issue). Words begin with a capital after blanks only, where the text was lower-cased."""
-    low, t = clean(location), F.coalesce(clean(title), F.lit(""))
-    rest = F.trim(F.replace(low, t, F.lit("")))
+    given = F.struct(location.alias("location"), clean(location).alias("low"), F.coalesce(clean(title), F.lit("")).alias("t"))
+    return bound(given, lambda x: _repair_location(x["location"], x["low"], x["t"]))
+
+
+def _repair_location(location: Column, low: Column, t: Column) -> Column:
     pair = []
     for pattern in C.PLACE_PATTERNS:
         city, country = (without_fragments(F.trim(F.regexp_extract(location, pattern, k))) for k in (1, 2))
-        pair.append(F.when(location.rlike(pattern) & (F.length(city) > 2) & (country != ""), F.concat(city, F.lit(", "), country)))
-    plain = without_fragments(location)
+        named = bound(F.struct(city.alias("city"), country.alias("country")), lambda x: F.when((F.length(x["city"]) > 2) & (x["country"] != ""), F.concat(x["city"], F.lit(", "), x["country"])))
+        pair.append(F.when(location.rlike(pattern), named))
 
     def out(repaired: bool, value, issue) -> Column:
         return F.struct(F.lit(repaired).alias("repaired"), (value if isinstance(value, Column) else F.lit(value).cast("string")).alias("value"), (issue if isinstance(issue, Column) else F.lit(issue).cast("string")).alias("issue"))
 
-    found = F.coalesce(*pair)
+    of_rest = bound(F.trim(F.replace(low, t, F.lit(""))), lambda rest: F.when(is_place(rest), out(True, F.initcap(rest), "Location contained title")).otherwise(out(True, None, "Location was title")))
+    of_pair = bound(F.coalesce(*pair), lambda found: out(True, found, F.when(found.isNotNull(), "Location contained job keywords").otherwise("Location was job title")))
+
+    def of_plain(plain: Column) -> Column:
+        return F.when(~is_place(plain), out(True, None, "Location invalid after cleaning")).when(plain != location, out(True, plain, "Location contained date fragments")).otherwise(out(False, location, None))
+
     return (
         F.when(F.coalesce(location == "", F.lit(True)), out(False, None, None))
         .when(low == t, out(True, None, "Location identical to title"))
-        .when((F.length(t) > 5) & low.contains(t), F.when(is_place(rest), out(True, F.initcap(rest), "Location contained title")).otherwise(out(True, None, "Location was title")))
-        .when(has_any(low, C.NOT_PLACES), out(True, found, F.when(found.isNotNull(), "Location contained job keywords").otherwise("Location was job title")))
-        .when(~is_place(plain), out(True, None, "Location invalid after cleaning"))
-        .when(plain != location, out(True, plain, "Location contained date fragments"))
-        .otherwise(out(False, location, None))
+        .when((F.length(t) > 5) & low.contains(t), of_rest)
+        .when(has_any(low, C.NOT_PLACES), of_pair)
+        .otherwise(bound(without_fragments(location), of_plain))
     )
 
 
 def deadline_in_location(location: Column, as_of: date) -> Column:
     """A date after ``as_of`` that stands in a place."""
     patterns = [r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})", r"(?i)(\d{1,2}\s+[a-z]{3,9}\s+\d{2,4})", r"(?i)([a-z]{3,9}\s+\d{1,2},?\s+\d{2,4})"]
-    found = F.coalesce(*[parse_date(F.regexp_extract(location, p, 1)) for p in patterns])
-    return F.when(found > F.lit(as_of), found)
+    return bound(F.coalesce(*[parse_date(F.regexp_extract(location, p, 1)) for p in patterns]), lambda found: F.when(found > F.lit(as_of), found))
 
 
 def infer_location(description: Column, url: Column, org: Column) -> Column:
@@ -69,8 +77,8 @@ def infer_location(description: Column, url: Column, org: Column) -> Column:
 def infer_deadline(description: Column, title: Column, url: Column, as_of: date) -> Column:
     """From the description if after ``as_of``, else 30 days on for records with title and url."""
     patterns = [rf"(?i){w}[:\s]+(\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{2,4}})" for w in ("deadline", "apply by", "closing")]
-    found = [parse_date(F.regexp_extract(description, p, 1)) for p in patterns]
-    return F.coalesce(*[F.when(f > F.lit(as_of), f) for f in found], F.when((title != "") & (url != ""), F.date_add(F.lit(as_of), 30)))
+    found = [bound(parse_date(F.regexp_extract(description, p, 1)), lambda f: F.when(f > F.lit(as_of), f)) for p in patterns]
+    return F.coalesce(*found, F.when((title != "") & (url != ""), F.date_add(F.lit(as_of), 30)))
 
 
 def clean_title(title: Column) -> Column:
@@ -83,17 +91,29 @@ def clean_title(title: Column) -> Column:
 
 def repair(job: dict[str, Column], as_of: date) -> Column:
     """struct(location_raw, deadline, title, repairs) of a record (title, location_raw, deadline date, description, apply_url, org_name)."""
-    fixed = repair_location(job["location_raw"], job["title"])
-    location = F.when(fixed["repaired"], fixed["value"]).otherwise(job["location_raw"])
-    guess = F.when(~is_place(location), infer_location(job["description"], job["apply_url"], job["org_name"]))
     read = F.when(job["deadline"].isNull(), deadline_in_location(job["location_raw"], as_of))
-    known = F.coalesce(job["deadline"], read)
-    inferred = F.when(known.isNull(), infer_deadline(job["description"], job["title"], job["apply_url"], as_of))
-    title = clean_title(job["title"])
-    return F.struct(
-        F.coalesce(guess, location).alias("location_raw"), F.coalesce(known, inferred).alias("deadline"), title.alias("title"),
-        labels([(fixed["repaired"], "location repaired"), (read.isNotNull(), "deadline found in location"), (guess.isNotNull(), "location inferred"), (inferred.isNotNull(), "deadline inferred"), (title != job["title"], "title cleaned")]).alias("repairs"),
-    )
+
+    def placed(fixed: Column) -> Column:
+        location = F.when(fixed["repaired"], fixed["value"]).otherwise(job["location_raw"])
+        guess = bound(location, lambda x: F.when(~is_place(x), infer_location(job["description"], job["apply_url"], job["org_name"])))
+        return F.struct(fixed["repaired"].alias("repaired"), location.alias("location"), guess.alias("guess"))
+
+    def dated(found: Column) -> Column:
+        known = F.coalesce(job["deadline"], found)
+        inferred = F.when(known.isNull(), infer_deadline(job["description"], job["title"], job["apply_url"], as_of))
+        return F.struct(found.alias("read"), known.alias("known"), inferred.alias("inferred"))
+
+    # Each part is computed once and then named; as plain columns they would be written out, and computed, at each place.
+    parts = F.struct(bound(repair_location(job["location_raw"], job["title"]), placed).alias("place"), bound(read, dated).alias("date"), clean_title(job["title"]).alias("title"))
+
+    def record(x: Column) -> Column:
+        place, date_, title = x["place"], x["date"], x["title"]
+        return F.struct(
+            F.coalesce(place["guess"], place["location"]).alias("location_raw"), F.coalesce(date_["known"], date_["inferred"]).alias("deadline"), title.alias("title"),
+            labels([(place["repaired"], "location repaired"), (date_["read"].isNotNull(), "deadline found in location"), (place["guess"].isNotNull(), "location inferred"), (date_["inferred"].isNotNull(), "deadline inferred"), (title != job["title"], "title cleaned")]).alias("repairs"),
+        )
+
+    return bound(parts, record)
 
 
 def level_of_experience(label: Column) -> Column:

@@ -140,3 +140,14 @@ def test_plain_query():
     q = search.parse_query("remote WASH officer in Kenya")
     assert q["is_remote"] and q["location"] == "Kenya" and q["experience_level"].startswith("Officer") and q["impact_domain"][0].startswith("Water")
     assert "IT / Digital / Systems" in search.parse_query("sanitation")["functional_role"]
+
+
+def test_repair_names_what_it_computes_once(spark):
+    from datetime import date
+
+    columns = ["title", "location_raw", "description", "apply_url", "org_name"]
+    df = spark.createDataFrame([("Cook", "Rome  May", "Work in Geneva", "https://x.org/1", None), ("Nurse", None, "Deadline: 01/09/2024", "https://x.org/1", None)], ", ".join(f"{c} string" for c in columns))
+    out = df.select(repair.repair({c: F.col(c) for c in columns} | {"deadline": F.lit(None).cast("date")}, date(2024, 6, 15)).alias("r"))
+    # The place is looked at by a few patterns and not by those of each part again for each place where the part stands.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") < 20
+    assert [(r.r.location_raw, r.r.deadline, r.r.repairs) for r in out.collect()] == [("Rome", date(2024, 7, 15), ["location repaired", "deadline inferred"]), (None, date(2024, 9, 1), ["deadline inferred"])]
