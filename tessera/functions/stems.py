@@ -34,6 +34,8 @@ STEP_2 = {
 STEP_3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ness": "", "ful": ""}
 STEP_4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic"]
 
+#: Last letters of all suffixes that a step takes off or changes.
+ENDS = "cdegilmnrsty"
 SHORT_END = "(^[aeiouy][^aeiouy]$|[^aeiouy][aeiouy][^aeiouywxY]$)"
 
 
@@ -117,7 +119,8 @@ def stem(word: str) -> Column:
         # Names outside of quotes are fields of the step before.
         body = re.sub(r"(?<!')\b(" + "|".join(names) + r")\b(?!')", r"s.\1", fields)
         now = f"transform(array({now}), s -> named_struct({body}))[0]"
-    return F.lower(F.expr(now.replace("__WORD__", f"`{word}`")).getField("w"))
+    # No step changes a word that ends in another letter or in a digit, as many invented words do.
+    return F.when(~F.col(word).rlike(f"[{ENDS}]$"), F.col(word)).otherwise(F.lower(F.expr(now.replace("__WORD__", f"`{word}`")).getField("w")))
 
 
 def stem_ctes(source: str) -> str:
