@@ -3,6 +3,7 @@
 import random
 from datetime import date
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import reports, search, similar, state
@@ -197,3 +198,28 @@ def test_longest_run_of_failures_comes_with_the_bound(spark, duck):
     got = queries()["consecutive_failures"](spark, DATA)
     assert got.columns == ["source_id", "low", "longest"] == duck.execute(oracle_sql()["consecutive_failures"]).df().columns.tolist()
     assert {r.low for r in got.collect()} == {5}
+
+
+def test_grams_bound_the_ratios_of_long_texts():
+    rng, words = random.Random(4), "data officer in the field of health and water for a team that writes reports quickly über zéro x9 jazz".split()
+    texts = [" ".join(rng.choices(words, k=60))[: rng.choice([120, 199, 200, 200, 230])] for _ in range(60)]
+    texts += ["".join(rng.choices("etaoinshrd ", k=205)) + rng.choice("qxz") for _ in range(40)]
+    texts += [t[:90] + texts[0][90:] for t in texts[1:8]] + ["a" * 200, "ab" * 100, "İ" * 200, ""]
+    grams = similar.Grams(texts)
+    every, spared = np.arange(len(texts)), 0
+    for a in texts:
+        bounds = grams.most(a, every)
+        ratios = np.array([similar.ratio(a, b) for b in texts])
+        assert (bounds >= ratios - 1e-9).all()
+        spared += (bounds < 0.5).sum()
+    assert spared > len(texts) ** 2 / 10
+
+
+def test_best_fields_are_chosen_before_they_are_dealt(spark):
+    from conftest import DATA
+
+    from tessera.plans.registry import queries
+
+    plan = queries()["page_best_fields"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    # Pages are read by a Python task once, and nothing is ranked by a window or joined.
+    assert plan.count("MapInPandas") == 1 and "Window" not in plan and "Join" not in plan
