@@ -605,9 +605,10 @@ def page_tables(spark, sf_dir):
     case when c_custkey % 3 = 0 then 'jsonld' when c_custkey % 2 = 0 then 'heuristic' else 'regex' end as stage, case when c_custkey % 3 < 2 then c_name else 'Page' end as title from customer""")
 def page_best_fields(spark, sf_dir):
     """The deadline and title of highest confidence of every page."""
-    best = page_source.best_fields(page_source.field_rows(_pages(spark, sf_dir)))
-    deadline = best.where("field = 'deadline'").select("page_id", F.col("value").alias("deadline"), "stage")
-    return deadline.join(best.where("field = 'title'").select("page_id", F.col("value").alias("title")), "page_id")
+    best = page_source.best_fields(page_source.field_rows(_pages(spark, sf_dir)).where("field in ('deadline', 'title')"))
+    of = lambda field, c: F.max(F.when(F.col("field") == field, F.col(c)))
+    both = best.groupBy("page_id").agg(of("deadline", "value").alias("deadline"), of("deadline", "stage").alias("stage"), of("title", "value").alias("title"))
+    return both.where("deadline is not null and title is not null")
 
 
 @query("select c_custkey as page_id, 'json_ld' as strategy, 0.95::double as confidence, case when c_custkey % 5 = 0 then 'un' else 'generic' end as plugin from customer")

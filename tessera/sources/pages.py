@@ -187,8 +187,10 @@ def field_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
 def best_fields(rows: DataFrame, key: str = "page_id") -> DataFrame:
     """The value of highest confidence per field; the earlier stage among equals."""
     order = F.create_map(*[x for i, s in enumerate(STAGES) for x in (F.lit(s), F.lit(i))])
-    by = F.row_number().over(Window.partitionBy(key, "field").orderBy(F.desc("confidence"), order[F.col("stage")], F.asc("value")))
-    return rows.withColumn("_n", by).where("_n = 1").drop("_n")
+    others = [c for c in rows.columns if c not in (key, "field")]
+    # Grouped and not ranked, so that tasks choose before rows are dealt.
+    best = rows.groupBy(key, "field").agg(F.min_by(F.struct(*others), F.struct(F.isnull("confidence"), -F.col("confidence"), order[F.col("stage")], F.col("value"))).alias("_best"))
+    return best.select(*[F.col(f"_best.{c}").alias(c) if c in others else F.col(c) for c in rows.columns])
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
