@@ -34,8 +34,8 @@ STEP_2 = {
 STEP_3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ness": "", "ful": ""}
 STEP_4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic"]
 
-#: Last letters of all suffixes that a step takes off or changes.
-ENDS = "cdegilmnrsty"
+#: All suffixes that a step takes off or changes; a word without one is its own stem.
+ENDS = "|".join(["s", "ed", "ing", "y", "e", "ll", "logi", "li", "ion", *[x for x in [*STEP_2, *STEP_3, *STEP_4] if x[-1] not in "sey"]])
 SHORT_END = "(^[aeiouy][^aeiouy]$|[^aeiouy][aeiouy][^aeiouywxY]$)"
 
 
@@ -115,12 +115,12 @@ def stem(word: str) -> Column:
     names = ["word", "w", "r1", "r2", "e", "done"]
     now = "named_struct('word', __WORD__, 'w', __WORD__, 'r1', 0, 'r2', 0, 'e', false, 'done', false)"
     for step in steps():
-        fields = ", ".join(f"'{n}', {as_sql(step[n], SPARK) if n in step else n}" for n in names)
+        # A suffix is compared in place rather than cut out first.
+        fields = re.sub(r"right\(w, \d+\) = ('\w+')", r"endswith(w, \1)", ", ".join(f"'{n}', {as_sql(step[n], SPARK) if n in step else n}" for n in names))
         # Names outside of quotes are fields of the step before.
         body = re.sub(r"(?<!')\b(" + "|".join(names) + r")\b(?!')", r"s.\1", fields)
         now = f"transform(array({now}), s -> named_struct({body}))[0]"
-    # No step changes a word that ends in another letter or in a digit, as many invented words do.
-    return F.when(~F.col(word).rlike(f"[{ENDS}]$"), F.col(word)).otherwise(F.lower(F.expr(now.replace("__WORD__", f"`{word}`")).getField("w")))
+    return F.when(~F.col(word).rlike(f"({ENDS})$"), F.col(word)).otherwise(F.lower(F.expr(now.replace("__WORD__", f"`{word}`")).getField("w")))
 
 
 def stem_ctes(source: str) -> str:

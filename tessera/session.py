@@ -29,6 +29,13 @@ def local(cores: int = 8, partitions: int = 8, app: str = "tessera") -> SparkSes
     )
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Lowers the session's rows per Arrow batch, so that batches of long texts stay small in both processes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``. Only a session on one machine gets one where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
