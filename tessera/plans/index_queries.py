@@ -72,9 +72,7 @@ def word_stems(spark, sf_dir):
 @query(f"with {PARTS_SQL} select stem, count(distinct doc_id) as n_docs, count(*) as n_places, count(case when class = 'A' then 1 end) as n_first_line, min(position) as earliest from lexemes group by stem")
 def posting_sizes(spark, sf_dir):
     """Records, places, places in first lines and earliest place of each stem, read from the inverted table."""
-    return _index(spark, sf_dir).table.groupBy("stem").agg(
-        F.count("*").alias("n_docs"), F.sum(F.size("places")).alias("n_places"), F.sum(F.size(F.filter("places", lambda p: p["class"] == "A"))).alias("n_first_line"), F.min(F.col("places")[0]["position"]).cast("long").alias("earliest"),
-    )
+    return fulltext.sizes(_index(spark, sf_dir).blocks)
 
 
 RANK_SQL = """
