@@ -202,11 +202,9 @@ def failure_runs(spark, sf_dir):
 def stored_page_files(spark, sf_dir):
     """Pages kept as files of their own and read back whole by path."""
     folder = _folder(spark)
-    pages = table(spark, sf_dir, "pages").where("html is not null").select("page_id", F.col("html").alias("value"))
-    # One file for each page, written a few thousand at a time by a task.
-    pages.write.partitionBy("page_id").text(f"{folder}/html")
+    feeds.store_pages(table(spark, sf_dir, "pages").where("html is not null").select("page_id", "html"), f"{folder}/html")
     back = feeds.stored_pages(spark, f"{folder}/html")
-    return back.select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long").alias("page_id"), F.md5("html").alias("digest"))
+    return back.select(F.regexp_extract("path", "page_id=(-?[0-9]+)[./]", 1).cast("long").alias("page_id"), F.md5("html").alias("digest"))
 
 
 @query(f"with {JOBS_SQL}, known as (select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in C.COUNTRIES.items()) + ") t(code, name)), levels as (select unnest([" + ", ".join(f"'{x}'" for x in C.LEVELS) + "]) as key)\n"

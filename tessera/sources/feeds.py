@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import partial
+from pathlib import Path
+from urllib.parse import urlsplit
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import constants as C
 from tessera.functions.cells import labels
+from tessera.session import small_batches
 
 #: Where a JSON interface keeps its list, and the names its fields go by (fixed values).
 LIST_PATHS = ["jobs", "results", "items", "data", "positions", "vacancies"]
@@ -129,6 +137,41 @@ def training_rows(labels_: DataFrame, batch: DataFrame) -> DataFrame:
     return labels_.dropDuplicates(["url"]).join(batch.dropDuplicates(["url"]).select("url", "raw_html_snippet"), "url").select("url", F.col("raw_html_snippet").alias("text"), "label")
 
 
+#: Folders over which stored pages are spread, so that tasks list them.
+FOLDERS = 256
+
+
+def store_pages(pages: DataFrame, path: str) -> None:
+    """Keeps each page (page_id, html) as a file of its own under ``path``: its html and a line feed. Ids name each page once.
+
+    In a folder that tasks see as a local one they write the files themselves, page_id=n.html, since Spark's writer takes
+    a folder, a checksum and changes of rights for each page; elsewhere Spark's writer does it.
+    """
+    uri = urlsplit(path)
+    scheme = uri.scheme or urlsplit(pages.sparkSession.conf.get("spark.hadoop.fs.defaultFS", "file:///")).scheme
+    if scheme != "file":
+        pages.select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(path)
+        return
+    small_batches(pages.sparkSession)
+    rows = pages.select("page_id", F.pmod(F.hash("page_id"), F.lit(FOLDERS)).alias("folder"), F.col("html").cast("binary").alias("html"))
+    rows.mapInArrow(partial(_store, uri.path), "n long").agg(F.sum("n")).collect()
+
+
+def _store(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = set()
+    for b in batches:
+        for page, folder, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "folder", "html")), strict=True):
+            at = Path(path, f"{folder:03d}")
+            if folder not in made:
+                at.mkdir(parents=True, exist_ok=True)
+                made.add(folder)
+            # A task that runs twice leaves whole files: names beginning with a dot are not read.
+            part = at / f".{page}-{uuid.uuid4().hex}"
+            part.write_bytes(html + b"\n")
+            part.replace(at / f"page_id={page}.html")
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+
 def stored_pages(spark: SparkSession, path: str) -> DataFrame:
     """Whole html files under a folder: path and html."""
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))

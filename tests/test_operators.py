@@ -111,6 +111,16 @@ def test_stored_pages(spark, tmp_path):
     assert got["a"] == "<p>one\ntwo</p>" and set(got) <= {"a", "c"}
 
 
+def test_pages_are_stored_by_tasks(spark, tmp_path):
+    rows = [(i, f"<p>{i}\u00e9\n\r\n" * (i % 3)) for i in range(-1, 300)]
+    feeds.store_pages(spark.createDataFrame(rows, "page_id long, html string"), f"file://{tmp_path}/html")
+    # A file for each page in a few folders and nothing beside; before, a folder and a checksum for each.
+    files = [p for p in (tmp_path / "html").rglob("*") if p.is_file()]
+    assert len(files) == len(rows) and len({p.parent for p in files}) <= feeds.FOLDERS and all(p.suffix == ".html" for p in files)
+    got = {int(r.path.rsplit("=", 1)[1].split(".")[0]): r.html for r in feeds.stored_pages(spark, f"file://{tmp_path}/html").collect()}
+    assert got == {i: html + "\n" for i, html in rows}
+
+
 PAGE = """<html><head><title>Job</title><script type="application/ld+json">{"@graph": [{"@type": "JobPosting", "title": "Nurse", "hiringOrganization": {"name": "Org"},
 "jobLocation": {"address": {"addressLocality": "Nairobi", "addressCountry": "KE"}}, "datePosted": "2024-01-01", "validThrough": "2024-02-01", "url": "https://o/1"}]}</script></head>
 <body><h1>Nurse position: vacancy</h1><dl><dt>Location:</dt><dd>Kisumu</dd><dt>Closing date</dt><dd>2024-02-02</dd></dl><table><tr><th>Job title</th><th>Duty station</th><th>Deadline</th></tr>
