@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import partial
@@ -142,9 +143,9 @@ FOLDERS = 256
 
 
 def store_pages(pages: DataFrame, path: str) -> None:
-    """Keeps each page (page_id, html) as a file of its own under ``path``: its html and a line feed. Ids name each page once.
+    """Keeps each page (page_id, html) as a file of its own under ``path``: its html and a line feed. Of pages with one id each different one is kept.
 
-    In a folder that tasks see as a local one they write the files themselves, page_id=n.html, since Spark's writer takes
+    In a folder that tasks see as a local one they write the files themselves, page_id=n.digest.html, since Spark's writer takes
     a folder, a checksum and changes of rights for each page; elsewhere Spark's writer does it.
     """
     uri = urlsplit(path)
@@ -168,7 +169,7 @@ def _store(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             # A task that runs twice leaves whole files: names beginning with a dot are not read.
             part = at / f".{page}-{uuid.uuid4().hex}"
             part.write_bytes(html + b"\n")
-            part.replace(at / f"page_id={page}.html")
+            part.replace(at / f"page_id={page}.{hashlib.md5(html).hexdigest()}.html")
         yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
 

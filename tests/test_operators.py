@@ -119,6 +119,8 @@ def test_pages_are_stored_by_tasks(spark, tmp_path):
     assert len(files) == len(rows) and len({p.parent for p in files}) <= feeds.FOLDERS and all(p.suffix == ".html" for p in files)
     got = {int(r.path.rsplit("=", 1)[1].split(".")[0]): r.html for r in feeds.stored_pages(spark, f"file://{tmp_path}/html").collect()}
     assert got == {i: html + "\n" for i, html in rows}
+    feeds.store_pages(spark.createDataFrame([(7, "a"), (7, "b")], "page_id long, html string"), f"file://{tmp_path}/same")
+    assert sorted(r.html for r in feeds.stored_pages(spark, f"file://{tmp_path}/same").collect()) == ["a\n", "b\n"]
 
 
 PAGE = """<html><head><title>Job</title><script type="application/ld+json">{"@graph": [{"@type": "JobPosting", "title": "Nurse", "hiringOrganization": {"name": "Org"},
