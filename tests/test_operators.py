@@ -4,9 +4,10 @@ import random
 from datetime import date
 
 import numpy as np
+from conftest import DATA
 from pyspark.sql import functions as F
 
-from tessera.operators import reports, search, similar, state
+from tessera.operators import ml, reports, search, similar, state
 from tessera.sources import feeds, pages
 
 DAY = date(2024, 6, 15)
@@ -235,3 +236,46 @@ def test_best_fields_are_chosen_before_they_are_dealt(spark):
     plan = queries()["page_best_fields"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     # Pages are read by a Python task once, and nothing is ranked by a window or joined.
     assert plan.count("MapInPandas") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_training_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    texts = [None if k % 10 == 9 else f"every x{k} {'good' if k % 2 else 'poor'} {'b' if k % 4 < 2 else 'c'} d d" for k in range(40)]
+    rows = spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(texts)], "id long, text string, label int").repartition(3)
+    model = ml.train(rows.withColumn("text", read("text")), "text", "label")
+    assert seen.value == 40
+    right = ml.scores(model.transform(rows.where("text is not null")), "label").first()
+    assert (right.n, right.accuracy) == (36, 1.0)
+
+
+def test_vocabulary_has_the_most_frequent_terms_and_ties_by_code_point(spark):
+    kept = [["all", "z", "b", "a"], ["all", "z", "b", "a"], ["all", "z", "c"], ["all", "c", "once", "once", "once", "once"], ["all"], []]
+    for parts in (1, 2, 5):
+        rows = spark.createDataFrame([(k,) for k in kept], "kept array<string>").repartition(parts)
+        assert ml.vocabulary(rows, "kept", 10, 2, 4.9) == ["z", "a", "b", "c"]
+        assert ml.vocabulary(rows, "kept", 2, 2, 5.5) == ["all", "z"]
+        assert ml.vocabulary(rows, "kept", 2, 2, 4.9) == ["z", "a"]
+
+
+def test_training_equals_the_plain_pipeline(spark, duck):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover, VectorAssembler
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label")).localCheckpoint()
+    n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    stages = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"), StopWordsRemover(inputCol="words", outputCol="kept"), NGram(n=2, inputCol="kept", outputCol="pairs")]
+    for c in ("kept", "pairs"):
+        stages += [CountVectorizer(inputCol=c, outputCol=f"n_{c}", vocabSize=10**6, minDF=2, maxDF=0.95), IDF(inputCol=f"n_{c}", outputCol=f"w_{c}")]
+    stages += [VectorAssembler(inputCols=["w_kept", "w_pairs"], outputCol="features"), LogisticRegression(weightCol="weight", regParam=0.01, maxIter=30)]
+    weight = F.lit(sum(n.values())) / (2 * F.when(F.col("label") == 1, n[1]).otherwise(n[0]))
+    plain, ours = Pipeline(stages=stages).fit(rows.withColumn("weight", weight)), ml.train(rows, "text", "label", 10**6)
+    of = [{r[0]: r[1][1] for r in m.transform(rows).select("doc_id", "probability").collect()} for m in (plain, ours)]
+    assert of[0].keys() == of[1].keys() and max(abs(of[0][k] - of[1][k]) for k in of[0]) < 1e-6
