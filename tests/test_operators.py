@@ -279,3 +279,12 @@ def test_training_equals_the_plain_pipeline(spark, duck):
     plain, ours = Pipeline(stages=stages).fit(rows.withColumn("weight", weight)), ml.train(rows, "text", "label", 10**6)
     of = [{r[0]: r[1][1] for r in m.transform(rows).select("doc_id", "probability").collect()} for m in (plain, ours)]
     assert of[0].keys() == of[1].keys() and max(abs(of[0][k] - of[1][k]) for k in of[0]) < 1e-6
+
+
+def test_classifier_takes_null_texts_as_empty(spark, tmp_path):
+    from tessera.plans.registry import queries
+
+    d = spark.range(60).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, null, concat('word of ', if(id % 2 = 0, 'good', 'poor'), ' text'))").alias("text"))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert queries()["text_classifier"](spark, str(tmp_path)).first().n == ml.split(d.withColumn("quality", (F.col("doc_id") % 2).cast("int")), "doc_id", "quality")[1].count() > 0
